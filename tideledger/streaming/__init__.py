@@ -1,0 +1,5 @@
+"""No streaming operators: every input of this engine is a whole table.
+
+Nothing here needs watermarks or state; a stream of readings would be rolled up
+to daily tables first, and all operators start from those.
+"""
