@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tideledger.plans.roles import BASE_FEATURES, CLOSURE_SHARE, PORTS, UNIT
+from tideledger.plans.roles import (BASE_FEATURES, CLOSURE_SHARE, METHOD_LEVELS, PORTS,
+                                    UNIT)
 
 _DRAW = "CAST('0x' || substr(md5({}), 1, 8) AS BIGINT)"
 
@@ -24,6 +25,7 @@ CTE: dict[str, tuple[list[str], str]] = {
         CAST(o_orderdate AS DATE) AS date, o_orderkey AS reading_id,
         o_totalprice / {UNIT} AS swh FROM orders"""),
     "readings_b": ([], f"""SELECT o_orderpriority AS port_name, CAST(l_shipdate AS DATE) AS date,
+        l_orderkey * 10 + l_linenumber AS reading_id,
         l_extendedprice / {UNIT} AS swh, l_quantity / 7.3 AS swe,
         l_extendedprice * (1 - l_discount) / {UNIT} AS net
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
@@ -99,6 +101,19 @@ CTE: dict[str, tuple[list[str], str]] = {
         WHERE tp + fp > 0 AND (tp + tn) / CAST(tp + fp + tn + fn AS DOUBLE) >= 0.2
         QUALIFY row_number() OVER (PARTITION BY port_name, feature, fold
             ORDER BY 2.0 * tp / (2 * tp + fp + fn) DESC, threshold) = 1"""),
+    "ranked": (["long"], """SELECT port_name, feature, row_number() OVER (PARTITION BY port_name
+        ORDER BY score DESC, feature) - 1 AS pos FROM (SELECT port_name, feature,
+        max(value) AS score FROM long GROUP BY ALL)"""),
+    "methods": (["model_days"], " UNION ALL ".join(f"""SELECT port_name, 'p{int(p * 100)}' AS method,
+        quantile_cont(swh_mean_b, {p}) AS threshold FROM model_days GROUP BY port_name"""
+        for p in METHOD_LEVELS)),
+    "method_days": (["methods", "model_days"], """SELECT d.port_name, method, date, y AS obs,
+        CASE WHEN swh_mean_b > threshold THEN 1 ELSE 0 END AS pred
+        FROM model_days d JOIN methods m ON d.port_name = m.port_name"""),
+    "method_years": (["method_days", "exposure"], """SELECT port_name, method, year, loss_days,
+        n_workers * daily_wage * loss_days AS loss FROM (SELECT port_name, method,
+        year(date) AS year, sum(pred) AS loss_days FROM method_days GROUP BY ALL)
+        JOIN exposure USING (port_name)"""),
     # block bootstrap over the model days
     "numbered": (["model_days"], """SELECT *, row_number() OVER (PARTITION BY port_name
         ORDER BY date) - 1 AS i FROM model_days"""),

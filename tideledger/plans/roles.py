@@ -18,7 +18,13 @@ from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import snapped
 from tideledger.operators import features as feat
+from tideledger.operators.aep import (component_losses, exceedance_rank, price,
+                                      sim_component_days, sim_loss_days)
+from tideledger.operators.exposure import median_by, yearly_observed_loss
 from tideledger.operators.labels import label_days
+from tideledger.operators.resample import draw_days, seasonal_candidates
+from tideledger.operators.rules import top_features
+from tideledger.operators.search import fold_threshold_search, time_series_folds
 
 # Price units per metre of wave height. The odd divisor keeps scaled prices off decimal
 # ties, where two engines may round differently.
@@ -26,6 +32,10 @@ UNIT = 31250.7
 PORTS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
 CLOSURE_SHARE = 0.96
 PORT = ["port_name"]
+N_FOLDS = 6
+N_SIMS = 200
+MIN_DAYS = 2
+METHOD_LEVELS = [0.75, 0.85, 0.95]
 BASE_FEATURES = ["swh_mean_a", "swh_max_a", "swh_min_a", "swh_mean_b", "swh_max_b", "swh_min_b"]
 
 
@@ -50,6 +60,7 @@ class Roles:
     def readings_b(self) -> DataFrame:
         lines = self.table("lineitem").select(
             F.col("l_orderkey").alias("k"), F.to_date("l_shipdate").alias("date"),
+            (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("reading_id"),
             (F.col("l_extendedprice") / UNIT).alias("swh"),
             (F.col("l_quantity") / 7.3).alias("swe"),
             (F.col("l_extendedprice") * (1 - F.col("l_discount")) / UNIT).alias("net"))
@@ -109,6 +120,86 @@ class Roles:
         return feat.to_long(days, ["port_name", "date", "y"],
                             [*BASE_FEATURES, "swh_mean_b_persistence_3", "swh_max_b_lag_1"])
 
+    @cached_property
+    def folded(self) -> DataFrame:
+        """Model days with six expanding folds."""
+        return time_series_folds(self.model_days, PORT, N_FOLDS)
+
+    @cached_property
+    def long_folded(self) -> DataFrame:
+        return self.long.join(self.folded.select("port_name", "date", "test_fold"),
+                              ["port_name", "date"])
+
+    @cached_property
+    def best_thresholds(self) -> DataFrame:
+        return fold_threshold_search(self.long_folded, PORT, N_FOLDS)
+
+    @cached_property
+    def ranked(self) -> DataFrame:
+        """Features of each port ranked by their largest value."""
+        return top_features(self.long.groupBy("port_name", "feature")
+                            .agg(F.max("value").alias("score")), PORT, "score")
+
+    @cached_property
+    def fired(self) -> DataFrame:
+        """Model days with the p75 trigger as pred and the label as obs."""
+        return (self.model_days.join(self.trigger_thresholds(), "port_name")
+                .select("port_name", "date", F.col("y").alias("obs"),
+                        (F.col("swh_mean_b") > F.col("threshold")).cast("int").alias("pred"),
+                        "swh_mean_b", "threshold"))
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        return seasonal_candidates(self.model_days, PORT, ["swh_mean_b", "y"])
+
+    @cached_property
+    def sim_days(self) -> DataFrame:
+        return draw_days(self.candidates, PORT, N_SIMS)
+
+    @cached_property
+    def sim_fired(self) -> DataFrame:
+        return (self.sim_days.join(self.trigger_thresholds(), "port_name")
+                .withColumn("pred", (F.col("swh_mean_b") > F.col("threshold")).cast("int"))
+                .withColumnRenamed("y", "obs"))
+
+    @cached_property
+    def sim_losses(self) -> DataFrame:
+        return price(sim_loss_days(self.sim_fired, PORT, "pred", MIN_DAYS), self.exposure, PORT)
+
+    @cached_property
+    def components(self) -> DataFrame:
+        return component_losses(sim_component_days(self.sim_fired, PORT, MIN_DAYS),
+                                self.exposure, PORT, PORT)
+
+    @cached_property
+    def curves(self) -> DataFrame:
+        return exceedance_rank(self.sim_losses, PORT)
+
+    @cached_property
+    def obs_yearly(self) -> DataFrame:
+        return yearly_observed_loss(self.labelled, PORT, self.exposure, "y")
+
+    @cached_property
+    def methods(self) -> DataFrame:
+        """Three trigger levels as competing methods: (port_name, method, threshold)."""
+        marks = {f"p{int(p * 100)}": p for p in METHOD_LEVELS}
+        wide = self.model_days.groupBy("port_name").agg(
+            *[F.percentile("swh_mean_b", F.lit(p)).alias(m) for m, p in marks.items()])
+        return wide.unpivot(["port_name"], list(marks), "method", "threshold")
+
+    @cached_property
+    def method_days(self) -> DataFrame:
+        return self.model_days.join(self.methods, "port_name").select(
+            "port_name", "method", "date", F.col("y").alias("obs"),
+            (F.col("swh_mean_b") > F.col("threshold")).cast("int").alias("pred"))
+
+    @cached_property
+    def method_years(self) -> DataFrame:
+        """Predicted loss per port, method and year."""
+        days = self.method_days.groupBy("port_name", "method", F.year("date").alias("year")).agg(
+            F.sum("pred").alias("loss_days"))
+        return price(days, self.exposure, PORT)
+
     @cached_property
     def base_long(self) -> DataFrame:
         """Source A in long form: three base features."""
@@ -128,7 +219,6 @@ class Roles:
     @cached_property
     def wages(self) -> DataFrame:
         """caleta, port_name (list), w_p50, fishermen_province by nation."""
-        from tideledger.operators.exposure import median_by
         people = self.table("customer").select(F.col("c_nationkey").alias("n_nationkey"),
                                                "c_acctbal")
         counts = people.groupBy("n_nationkey").agg(F.count(F.lit(1)).alias("workers"))
