@@ -1,12 +1,12 @@
-"""Exact interpolated percentiles that never gather one key in one task.
+"""Exact interpolated percentiles that never gather one large key in one task.
 
 The built-in `percentile` keeps every distinct value of a group in one task's memory.
-That is fine where the group is bounded by its meaning (days of one port, simulations of
-one run), and those callers use the built-in. Raw readings are not bounded: one port may
-hold a third of the data. Here the values of a key are first collapsed to (value, count)
-with map-side combine, cut into value buckets by sketched boundaries, and only the buckets
-that hold a wanted rank are ordered. The boundaries steer balance only; the answer is exact
-whatever they are.
+That is fine for groups of bounded size (days of one port, simulations of one run), but raw
+readings are not bounded: one port may hold a third of the data. Keys are therefore counted
+first. Small ones take the built-in. The values of a large key are collapsed to
+(value, count) with map-side combine, cut into value buckets by sketched boundaries, and
+only the buckets that hold a wanted rank are ordered. The boundaries steer balance only; the
+answer is exact whatever they are. Where one side has no keys, adaptive execution drops it.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 200
-SPLIT_ABOVE = 200_000
+SPLIT_ABOVE = 1_000_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
@@ -25,35 +25,45 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                       split_above: int = SPLIT_ABOVE) -> DataFrame:
     """One row per key with a column per wanted percentile; nulls are skipped.
 
-    `probs` maps output column to probability. Keys holding at most `split_above`
-    distinct values stay one bucket; larger ones are split into up to `grid` buckets.
+    `probs` maps output column to probability. Keys of more than `split_above` rows are
+    split into up to `grid` value buckets.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("give at least one key; add a constant one for a global percentile")
-    vals = (df.where(F.col(value).isNotNull())
-              .groupBy(*keys, F.col(value).alias("__v"))
-              .agg(F.count(F.lit(1)).alias("__n")))
+    known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    large = (known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
+                  .where(F.col("__rows") > split_above).select(*keys))
+    small = bounded_percentiles(known.join(large, keys, "left_anti"), keys, "__v", probs)
+    return small.unionByName(
+        _bucketed(known.join(large, keys, "left_semi"), keys, probs, grid))
+
+
+def bounded_percentiles(df: DataFrame, keys: Sequence[str], value: str,
+                        probs: Mapping[str, float]) -> DataFrame:
+    """The same result by the built-in, for groups whose size has a fixed bound."""
+    marks = F.percentile(value, F.array(*[F.lit(float(p)) for p in probs.values()]))
+    packed = df.groupBy(*keys).agg(marks.alias("__p"))
+    return packed.select(*keys, *[F.get("__p", F.lit(i)).alias(name)
+                                  for i, name in enumerate(probs)])
+
+
+def _bucketed(df: DataFrame, keys: list[str], probs: Mapping[str, float],
+              grid: int) -> DataFrame:
+    vals = df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     steps = F.array(*[F.lit(i / grid) for i in range(1, grid)])
-    sizes = vals.groupBy(*keys).agg(
+    cuts = vals.groupBy(*keys).agg(
         F.sum("__n").alias("__total"),
-        F.count(F.lit(1)).alias("__distinct"),
-        F.percentile_approx("__v", steps, 2000).alias("__cuts"))
-    cuts = sizes.select(
-        *keys, "__total",
-        F.when(F.col("__distinct") > split_above, F.array_distinct("__cuts"))
-         .otherwise(F.array().cast("array<double>")).alias("__cuts"))
-    bucket = F.when(F.size("__cuts") == 0, F.lit(0)).otherwise(
-        F.size(F.filter("__cuts", lambda c: c < F.col("__v"))))
-    cut = _join(vals, cuts.select(*keys, "__cuts"), keys).select(
-        *keys, "__v", "__n", bucket.alias("__b"))
+        F.array_distinct(F.percentile_approx("__v", steps, 2000)).alias("__cuts"))
+    bucket = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
+    cut = vals.join(cuts, keys).select(*keys, "__v", "__n", bucket.alias("__b"))
 
     # at most `grid` rows per key from here to the ranks
     order = Window.partitionBy(*keys).orderBy("__b")
     spans = (cut.groupBy(*keys, "__b").agg(F.sum("__n").alias("__rows"))
                 .withColumn("__end", F.sum("__rows").over(order))
-                .withColumn("__start", F.col("__end") - F.col("__rows")))
-    spans = _join(spans, cuts.select(*keys, "__total"), keys)
+                .withColumn("__start", F.col("__end") - F.col("__rows"))
+                .join(cuts.select(*keys, "__total"), keys))
     hit = F.lit(False)
     for p in probs.values():
         lo, hi = _ranks(p)
@@ -61,9 +71,9 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     wanted = spans.where(hit).select(*keys, "__b", "__start", "__total")
 
     running = Window.partitionBy(*keys, "__b").orderBy("__v")
-    ranked = (_join(cut, wanted, [*keys, "__b"])
-              .withColumn("__last", F.col("__start") + F.sum("__n").over(running) - 1)
-              .withColumn("__first", F.col("__last") - F.col("__n") + 1))
+    ranked = (cut.join(wanted, [*keys, "__b"])
+                 .withColumn("__last", F.col("__start") + F.sum("__n").over(running) - 1)
+                 .withColumn("__first", F.col("__last") - F.col("__n") + 1))
     picks = [F.first("__total").alias("__total")]
     for name, p in probs.items():
         for side, rank in zip(("lo", "hi"), _ranks(p)):
@@ -73,17 +83,6 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
     return found.select(*keys, *[_blend(name, p).alias(name) for name, p in probs.items()])
 
 
-def bounded_percentiles(df: DataFrame, keys: Sequence[str], value: str,
-                        probs: Mapping[str, float]) -> DataFrame:
-    """The same result by the built-in, for groups whose size has a fixed bound."""
-    return df.groupBy(*keys).agg(
-        *[F.percentile(value, F.lit(float(p))).alias(name) for name, p in probs.items()])
-
-
-def _join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return left.join(right, list(keys))
-
-
 def _ranks(p: float) -> tuple[Column, Column]:
     pos = F.lit(float(p)) * (F.col("__total") - 1)
     return F.floor(pos), F.ceil(pos)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import ratio, with_metrics
+from tideledger.operators.quantiles import exact_percentiles
 
 
 def topk_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -208,3 +209,20 @@ def loss_density(losses: DataFrame, keys: Sequence[str], loss: str = "loss",
                 .select(*keys, "step", "x",
                         (F.col("__s") / (F.col("__n") * F.col("__h")
                                          * F.sqrt(F.lit(2.0) * F.pi()))).alias("density")))
+
+
+def metric_spread(folds: DataFrame, keys: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Mean, sd, min and max of each metric over folds, one row per metric."""
+    long = folds.unpivot(list(keys), list(metrics), "metric", "__m")
+    return long.groupBy(*keys, "metric").agg(
+        F.avg("__m").alias("mean"), F.stddev_samp("__m").alias("std"),
+        F.min("__m").alias("min"), F.max("__m").alias("max"))
+
+
+def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """Count, mean, sd, extremes and exact quartiles per key, for any number of rows."""
+    basic = df.groupBy(*keys).agg(
+        F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
+        F.min(value).alias("min"), F.max(value).alias("max"))
+    return basic.join(exact_percentiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}),
+                      list(keys))

@@ -21,15 +21,15 @@ _LONG_COLS = [*BASE_FEATURES, "swh_mean_b_persistence_3", "swh_max_b_lag_1"]
 
 # name -> (tables it needs, query)
 CTE: dict[str, tuple[list[str], str]] = {
-    "readings_a": ([], f"""SELECT o_orderpriority AS port_name, o_orderdate AS ts,
+    "readings_a": ([], f"""SELECT o_orderpriority || '' AS port_name, o_orderdate AS ts,
         CAST(o_orderdate AS DATE) AS date, o_orderkey AS reading_id,
         o_totalprice / {UNIT} AS swh FROM orders"""),
-    "readings_b": ([], f"""SELECT o_orderpriority AS port_name, CAST(l_shipdate AS DATE) AS date,
+    "readings_b": ([], f"""SELECT o_orderpriority || '' AS port_name, CAST(l_shipdate AS DATE) AS date,
         l_orderkey * 10 + l_linenumber AS reading_id,
         l_extendedprice / {UNIT} AS swh, l_quantity / 7.3 AS swe,
         l_extendedprice * (1 - l_discount) / {UNIT} AS net
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
-    "hours": ([], """SELECT event_type AS port_name, ts, CAST(ts AS DATE) AS date, value AS swh
+    "hours": ([], """SELECT event_type || '' AS port_name, ts, CAST(ts AS DATE) AS date, value AS swh
         FROM events"""),
     "daily_a": (["readings_a"], """SELECT port_name, date, floor(avg(swh) * 134217728 + 0.5) / 134217728 AS swh_mean,
         max(swh) AS swh_max, min(swh) AS swh_min, count(*) AS n_obs
@@ -130,15 +130,14 @@ CTE: dict[str, tuple[list[str], str]] = {
             AS pick, count(*) OVER (PARTITION BY s.port_name, slot) AS n_candidates
         FROM starts s JOIN centres c ON s.port_name = c.port_name
         AND block_start BETWEEN centre - 10 AND centre + 10 AND block_end <= centre + 10"""),
-    "sim_days": (["candidates", "numbered"], """SELECT d.port_name, sim,
-            CAST(d.slot * 7 + o + 1 AS INTEGER) AS day, n.*
-            EXCLUDE (port_name, i) FROM (
-            SELECT p.port_name, p.slot, sim, c.i FROM (
-                SELECT DISTINCT port_name, slot, n_candidates FROM candidates) p, range(0, 200) r(sim)
-            JOIN candidates c ON c.port_name = p.port_name AND c.slot = p.slot
-                AND c.pick = """ + _DRAW.format("'0|' || CAST(sim AS VARCHAR) || '|' || CAST(p.slot AS VARCHAR)")
-                 + """ % p.n_candidates) d, range(0, 7) q(o)
-        JOIN numbered n ON n.port_name = d.port_name AND n.i = d.i + o
+    "draws": ([], "SELECT sim, slot, " + _DRAW.format(
+        "'0|' || CAST(sim AS VARCHAR) || '|' || CAST(slot AS VARCHAR)")
+        + """ AS h FROM (SELECT unnest(range(200)) AS sim), (SELECT unnest(range(53)) AS slot)"""),
+    "sim_days": (["candidates", "numbered", "draws"], """SELECT n.* EXCLUDE (i), d.sim,
+            CAST(d.slot * 7 + o + 1 AS INTEGER) AS day
+        FROM (SELECT c.port_name, c.slot, u.sim, c.i, unnest(range(7)) AS o FROM candidates c
+              JOIN draws u ON u.slot = c.slot AND u.h % c.n_candidates = c.pick) d
+        JOIN numbered n ON n.port_name = d.port_name AND n.i = d.i + d.o
         WHERE d.slot * 7 + o + 1 <= 365"""),
     "sim_fired": (["sim_days", "trig"], """SELECT s.port_name, sim, day, y AS obs, swh_mean_b,
         CASE WHEN swh_mean_b > threshold THEN 1 ELSE 0 END AS pred
