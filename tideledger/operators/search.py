@@ -377,3 +377,48 @@ def compare_with_baseline(multi: DataFrame, single: DataFrame, keys: Sequence[st
                                              F.col("single_loss"), 0.0) * 100,
                     "f1_change_pct": ratio(F.col("f1") - F.col("single_f1"),
                                            F.col("single_f1"), 0.0) * 100}))
+
+
+def rule_detail(thresholds: DataFrame, long: DataFrame, keys: Sequence[str], top: int = 3) -> DataFrame:
+    """Best single rules in full: counts over all days, firing rate, threshold percentile.
+
+    `thresholds` is (keys, feature, threshold, score), one row per rule.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "feature")
+    best = (thresholds.withColumn("place", F.row_number().over(order))
+                      .where(F.col("place") <= top))
+    above = F.coalesce((F.col("value") > F.col("threshold")).cast("int"), F.lit(0))
+    rows = long.join(best, [*keys, "feature"]).withColumn("pred", above)
+    counts = rows.groupBy(*keys, "feature", "place", "threshold").agg(
+        *confusion_aggs(F.col("pred"), F.col("y")), F.avg("pred").alias("fire_rate"),
+        (F.avg((F.col("value") <= F.col("threshold")).cast("double")) * 100)
+        .alias("threshold_pct"))
+    return with_metrics(counts)
+
+
+def arm_rules(rules: DataFrame, thresholds: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rules with their thresholds in slot order; (keys, feature, threshold) holds one per feature."""
+    slots = rule_slots(rules, keys).join(thresholds, [*keys, "feature"])
+    return (slots.groupBy(*keys, "rule_id", "rule_type", "logic", "n_slots")
+                 .agg(F.array_sort(F.collect_list(F.struct("slot", "feature", "threshold")))
+                       .alias("__s"))
+                 .where(F.size("__s") == F.col("n_slots"))
+                 .select(*keys, "rule_id", "rule_type", "logic",
+                         F.transform("__s", lambda s: s.getField("feature")).alias("features"),
+                         F.transform("__s", lambda s: s.getField("threshold"))
+                          .alias("thresholds")))
+
+
+def fire_wide(days: DataFrame, armed: DataFrame, keys: Sequence[str],
+              features: Sequence[str]) -> DataFrame:
+    """Every armed rule on every row of a wide table: adds rule_id, rule_type and pred.
+
+    The features of a row travel as one map, so any number of rules is one expression.
+    """
+    values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
+    joined = days.join(armed, list(keys)).withColumn("__m", values)
+    fired = F.zip_with("features", "thresholds",
+                       lambda f, t: F.coalesce(F.element_at(F.col("__m"), f) > t, F.lit(False)))
+    hit = combine_slots(F.col("rule_type"), fired, F.col("logic"))
+    return (joined.withColumn("pred", hit.cast("int"))
+                  .drop("__m", "features", "thresholds", "logic"))

@@ -37,6 +37,7 @@ N_SIMS = 200
 MIN_DAYS = 2
 METHOD_LEVELS = [0.75, 0.85, 0.95]
 BASE_FEATURES = ["swh_mean_a", "swh_max_a", "swh_min_a", "swh_mean_b", "swh_max_b", "swh_min_b"]
+FEATURES = [*BASE_FEATURES, "swh_mean_b_persistence_3", "swh_max_b_lag_1"]
 
 
 class Roles:
@@ -111,14 +112,17 @@ class Roles:
         return a.join(b, ["port_name", "date"])
 
     @cached_property
-    def long(self) -> DataFrame:
-        """(port_name, date, y, feature, value) of base and a few engineered features."""
-        days = self.model_days.withColumns({
+    def fan_days(self) -> DataFrame:
+        """Model days with two engineered features."""
+        return self.model_days.withColumns({
             "swh_mean_b_persistence_3": snapped(
                 feat.persistence(PORT, "date", "swh_mean_b", 3)),
             "swh_max_b_lag_1": feat.lagged(PORT, "date", "swh_max_b", 1)})
-        return feat.to_long(days, ["port_name", "date", "y"],
-                            [*BASE_FEATURES, "swh_mean_b_persistence_3", "swh_max_b_lag_1"])
+
+    @cached_property
+    def long(self) -> DataFrame:
+        """(port_name, date, y, feature, value) of base and a few engineered features."""
+        return feat.to_long(self.fan_days, ["port_name", "date", "y"], FEATURES)
 
     @cached_property
     def folded(self) -> DataFrame:
