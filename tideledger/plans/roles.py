@@ -25,6 +25,7 @@ from tideledger.operators.labels import label_days
 from tideledger.operators.resample import draw_days, seasonal_candidates
 from tideledger.operators.rules import top_features
 from tideledger.operators.search import fold_threshold_search, time_series_folds
+from tideledger.session import durable
 
 # Price units per metre of wave height. The odd divisor keeps scaled prices off decimal
 # ties, where two engines may round differently.
@@ -104,12 +105,15 @@ class Roles:
 
     @cached_property
     def model_days(self) -> DataFrame:
-        """Both sources side by side with the label."""
+        """Both sources side by side with the label: the table between preparation and search.
+
+        Search and simulation read it many times, so its lineage is cut here.
+        """
         a = self.labelled.select("port_name", "date", "y", *[
             F.col(c).alias(f"{c}_a") for c in ("swh_mean", "swh_max", "swh_min")])
         b = self.daily_b.select("port_name", "date", *[
             F.col(c).alias(f"{c}_b") for c in ("swh_mean", "swh_max", "swh_min")])
-        return a.join(b, ["port_name", "date"])
+        return durable(a.join(b, ["port_name", "date"]))
 
     @cached_property
     def fan_days(self) -> DataFrame:
@@ -136,7 +140,7 @@ class Roles:
 
     @cached_property
     def best_thresholds(self) -> DataFrame:
-        return fold_threshold_search(self.long_folded, PORT, N_FOLDS)
+        return durable(fold_threshold_search(self.long_folded, PORT, N_FOLDS))
 
     @cached_property
     def ranked(self) -> DataFrame:

@@ -2,28 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from tideledger.functions import scalars as S
 from tideledger.operators import daily, exposure, features as feat, report, rules
 from tideledger.plans.registry import query
 from tideledger.plans.roles import PORT, Roles
+from tideledger.session import shared_folder as scratch
 from tideledger.sources import scan, sinks
 
-
-def scratch(spark: SparkSession, name: str) -> str:
-    """Fresh folder for a round trip: below the shared checkpoint folder where one is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    return os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), name)
-
-
 # ---- scans and sinks -------------------------------------------------------------------------
 
 @query("scan_series_csv", "date:d n:i swh_max:6 swh_min:6", "hours",

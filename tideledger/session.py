@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,18 +27,27 @@ def local_session(cores: int | str = 8, app: str = "tideledger") -> SparkSession
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names in spark.checkpoint.dir.
+def shared_folder(spark: SparkSession, name: str = "stage") -> str:
+    """Fresh path below the folder the cluster names in spark.checkpoint.dir.
 
-    Only an unset folder (tests, local runs) is filled in, with a fresh local one.
+    Only where none is named (tests, local runs) a local temporary folder stands in.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            if not sc.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-            shared = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
-        sc.setCheckpointDir(shared)
-    return df.checkpoint(eager=True)
+    named = (spark.conf.get("spark.checkpoint.dir", None)
+             or sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir())
+    if not named:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+        named = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """The same rows as a written table in the shared folder.
+
+    A lost executor costs no recomputation past this point, and readers get column pruning
+    and true sizes, so Spark can choose joins by size.
+    """
+    path = shared_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
