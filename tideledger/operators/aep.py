@@ -196,11 +196,14 @@ def aggregate_curves(curves: DataFrame, runs: str = "run", reference: DataFrame
     """
     sizes = curves.groupBy(runs).agg(F.count(F.lit(1)).alias("__n"))
     if reference is None:
-        finest = sizes.groupBy().agg(F.max("__n").alias("__m"))
-        reference = finest.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "__m")).alias("r"),
-                                  "__m").select((F.col("r") / (F.col("__m") + 1))
-                                                .alias("probability"))
-    spots = reference.withColumn("__j", F.lit(1)).join(sizes.withColumn("__j", F.lit(1)), "__j")
+        own = sizes.agg(F.max("__n").alias("__m"))
+        grid = own.select(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("__m")),
+                                      lambda r: r / (F.col("__m") + 1)).alias("__ps"))
+    else:
+        grid = reference.agg(F.collect_list("probability").alias("__ps"))
+    # one row: the grid of one curve, at most one number per simulation
+    spots = (sizes.join(F.broadcast(grid), how="cross")
+                  .select(runs, "__n", F.explode("__ps").alias("probability")))
     near = F.ceil(F.round(F.col("probability") * (F.col("__n") + 1) - 0.5, 9))
     spots = spots.select(runs, "probability",
                          F.least(F.greatest(near, F.lit(1)), F.col("__n")).alias("rank"))

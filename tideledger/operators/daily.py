@@ -8,14 +8,15 @@ shuffled once, already partly aggregated, and the anomalies cost a join on day r
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import ratio
 from tideledger.operators.quantiles import bounded_percentiles, exact_percentiles
-from tideledger.operators.runs import max_consecutive_above
+from tideledger.operators.runs import run_lengths, run_lengths_chunked
+from tideledger.session import durable
 
 # Percentiles of the two daily tables.
 MODEL_PERCENTILES = {"median": 0.5, "p25": 0.25, "p60": 0.60, "p75": 0.75, "p80": 0.80}
@@ -29,24 +30,22 @@ def date_parts(df: DataFrame, ts: str) -> DataFrame:
         "monday": F.date_format(ts, "MM-dd"), "day_of_year": F.dayofyear(ts)})
 
 
-def daily_stats(readings: DataFrame, keys: Sequence[str], value: str,
-                bounded: bool = False,
-                percentiles: Mapping[str, float] = MODEL_PERCENTILES) -> DataFrame:
-    """mean, max, min, sd, count and percentiles of `value` per (keys, date).
+def basic_stats(readings: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """mean, max, min, sample and population sd and count of each value per (keys, date)."""
+    aggs = []
+    for v in values:
+        aggs += [F.avg(v).alias(f"{v}_mean"), F.max(v).alias(f"{v}_max"),
+                 F.min(v).alias(f"{v}_min"), F.stddev_samp(v).alias(f"{v}_sd"),
+                 F.stddev_pop(v).alias(f"{v}_sd_pop"), F.count(v).alias(f"{v}_n")]
+    return readings.groupBy(*keys, "date").agg(*aggs)
 
-    `bounded` says that a port-day holds a fixed number of readings (24 for an hourly
-    series); then the percentiles ride on the same shuffle.
-    """
+
+def _marks(readings, basic, keys, value, named, bounded) -> DataFrame:
     by = [*keys, "date"]
-    basic = [F.avg(value).alias(f"{value}_mean"), F.max(value).alias(f"{value}_max"),
-             F.min(value).alias(f"{value}_min"), F.stddev_samp(value).alias(f"{value}_sd"),
-             F.stddev_pop(value).alias("__sd_pop"), F.count(value).alias("total_obs")]
-    named = {f"{value}_{k}": p for k, p in percentiles.items()}
     if bounded:
-        marks = [F.percentile(value, F.lit(float(p))).alias(k) for k, p in named.items()]
-        return readings.groupBy(*by).agg(*basic, *marks)
-    return readings.groupBy(*by).agg(*basic).join(
-        exact_percentiles(readings, by, value, named), by)
+        return bounded_percentiles(readings, by, value, named)
+    return exact_percentiles(readings, by, value, named,
+                             sizes=basic.select(*by, F.col(f"{value}_n").alias("n")))
 
 
 def calendar_means(readings: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -55,62 +54,94 @@ def calendar_means(readings: DataFrame, keys: Sequence[str], value: str) -> Data
                     .agg(F.avg(value).alias(f"clima_{value}")))
 
 
+def _calendar_means(basic: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """The same from day rows: day means weighted by their counts."""
+    total = F.sum(F.col(f"{value}_mean") * F.col(f"{value}_n"))
+    return (basic.groupBy(*keys, F.date_format("date", "MM-dd").alias("monday"))
+                 .agg(F.try_divide(total, F.sum(f"{value}_n")).alias(f"clima_{value}")))
+
+
 def with_anomaly(readings: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Readings with their calendar-day mean and the difference to it."""
+    means = durable(calendar_means(readings, keys, value))
     return (readings.withColumn("monday", F.date_format("date", "MM-dd"))
-                    .join(calendar_means(readings, keys, value), [*keys, "monday"])
+                    .join(means, [*keys, "monday"])
                     .withColumn(f"anom_{value}", F.col(value) - F.col(f"clima_{value}")))
 
 
 def add_anomaly_stats(daily: DataFrame, clima: DataFrame, keys: Sequence[str], value: str,
-                      short: str, marks: Sequence[str]) -> DataFrame:
+                      marks: Sequence[str]) -> DataFrame:
     """Anomaly columns of a daily table by shifting its own statistics."""
     joined = (daily.withColumn("monday", F.date_format("date", "MM-dd"))
                    .join(clima, [*keys, "monday"]).drop("monday"))
     c = F.col(f"clima_{value}")
-    cols = {f"clima_{short}_mean": c, f"anom_{short}_sd": F.col(f"{value}_sd")}
+    cols = {f"clima_{value}_mean": c, f"anom_{value}_sd": F.col(f"{value}_sd")}
     for mark in ("mean", "max", "min", *marks):
-        cols[f"anom_{short}_{mark}"] = F.col(f"{value}_{mark}") - c
+        cols[f"anom_{value}_{mark}"] = F.col(f"{value}_{mark}") - c
     return joined.withColumns(cols).drop(f"clima_{value}")
 
 
 def calibrated_threshold(readings: DataFrame, keys: Sequence[str], value: str, before_year: int,
-                         p: float, bounded: bool = False) -> DataFrame:
+                         p: float, bounded: bool = False,
+                         sizes: DataFrame | None = None) -> DataFrame:
     """Percentile of the readings before `before_year`, per key."""
     past = readings.where(F.year("date") < before_year)
-    fn = bounded_percentiles if bounded else exact_percentiles
-    return fn(past, keys, value, {"threshold": p})
+    if bounded:
+        return bounded_percentiles(past, keys, value, {"threshold": p})
+    return exact_percentiles(past, keys, value, {"threshold": p}, sizes=sizes)
 
 
 def exceed_counts(readings: DataFrame, thresholds: DataFrame, keys: Sequence[str],
                   value: str) -> DataFrame:
-    """Readings above the key's threshold per day, and their share in percent."""
+    """Readings above the key's threshold per day, and their share in percent.
+
+    The thresholds are written first, so the readings meet a table of known size.
+    """
     above = F.col(value) > F.col("threshold")
-    return (readings.join(thresholds, list(keys))
+    return (readings.join(durable(thresholds), list(keys))
                     .groupBy(*keys, "date")
                     .agg(F.count_if(above).alias("hours_above"),
                          (F.avg(F.coalesce(above.cast("int"), F.lit(0))) * 100)
                          .alias("pct_day_above")))
 
 
-def _exceedance_block(readings, thresholds, keys, value, ts, chunk):
-    counted = exceed_counts(readings, thresholds, keys, value)
-    longest = max_consecutive_above(readings.join(thresholds, list(keys)), [*keys, "date"], ts,
-                                    value, F.col("threshold"), chunk)
-    return counted.join(longest, [*keys, "date"])
+def _add_exceedance(daily, basic, readings, keys, ts, before_year, p, bounded, chunk):
+    """hours_above, pct_day_above and max_consecutive_above from one pass over the runs.
+
+    The runs of a day hold all its readings above the threshold, so their total is the count.
+    """
+    by = [*keys, "date"]
+    sizes = (basic.where(F.year("date") < before_year).groupBy(*keys)
+                  .agg(F.sum("swh_n").alias("n")))
+    limits = durable(calibrated_threshold(readings, keys, "swh", before_year, p, bounded, sizes))
+    flagged = readings.join(limits, list(keys)).withColumn(
+        "__f", F.coalesce((F.col("swh") > F.col("threshold")).cast("int"), F.lit(0)))
+    found = (run_lengths(flagged, by, ts, "__f") if chunk is None
+             else run_lengths_chunked(flagged, by, ts, "__f", chunk))
+    per_day = found.groupBy(*by).agg(F.sum("run_days").alias("hours_above"),
+                                     F.max("run_days").alias("max_consecutive_above"))
+    return (daily.join(per_day, by, "left")
+                 .withColumns({c: F.coalesce(c, F.lit(0))
+                               for c in ("hours_above", "max_consecutive_above")})
+                 .withColumn("pct_day_above", ratio(F.col("hours_above"), F.col("swh_n"), 0.0) * 100))
 
 
 def daily_model(readings: DataFrame, keys: Sequence[str], ts: str, before_year: int,
                 from_date: str, bounded: bool = False, chunk: str | None = None) -> DataFrame:
-    """Daily table of the nearshore-model source: 22 aggregates and 7 derived columns."""
+    """Daily table of the nearshore-model source: 22 aggregates and 7 derived columns.
+
+    `bounded` says that a port-day holds a fixed number of readings (24 for an hourly
+    series). `chunk` names a column that rises with `ts`, for port-days of any size.
+    """
     keys = list(keys)
-    stats = daily_stats(readings, keys, "swh", bounded, MODEL_PERCENTILES)
-    wide = add_anomaly_stats(stats, calendar_means(readings, keys, "swh"), keys, "swh", "swh",
+    basic = durable(basic_stats(readings, keys, ["swh"]))
+    named = {f"swh_{k}": p for k, p in MODEL_PERCENTILES.items()}
+    wide = basic.join(_marks(readings, basic, keys, "swh", named, bounded), [*keys, "date"])
+    wide = add_anomaly_stats(wide, _calendar_means(basic, keys, "swh"), keys, "swh",
                              ["median", "p25", "p75", "p80"])
-    limits = calibrated_threshold(readings, keys, "swh", before_year, 0.60, bounded)
-    wide = wide.join(_exceedance_block(readings, limits, keys, "swh", ts, chunk), [*keys, "date"])
+    wide = _add_exceedance(wide, basic, readings, keys, ts, before_year, 0.60, bounded, chunk)
     return (wide.where(F.col("date") >= F.lit(from_date).cast("date"))
-                .drop("__sd_pop")
+                .withColumnRenamed("swh_n", "total_obs").drop("swh_sd_pop")
                 .withColumns(derived_ratios(F.col("hours_above"))))
 
 
@@ -136,18 +167,16 @@ def daily_reanalysis(readings: DataFrame, keys: Sequence[str], ts: str, before_y
     """
     keys = list(keys)
     by = [*keys, "date"]
-    waves = daily_stats(readings, keys, "swh", bounded, REANALYSIS_PERCENTILES)
-    swell = (daily_stats(readings, keys, "swe", bounded, {"p80": 0.80})
-             .withColumnRenamed("__sd_pop", "__swe_sd_pop").drop("total_obs"))
-    wide = add_anomaly_stats(waves, calendar_means(readings, keys, "swh"), keys, "swh", "swh",
-                             ["p80"])
-    swell = add_anomaly_stats(swell, calendar_means(readings, keys, "swe"), keys, "swe", "swe",
-                              ["p80"])
-    limits = calibrated_threshold(readings, keys, "swh", before_year, 0.75, bounded)
-    sd, sd_swe = F.col("__sd_pop"), F.col("__swe_sd_pop")
-    return (wide.join(swell, by)
-                .join(_exceedance_block(readings, limits, keys, "swh", ts, chunk), by)
-                .where(F.year("date") >= from_year)
+    basic = durable(basic_stats(readings, keys, ["swh", "swe"]))
+    named = {f"swh_{k}": p for k, p in REANALYSIS_PERCENTILES.items()}
+    wide = (basic.join(_marks(readings, basic, keys, "swh", named, bounded), by)
+                 .join(_marks(readings, basic, keys, "swe", {"swe_p80": 0.80}, bounded), by, "left"))
+    for v in ("swh", "swe"):
+        wide = add_anomaly_stats(wide, _calendar_means(basic, keys, v), keys, v, ["p80"])
+    wide = _add_exceedance(wide, basic, readings, keys, ts, before_year, 0.75, bounded, chunk)
+    sd, sd_swe = F.col("swh_sd_pop"), F.col("swe_sd_pop")
+    return (wide.where(F.year("date") >= from_year)
+                .withColumnRenamed("swh_n", "total_obs")
                 .withColumns({
                     "swh_cv": ratio(sd, F.col("swh_mean"), 0.0),
                     "swh_range": F.col("swh_max") - F.col("swh_min"),
@@ -158,8 +187,8 @@ def daily_reanalysis(readings: DataFrame, keys: Sequence[str], ts: str, before_y
                     "anom_swe_range": F.col("anom_swe_max") - F.col("anom_swe_min"),
                     "duration_intensity": F.col("hours_above") * F.col("swh_mean"),
                 })
-                .drop("__sd_pop", "__swe_sd_pop", "swe_mean", "swe_max", "swe_min", "swe_sd",
-                      "swe_p80"))
+                .drop("swh_sd_pop", "swe_sd_pop", "swe_mean", "swe_max", "swe_min", "swe_sd",
+                      "swe_p80", "swe_n"))
 
 
 def daily_event_max(df: DataFrame, flag: str) -> DataFrame:

@@ -53,9 +53,8 @@ def wage_medians(params: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def wage_median_fill(params: DataFrame, names: DataFrame) -> DataFrame:
     """Rows at the medians for the named ports, added to the table."""
-    medians = wage_medians(params.withColumn("__one", F.lit(1)), ["__one"])
-    filled = (names.select("port_name").withColumn("__one", F.lit(1))
-                   .join(medians, "__one").drop("__one"))
+    medians = F.broadcast(wage_medians(params))  # one row
+    filled = names.select("port_name").join(medians, how="cross")
     return params.select("port_name", "daily_wage", "n_workers", "daily_loss").unionByName(filled)
 
 
@@ -88,11 +87,11 @@ def median_by(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataF
 def with_default_economics(ports: DataFrame, params: DataFrame, defaults: DataFrame) -> DataFrame:
     """Each port's wage row, or the default row where it has none."""
     cols = ("daily_wage", "n_workers", "daily_loss")
-    fallback = defaults.select(F.lit(1).alias("__one"), *[F.col(c).alias(f"__{c}") for c in cols])
-    return (ports.withColumn("__one", F.lit(1)).join(fallback, "__one")
+    fallback = defaults.agg(*[F.first(c).alias(f"__{c}") for c in cols])
+    return (ports.join(F.broadcast(fallback), how="cross")  # one row
                  .join(params, "port_name", "left")
                  .withColumns({c: F.coalesce(c, f"__{c}") for c in cols})
-                 .drop("__one", *[f"__{c}" for c in cols]))
+                 .drop(*[f"__{c}" for c in cols]))
 
 
 def economic_daily(labelled: DataFrame, params: DataFrame, defaults: DataFrame,

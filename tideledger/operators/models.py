@@ -101,14 +101,16 @@ def score_calibrated(fits: Sequence[tuple], rows: DataFrame, out: str = "probabi
 
 
 def threshold_sweep(probs: DataFrame, keys: Sequence[str], probability: str = "probability",
-                    label: str = "label", step: float = 0.001, first: int = 1,
-                    last: int = 999) -> DataFrame:
-    """Best F1 threshold per key among first x step .. last x step, the lowest on ties.
+                    label: str = "label", start: float = 0.001, step: float = 0.001,
+                    count: int = 994, strict: bool = False) -> DataFrame:
+    """Best F1 threshold per key among start + i x step, i < count; the lowest on ties.
 
-    Rows are counted per step once and added up from the top; no pass per threshold. A row
-    is predicted positive when its probability reaches the threshold.
+    Rows are counted per highest threshold they reach and added up from the top; no pass per
+    threshold. A row is positive at or above the threshold, with `strict` above it.
     """
-    level = F.least(F.floor(F.round(F.col(probability) / step, 6)).cast("int"), F.lit(last))
+    spot = F.round((F.col(probability) - start) / step, 6)
+    level = (F.ceil(spot) - 1) if strict else F.floor(spot)
+    level = F.least(F.greatest(level, F.lit(-1)), F.lit(count - 1)).cast("int")
     cells = (probs.groupBy(*keys, level.alias("__lv"))
                   .agg(F.count(F.lit(1)).alias("__n"), F.sum(label).alias("__pos")))
     up = Window.partitionBy(*keys).orderBy("__lv")
@@ -117,9 +119,9 @@ def threshold_sweep(probs: DataFrame, keys: Sequence[str], probability: str = "p
     counted = cells.withColumns({
         "__fired": F.sum("__n").over(from_top), "tp": F.sum("__pos").over(from_top),
         "__all": F.sum("__n").over(whole), "__p": F.sum("__pos").over(whole),
-        "__low": F.greatest(F.coalesce(F.lag("__lv").over(up) + 1, F.lit(first)), F.lit(first))})
-    usable = (counted.where((F.col("__lv") >= F.col("__low")) & (F.col("tp") > 0))
-              .withColumns({"threshold": F.col("__low") * step,
+        "__low": F.coalesce(F.lag("__lv").over(up) + 1, F.lit(0))})
+    usable = (counted.where((F.col("__lv") >= 0) & (F.col("tp") > 0))
+              .withColumns({"threshold": F.col("__low") * step + start,
                             "fp": F.col("__fired") - F.col("tp"), "fn": F.col("__p") - F.col("tp")})
               .withColumn("tn", F.col("__all") - F.col("__fired") - F.col("fn")))
     best = Window.partitionBy(*keys).orderBy(F.desc("f1"), "threshold")
@@ -156,7 +158,8 @@ def model_cv(data: DataFrame, k: int, make, order: Sequence[str], step: float =
              cal_parts: int = 2) -> DataFrame | None:
     """Best threshold and metrics per fold, scored once per fold."""
     probs = fold_probabilities(data, k, make, order, cal_parts)
-    return None if probs is None else threshold_sweep(probs, ["fold"], step=step, first=10, last=989)
+    return None if probs is None else threshold_sweep(
+        probs, ["fold"], start=0.01, step=step, count=int(round(0.98 / step)))
 
 
 def model_grid(rows: DataFrame, feature_sets: Mapping[str, Sequence[str]],

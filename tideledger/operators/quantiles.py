@@ -6,7 +6,10 @@ readings are not bounded: one port may hold a third of the data. Keys are theref
 first. Small ones take the built-in. The values of a large key are collapsed to
 (value, count) with map-side combine, cut into value buckets by sketched boundaries, and
 only the buckets that hold a wanted rank are ordered. The boundaries steer balance only; the
-answer is exact whatever they are. Where one side has no keys, adaptive execution drops it.
+answer is exact whatever they are.
+
+The lists of large keys, boundaries and wanted buckets are written tables, so Spark knows
+their size and broadcasts them only where they are small enough.
 """
 
 from __future__ import annotations
@@ -16,24 +19,31 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideledger.session import durable
+
 GRID = 200
-SPLIT_ABOVE = 1_000_000
+SPLIT_ABOVE = 500_000
 
 
 def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                       probs: Mapping[str, float], grid: int = GRID,
-                      split_above: int = SPLIT_ABOVE) -> DataFrame:
+                      split_above: int = SPLIT_ABOVE,
+                      sizes: DataFrame | None = None) -> DataFrame:
     """One row per key with a column per wanted percentile; nulls are skipped.
 
     `probs` maps output column to probability. Keys of more than `split_above` rows are
-    split into up to `grid` value buckets.
+    split into up to `grid` value buckets. `sizes` (keys, n) saves the counting pass where
+    the caller has counted already.
     """
     keys = list(keys)
     if not keys:
         raise ValueError("give at least one key; add a constant one for a global percentile")
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
-    large = (known.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows"))
-                  .where(F.col("__rows") > split_above).select(*keys))
+    if sizes is None:
+        sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    large = durable(sizes.where(F.col("n") > split_above).select(*keys))
+    if large.isEmpty():
+        return bounded_percentiles(known, keys, "__v", probs)
     small = bounded_percentiles(known.join(large, keys, "left_anti"), keys, "__v", probs)
     return small.unionByName(
         _bucketed(known.join(large, keys, "left_semi"), keys, probs, grid))
@@ -52,9 +62,9 @@ def _bucketed(df: DataFrame, keys: list[str], probs: Mapping[str, float],
               grid: int) -> DataFrame:
     vals = df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
     steps = F.array(*[F.lit(i / grid) for i in range(1, grid)])
-    cuts = vals.groupBy(*keys).agg(
+    cuts = durable(vals.groupBy(*keys).agg(
         F.sum("__n").alias("__total"),
-        F.array_distinct(F.percentile_approx("__v", steps, 2000)).alias("__cuts"))
+        F.array_distinct(F.percentile_approx("__v", steps, 2000)).alias("__cuts")))
     bucket = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
     cut = vals.join(cuts, keys).select(*keys, "__v", "__n", bucket.alias("__b"))
 
@@ -68,7 +78,7 @@ def _bucketed(df: DataFrame, keys: list[str], probs: Mapping[str, float],
     for p in probs.values():
         lo, hi = _ranks(p)
         hit = hit | ((lo < F.col("__end")) & (hi >= F.col("__start")))
-    wanted = spans.where(hit).select(*keys, "__b", "__start", "__total")
+    wanted = durable(spans.where(hit).select(*keys, "__b", "__start", "__total"))
 
     running = Window.partitionBy(*keys, "__b").orderBy("__v")
     ranked = (cut.join(wanted, [*keys, "__b"])

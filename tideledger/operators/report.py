@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import ratio, with_metrics
 from tideledger.operators.quantiles import exact_percentiles
+from tideledger.session import durable
 
 
 def topk_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column],
@@ -37,9 +38,9 @@ def rule_coverage(rules: DataFrame, min_runs: int = 6, share: float = 0.6,
         F.countDistinct("run").alias("runs_present"), F.min("rule_type").alias("rule_type"))
     need = F.greatest(F.lit(min_runs), F.floor(F.col("__runs") * share))
     floor = F.when(F.col("rule_type") == "single", single_recall).otherwise(multi_recall)
-    return (agg.withColumn("__j", F.lit(1)).join(runs.withColumn("__j", F.lit(1)), "__j")
+    return (agg.join(F.broadcast(runs), how="cross")  # one row
                .where((F.col("runs_present") >= need) & (F.col("mean_recall") >= floor))
-               .drop("__j", "__runs"))
+               .drop("__runs"))
 
 
 def coverage_distribution(rules: DataFrame) -> DataFrame:
@@ -161,8 +162,8 @@ def region_sum_observed(yearly: DataFrame, year: str = "year", loss: str = "obse
     if not common_years:
         return per_year
     runs = yearly.select(run).distinct().groupBy().agg(F.count(F.lit(1)).alias("__all"))
-    return (per_year.withColumn("__j", F.lit(1)).join(runs.withColumn("__j", F.lit(1)), "__j")
-                    .where(F.col("n_runs") == F.col("__all")).drop("__j", "__all"))
+    return (per_year.join(F.broadcast(runs), how="cross")  # one row
+                    .where(F.col("n_runs") == F.col("__all")).drop("__all"))
 
 
 def region_sum_simulated(curves: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -221,8 +222,9 @@ def metric_spread(folds: DataFrame, keys: Sequence[str], metrics: Sequence[str])
 
 def describe(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, sd, extremes and exact quartiles per key, for any number of rows."""
-    basic = df.groupBy(*keys).agg(
+    basic = durable(df.groupBy(*keys).agg(
         F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"),
-        F.min(value).alias("min"), F.max(value).alias("max"))
-    return basic.join(exact_percentiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75}),
-                      list(keys))
+        F.min(value).alias("min"), F.max(value).alias("max")))
+    marks = exact_percentiles(df, keys, value, {"p25": 0.25, "p50": 0.5, "p75": 0.75},
+                              sizes=basic.select(*keys, "n"))
+    return basic.join(marks, list(keys))

@@ -38,41 +38,39 @@ def run_lengths_chunked(df: DataFrame, keys: Sequence[str], order: str, flag: st
                         chunk: str) -> DataFrame:
     """`run_lengths` for keys of any size.
 
-    `chunk` is a column that rises with `order` (an hour, a month). Runs are found within
-    chunks in parallel; only the pieces that touch a chunk's edge, at most two per chunk,
-    are stitched along the key.
+    `chunk` is a column that rises with `order` (an hour, a month). Stretches of equal flag
+    are found within chunks in parallel; only those that touch a chunk's edge, one or two per
+    chunk, are lined up along the key and glued where two set ones meet.
     """
     keys = list(keys)
     inner = Window.partitionBy(*keys, chunk)
-    found = (
-        df.select(*keys, chunk, order, flag)
+    on = F.col("__on")
+    pieces = (
+        df.select(*keys, chunk, order, (F.col(flag) == 1).alias("__on"))
+          .withColumn("__on", F.coalesce(on, F.lit(False)))
           .withColumn("__pos", F.row_number().over(inner.orderBy(order)))
           .withColumn("__size", F.count(F.lit(1)).over(inner))
-          .where(F.col(flag) == 1)
-          .withColumn("__grp", F.col("__pos") - F.row_number().over(inner.orderBy(order)))
-          .groupBy(*keys, chunk, "__grp")
+          .withColumn("__grp", F.col("__pos") - F.row_number().over(
+              Window.partitionBy(*keys, chunk, "__on").orderBy(order)))
+          .groupBy(*keys, chunk, "__on", "__grp")
           .agg(F.min(order).alias("run_start"), F.max(order).alias("run_end"),
                F.count(F.lit(1)).alias("run_days"), F.min("__pos").alias("__lo"),
-               F.max("__pos").alias("__hi"), F.first("__size").alias("__size")))
-    pieces = found.withColumns({
-        "__open_left": F.col("__lo") == 1, "__open_right": F.col("__hi") == F.col("__size")})
-    edge = F.col("__open_left") | F.col("__open_right")
-    closed = pieces.where(~edge).select(*keys, "run_start", "run_end", "run_days")
-
-    along = Window.partitionBy(*keys).orderBy(chunk)
-    chunks = (df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__rows"))
-                .withColumn("__seq", F.row_number().over(along)).drop("__rows"))
-    edges = pieces.where(edge).join(chunks, [*keys, chunk])
-    step = Window.partitionBy(*keys).orderBy("__seq", "run_start")
-    glued = (F.lag("__open_right").over(step) & F.col("__open_left")
-             & (F.lag("__seq").over(step) == F.col("__seq") - 1))
-    stitched = (edges.withColumn("__new", F.when(F.coalesce(glued, F.lit(False)), 0).otherwise(1))
-                     .withColumn("__run", F.sum("__new").over(step))
-                     .groupBy(*keys, "__run")
-                     .agg(F.min("run_start").alias("run_start"),
-                          F.max("run_end").alias("run_end"),
-                          F.sum("run_days").alias("run_days"))
-                     .drop("__run"))
+               F.max("__pos").alias("__hi"), F.first("__size").alias("__size"))
+          .withColumns({"__left": F.col("__lo") == 1, "__right": F.col("__hi") == F.col("__size")}))
+    edge = F.col("__left") | F.col("__right")
+    closed = pieces.where(on & ~edge).select(*keys, "run_start", "run_end", "run_days")
+
+    step = Window.partitionBy(*keys).orderBy("run_start")
+    glued = (on & F.col("__left") & F.lag("__on").over(step) & F.lag("__right").over(step))
+    stitched = (pieces.where(edge)
+                      .withColumn("__new", F.when(F.coalesce(glued, F.lit(False)), 0).otherwise(1))
+                      .withColumn("__run", F.sum("__new").over(step))
+                      .where(on)
+                      .groupBy(*keys, "__run")
+                      .agg(F.min("run_start").alias("run_start"),
+                           F.max("run_end").alias("run_end"),
+                           F.sum("run_days").alias("run_days"))
+                      .drop("__run"))
     return closed.unionByName(stitched)
 
 

@@ -24,7 +24,7 @@ def _sql_longest(source: str, order: str) -> str:
 
 def _tidy_cv(df, cols: dict[str, str]):
     """Coefficients of variation only where the mean is clear of zero."""
-    return df.withColumns({cv: F.when(F.abs(mean) > 0.001, F.col(cv)) for cv, mean in cols.items()})
+    return df.withColumns({cv: F.when(F.abs(F.col(mean)) > 0.05, F.col(cv)) for cv, mean in cols.items()})
 
 
 def _chunked(readings, per_chunk: int):
@@ -35,11 +35,11 @@ def _chunked(readings, per_chunk: int):
        "port_name date:d swh_mean:6 swh_max:6 swh_min:6 swh_median:6 swh_p25:6 swh_p60:6 swh_p75:6 "
        "swh_p80:6 swh_sd:6 total_obs:i clima_swh_mean:6 anom_swh_mean:6 anom_swh_max:6 anom_swh_min:6 "
        "anom_swh_median:6 anom_swh_p25:6 anom_swh_p75:6 anom_swh_p80:6 anom_swh_sd:6 hours_above:i "
-       "pct_day_above:6 max_consecutive_above:i swh_cv:6 swh_range:6 swh_iqr:6 anom_cv:4 "
+       "pct_day_above:6 max_consecutive_above:i swh_cv:6 swh_range:6 swh_iqr:6 anom_cv:6 "
        "anom_range:6 anom_iqr:6 duration_intensity:6", "readings_a",
        """SELECT a.*, h.hours_above, h.pct_day_above, longest AS max_consecutive_above,
             swh_sd / nullif(swh_mean, 0) AS swh_cv, swh_max - swh_min AS swh_range,
-            swh_p75 - swh_p25 AS swh_iqr, CASE WHEN abs(anom_swh_mean) > 0.001
+            swh_p75 - swh_p25 AS swh_iqr, CASE WHEN abs(anom_swh_mean) > 0.05
               THEN anom_swh_sd / anom_swh_mean END AS anom_cv,
             anom_swh_max - anom_swh_min AS anom_range, anom_swh_p75 - anom_swh_p25 AS anom_iqr,
             h.hours_above * swh_mean AS duration_intensity
@@ -72,15 +72,15 @@ def _(r: Roles):
 @query("daily_agg_reanalysis",
        "port_name date:d swh_mean:6 swh_max:6 swh_min:6 swh_median:6 swh_p25:6 swh_p75:6 swh_p80:6 "
        "swh_sd:6 swh_cv:6 swh_range:6 swh_iqr:6 clima_swh_mean:6 anom_swh_mean:6 anom_swh_max:6 "
-       "anom_swh_min:6 anom_swh_sd:6 anom_swh_p80:6 anom_swh_cv:4 anom_swh_range:6 clima_swe_mean:6 "
-       "anom_swe_mean:6 anom_swe_max:6 anom_swe_min:6 anom_swe_sd:6 anom_swe_p80:6 anom_swe_cv:4 "
+       "anom_swh_min:6 anom_swh_sd:6 anom_swh_p80:6 anom_swh_cv:6 anom_swh_range:6 clima_swe_mean:6 "
+       "anom_swe_mean:6 anom_swe_max:6 anom_swe_min:6 anom_swe_sd:6 anom_swe_p80:6 anom_swe_cv:6 "
        "anom_swe_range:6 hours_above:i pct_day_above:6 max_consecutive_above:i total_obs:i "
        "duration_intensity:6", "readings_b",
        """SELECT a.*, h.hours_above, h.pct_day_above, longest AS max_consecutive_above,
             coalesce(sdp / nullif(swh_mean, 0), 0) AS swh_cv, swh_max - swh_min AS swh_range,
             swh_p75 - swh_p25 AS swh_iqr,
-            CASE WHEN abs(anom_swh_mean) > 0.001 THEN sdp / anom_swh_mean END AS anom_swh_cv,
-            CASE WHEN abs(anom_swe_mean) > 0.001 THEN sdpe / anom_swe_mean END AS anom_swe_cv,
+            CASE WHEN abs(anom_swh_mean) > 0.05 THEN sdp / anom_swh_mean END AS anom_swh_cv,
+            CASE WHEN abs(anom_swe_mean) > 0.05 THEN sdpe / anom_swe_mean END AS anom_swe_cv,
             anom_swh_max - anom_swh_min AS anom_swh_range,
             anom_swe_max - anom_swe_min AS anom_swe_range,
             h.hours_above * swh_mean AS duration_intensity
@@ -186,7 +186,7 @@ def _(r: Roles):
 def _economics(r: Roles):
     known = (r.exposure.where(F.col("port_name") != "5-LOW")
              .withColumn("daily_loss", F.col("n_workers") * F.col("daily_wage")))
-    return known, exposure.wage_medians(known.withColumn("g", F.lit(1)), ["g"])
+    return known, exposure.wage_medians(known)
 
 
 @query("economic_yearly", "port_name year:i event_days:i event_rate:6 daily_loss:6 yearly_loss:6",

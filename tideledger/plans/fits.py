@@ -27,7 +27,7 @@ ORDER = ["port_name", "date"]
 def _(r: Roles):
     rank = F.percent_rank().over(Window.partitionBy("port_name").orderBy("swh_mean_b"))
     probs = r.model_days.select("port_name", F.col("y").alias("label"), rank.alias("probability"))
-    return models.threshold_sweep(probs, PORT)
+    return models.threshold_sweep(probs, PORT, count=999)
 
 
 def _folded(r: Roles):
@@ -94,6 +94,6 @@ def _(r: Roles):
 @query("oof_balanced_lr", "threshold:6 tp:i fp:i tn:i fn:i precision:6 recall:6 accuracy:6 f1:6")
 def _(r: Roles):
     probs = models.oof_balanced_lr(_folded(r), FEATURES, 6, ORDER, max_iter=30)
-    best = models.threshold_sweep(probs.withColumn("all", F.lit(1)), ["all"], step=0.94 / 49, first=1,
-                                  last=50)
+    best = models.threshold_sweep(probs.withColumn("all", F.lit(1)), ["all"], start=0.01, step=0.94 / 49,
+                                  count=50, strict=True)
     return with_metrics(best)

@@ -163,7 +163,7 @@ def _(r: Roles):
                       median(daily_loss) AS daily_loss FROM params) m""")
 def _(r: Roles):
     params = exposure.wage_params(r.wages)
-    medians = exposure.wage_medians(params.withColumn("g", F.lit(1)), ["g"])
+    medians = exposure.wage_medians(params)
     return exposure.with_default_economics(r.run_ports.select("port_name").distinct(), params,
                                            medians)
 
@@ -209,6 +209,12 @@ def _(r: Roles):
     return feat.suffix_columns(r.daily_a.drop("n_obs", "swh_min"), "_sw", ["port_name", "date"])
 
 
+@query("drop_cols", "port_name date:d swh_max:6", "daily_a",
+       "SELECT port_name, date, swh_max FROM daily_a")
+def _(r: Roles):
+    return r.daily_a.drop("swh_mean", "swh_min", "n_obs")
+
+
 @query("date_parts", "date:d year:i daymon monday day_of_year:i n:i", "readings_a",
        """SELECT date, year(date) AS year, strftime(date, '%d-%m') AS daymon,
           strftime(date, '%m-%d') AS monday, dayofyear(date) AS day_of_year, count(*) AS n
@@ -404,6 +410,13 @@ def _(r: Roles):
             .withColumns({"number": S.run_number(F.col("run")), "prefix": S.run_prefix(F.col("run"))}))
 
 
+@query("run_group", "prefix n_runs:i n_ports:i", "run_ports",
+       """SELECT 'run_g' AS prefix, count(DISTINCT run) AS n_runs, count(*) AS n_ports FROM run_ports""")
+def _(r: Roles):
+    return (r.run_ports.groupBy(S.run_prefix(F.col("run")).alias("prefix"))
+            .agg(F.countDistinct("run").alias("n_runs"), F.count(F.lit(1)).alias("n_ports")))
+
+
 @query("coalesce_metric_names", "source port_name date:d loss:6", "daily_a daily_b",
        """SELECT 'a' AS source, port_name, date, swh_max AS loss FROM daily_a UNION ALL
           SELECT 'b', port_name, date, coalesce(CASE WHEN n_obs > 2 THEN net_mean END, swh_mean)
