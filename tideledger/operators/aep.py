@@ -314,3 +314,12 @@ def cost_shares(component_means: DataFrame, keys: Sequence[str]) -> DataFrame:
     return wide.select(*keys, ratio(F.col("fp"), F.col("fp") + F.col("tp"), 0.0).alias("fp_share"),
                        ratio(F.col("tp"), F.col("fp") + F.col("tp"), 0.0).alias("tp_share"),
                        F.col("fn").alias("fn_cost"))
+
+
+def aep_curve(daily: DataFrame, exposure: DataFrame, keys: Sequence[str], value: str,
+              percentile: float, n_sims: int, min_days: int = 1, seed: int = 0) -> DataFrame:
+    """Whole chain for one trigger: threshold, resampled years, runs, losses, exceedance ranks."""
+    thresholds = daily.groupBy(*keys).agg(F.percentile(value, F.lit(percentile)).alias("threshold"))
+    days = simulate(daily, keys, [value], n_sims, seed)
+    losses = single_rule_losses(days, thresholds, exposure, keys, value, min_days)
+    return exceedance_rank(losses, keys)

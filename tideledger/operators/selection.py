@@ -161,8 +161,11 @@ def select_f_test(long: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def ranked_list(scores: DataFrame, keys: Sequence[str], method: str, top_k: int = 200) -> DataFrame:
-    """(keys, method, feature, position) of the best features, with the list's length."""
-    order = Window.partitionBy(*keys).orderBy(F.desc("score"), "feature")
+    """(keys, method, feature, position) of the best features, with the list's length.
+
+    Scores that agree to nine digits tie, and the name decides.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.round("score", 9).desc(), "feature")
     top = (scores.withColumn("position", F.row_number().over(order))
                  .where(F.col("position") <= top_k))
     size = F.count(F.lit(1)).over(Window.partitionBy(*keys))

@@ -345,3 +345,37 @@ def _(r: Roles):
     return aep.exceedance_ecdf(
         total.withColumns({"all": F.lit(1), "tie": -F.col("probability")}), ["all"],
         "aggregate_loss", "tie")
+
+
+# ---- flagship: one fleet-wide series from raw readings to its exceedance curve ----------------
+
+def _fleet_sql() -> dict[str, str]:
+    """The bootstrap CTEs of the model days, over the fleet's days instead."""
+    import re
+
+    from tideledger.plans.base_sql import CTE
+    steps = ["numbered", "starts", "centres", "candidates", "sim_days"]
+    out = {"fleet_days": f"""SELECT 'ALL' AS port_name, date,
+        floor(avg(swh) * 134217728 + 0.5) / 134217728 AS v FROM readings_a GROUP BY date"""}
+    for step in steps:
+        text = CTE[step][1]
+        for name in ["model_days", *steps]:
+            text = re.sub(rf"\b{name}\b", "fleet_days" if name == "model_days" else f"fleet_{name}", text)
+        out[f"fleet_{step}"] = text
+    out["fleet_pred"] = """SELECT port_name, sim, day, CASE WHEN v > (SELECT quantile_cont(v, 0.75)
+        FROM fleet_days) THEN 1 ELSE 0 END AS pred FROM fleet_sim_days"""
+    out["fleet_losses"] = _run_days("fleet_pred", "port_name")
+    return out
+
+
+@query("aep_fleet", "run sim:i loss:4 rank:i probability:6", "readings_a exposure draws",
+       """SELECT 'ALL' AS run, sim, loss, row_number() OVER (ORDER BY loss DESC, sim) AS rank,
+            row_number() OVER (ORDER BY loss DESC, sim) / (count(*) OVER () + 1.0) AS probability
+          FROM (SELECT sim, loss_days * (SELECT sum(n_workers * daily_wage) FROM exposure) AS loss
+                FROM fleet_losses)""", extra=_fleet_sql())
+def _(r: Roles):
+    from tideledger.functions.scalars import snapped
+    days = r.readings_a.groupBy(F.lit("ALL").alias("run"), "date").agg(snapped(F.avg("swh")).alias("v"))
+    money = r.exposure.groupBy(F.lit("ALL").alias("run")).agg(
+        F.sum(F.col("n_workers") * F.col("daily_wage")).alias("daily_wage"), F.lit(1).alias("n_workers"))
+    return aep.aep_curve(days, money, ["run"], "v", 0.75, N_SIMS, MIN_DAYS)

@@ -441,7 +441,7 @@ def _(r: Roles):
 
 
 _LIST = """SELECT port_name, '{m}' AS method, feature, row_number() OVER (PARTITION BY port_name
-    ORDER BY score DESC, feature) AS position FROM ({q}) QUALIFY position <= 5"""
+    ORDER BY round(score, 9) DESC, feature) AS position FROM ({q}) QUALIFY position <= 5"""
 
 
 @query("vote_features", "port_name feature score:6 method_count:i consensus:6 methods best_position:i "
@@ -475,8 +475,8 @@ def _(r: Roles):
 
 
 @query("feature_selection", "port_name feature place:i", "long",
-       f"""SELECT port_name, feature, row_number() OVER (PARTITION BY port_name ORDER BY score DESC,
-           feature) AS place FROM ({_QUICK})""")
+       f"""SELECT port_name, feature, row_number() OVER (PARTITION BY port_name
+           ORDER BY round(score, 9) DESC, feature) AS place FROM ({_QUICK})""")
 def _(r: Roles):
     return selection.feature_selection(r.long, PORT)
 
