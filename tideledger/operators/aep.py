@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tideledger.functions.scalars import ratio
 from tideledger.operators import features as feat
 from tideledger.operators.resample import draw_days, seasonal_candidates
+from tideledger.session import durable
 
 COMPONENTS = ("fp", "fn", "tp")
 
@@ -118,9 +119,14 @@ def quantile_curve(losses: DataFrame, keys: Sequence[str], points: int = 100,
                       .alias("probability"), F.max("__v").over(up).alias("loss"))
 
 
-def annual_summary(losses: DataFrame, keys: Sequence[str], loss: str = "loss") -> DataFrame:
-    """Mean, population sd, extremes, median, p95, p99 and share of loss-free years."""
+def annual_summary(losses: DataFrame, keys: Sequence[str], loss: str = "loss",
+                   also: Sequence[Column] = ()) -> DataFrame:
+    """Mean, population sd, extremes, median, p95, p99 and share of loss-free years.
+
+    Further aggregates of the same rows can ride along in `also`.
+    """
     return losses.groupBy(*keys).agg(
+        *also,
         F.count(F.lit(1)).alias("n_simulations"), F.avg(loss).alias("mean_loss"),
         F.stddev_pop(loss).alias("std_loss"), F.max(loss).alias("max_loss"),
         F.min(loss).alias("min_loss"), F.median(loss).alias("median_loss"),
@@ -131,9 +137,8 @@ def annual_summary(losses: DataFrame, keys: Sequence[str], loss: str = "loss") -
 
 def component_summary(components: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`annual_summary` per component with the mean number of events."""
-    by = [*keys, "component"]
-    events = components.groupBy(*by).agg(F.avg("n_events").alias("mean_events"))
-    return annual_summary(components, by).join(events, by)
+    return annual_summary(components, [*keys, "component"],
+                          also=[F.avg("n_events").alias("mean_events")])
 
 
 # ---- whole analyses ------------------------------------------------------------------------
@@ -150,11 +155,12 @@ def single_rule_losses(days: DataFrame, thresholds: DataFrame, exposure: DataFra
     """Annual losses of `value > threshold` on simulated days.
 
     With `labels` in `thresholds` (several thresholds per key) all of them are evaluated on
-    the same simulated days.
+    the same simulated days, and the threshold stays in the result.
     """
-    fired = days.join(thresholds, list(keys)).withColumn(
+    # written first: a table of known size, so the days need not move to meet it
+    fired = days.join(durable(thresholds), list(keys)).withColumn(
         "pred", F.coalesce((F.col(value) > F.col("threshold")).cast("int"), F.lit(0)))
-    by = [*keys, *labels]
+    by = [*keys, *labels, "threshold"] if labels else list(keys)
     return price(sim_loss_days(fired, by, "pred", min_days), exposure, keys)
 
 
@@ -178,7 +184,7 @@ def sweep_table(losses: DataFrame, observed_mean: DataFrame, keys: Sequence[str]
     """Per threshold: loss statistics, event counts and the gap to the observed mean loss."""
     by = [*keys, "threshold_label"]
     return (losses.groupBy(*by)
-                  .agg(F.first("threshold_value").alias("threshold"),
+                  .agg(F.first("threshold").alias("threshold"),
                        F.avg("loss").alias("mean_loss"), F.median("loss").alias("median_loss"),
                        F.percentile("loss", F.lit(0.99)).alias("p99_loss"),
                        F.avg("n_events").alias("mean_events"))

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import ratio
-from tideledger.operators.quantiles import bounded_percentiles, exact_percentiles
+from tideledger.operators.quantiles import (SPLIT_ABOVE, bounded_percentiles, exact_percentiles,
+                                            largest)
 from tideledger.operators.runs import run_lengths, run_lengths_chunked
 from tideledger.session import durable
 
@@ -40,12 +41,24 @@ def basic_stats(readings: DataFrame, keys: Sequence[str], values: Sequence[str])
     return readings.groupBy(*keys, "date").agg(*aggs)
 
 
-def _marks(readings, basic, keys, value, named, bounded) -> DataFrame:
+def _marks(readings, basic, keys, named, bounded) -> DataFrame:
+    """Percentiles of each value per day: `named` is value -> {column: probability}.
+
+    While no port-day is large, all values share one pass.
+    """
     by = [*keys, "date"]
-    if bounded:
-        return bounded_percentiles(readings, by, value, named)
-    return exact_percentiles(readings, by, value, named,
-                             sizes=basic.select(*by, F.col(f"{value}_n").alias("n")))
+    sizes = {v: basic.select(*by, F.col(f"{v}_n").alias("n")) for v in named}
+    if bounded or largest(basic.select(F.greatest(*[f"{v}_n" for v in named], F.lit(0))
+                                       .alias("n"))) <= SPLIT_ABOVE:
+        packed = readings.groupBy(*by).agg(*[
+            F.percentile(v, F.array(*[F.lit(float(p)) for p in probs.values()])).alias(f"__{v}")
+            for v, probs in named.items()])
+        return packed.select(*by, *[F.get(f"__{v}", F.lit(i)).alias(c)
+                                    for v, probs in named.items() for i, c in enumerate(probs)])
+    out = basic.select(*by)
+    for v, probs in named.items():
+        out = out.join(exact_percentiles(readings, by, v, probs, sizes=sizes[v]), by, "left")
+    return out
 
 
 def calendar_means(readings: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
@@ -136,7 +149,7 @@ def daily_model(readings: DataFrame, keys: Sequence[str], ts: str, before_year:
     keys = list(keys)
     basic = durable(basic_stats(readings, keys, ["swh"]))
     named = {f"swh_{k}": p for k, p in MODEL_PERCENTILES.items()}
-    wide = basic.join(_marks(readings, basic, keys, "swh", named, bounded), [*keys, "date"])
+    wide = basic.join(_marks(readings, basic, keys, {"swh": named}, bounded), [*keys, "date"])
     wide = add_anomaly_stats(wide, _calendar_means(basic, keys, "swh"), keys, "swh",
                              ["median", "p25", "p75", "p80"])
     wide = _add_exceedance(wide, basic, readings, keys, ts, before_year, 0.60, bounded, chunk)
@@ -169,8 +182,8 @@ def daily_reanalysis(readings: DataFrame, keys: Sequence[str], ts: str, before_y
     by = [*keys, "date"]
     basic = durable(basic_stats(readings, keys, ["swh", "swe"]))
     named = {f"swh_{k}": p for k, p in REANALYSIS_PERCENTILES.items()}
-    wide = (basic.join(_marks(readings, basic, keys, "swh", named, bounded), by)
-                 .join(_marks(readings, basic, keys, "swe", {"swe_p80": 0.80}, bounded), by, "left"))
+    marks = {"swh": named, "swe": {"swe_p80": 0.80}}
+    wide = basic.join(_marks(readings, basic, keys, marks, bounded), by)
     for v in ("swh", "swe"):
         wide = add_anomaly_stats(wide, _calendar_means(basic, keys, v), keys, v, ["p80"])
     wide = _add_exceedance(wide, basic, readings, keys, ts, before_year, 0.75, bounded, chunk)

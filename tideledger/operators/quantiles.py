@@ -40,15 +40,31 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str,
         raise ValueError("give at least one key; add a constant one for a global percentile")
     known = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     if sizes is None:
-        sizes = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    large = durable(sizes.where(F.col("n") > split_above).select(*keys))
-    if large.isEmpty():
+        sizes = durable(known.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    if largest(sizes) <= split_above:
         return bounded_percentiles(known, keys, "__v", probs)
+    large = durable(sizes.where(F.col("n") > split_above).select(*keys))
     small = bounded_percentiles(known.join(large, keys, "left_anti"), keys, "__v", probs)
     return small.unionByName(
         _bucketed(known.join(large, keys, "left_semi"), keys, probs, grid))
 
 
+def largest(sizes: DataFrame) -> int:
+    """Rows of the largest key."""
+    return sizes.agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+
+def rank_in(df: DataFrame, cuts: str, value: str, out: str, most: int) -> DataFrame:
+    """Adds how many of the ascending `cuts` (at most `most`) lie below the value, by halving."""
+    df = df.withColumn(out, F.lit(0))
+    step = 1 << max(most - 1, 0).bit_length()
+    while step:
+        below = F.coalesce(F.get(cuts, F.col(out) + step - 1) < F.col(value), F.lit(False))
+        df = df.withColumn(out, F.col(out) + F.when(below, step).otherwise(0))
+        step //= 2
+    return df
+
+
 def bounded_percentiles(df: DataFrame, keys: Sequence[str], value: str,
                         probs: Mapping[str, float]) -> DataFrame:
     """The same result by the built-in, for groups whose size has a fixed bound."""
@@ -65,8 +81,8 @@ def _bucketed(df: DataFrame, keys: list[str], probs: Mapping[str, float],
     cuts = durable(vals.groupBy(*keys).agg(
         F.sum("__n").alias("__total"),
         F.array_distinct(F.percentile_approx("__v", steps, 2000)).alias("__cuts")))
-    bucket = F.size(F.filter("__cuts", lambda c: c < F.col("__v")))
-    cut = vals.join(cuts, keys).select(*keys, "__v", "__n", bucket.alias("__b"))
+    cut = rank_in(vals.join(cuts, keys), "__cuts", "__v", "__b", grid).select(
+        *keys, "__v", "__n", "__b")
 
     # at most `grid` rows per key from here to the ranks
     order = Window.partitionBy(*keys).orderBy("__b")

@@ -13,7 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import (confusion_aggs, hash_draw, ratio, with_metrics)
+from tideledger.operators.quantiles import rank_in
 from tideledger.operators.rules import combine_slots, rule_slots
+from tideledger.session import durable
 
 # Percentile grids of the threshold search.
 FINE_GRID = [p / 100 for p in range(5, 96, 2)]
@@ -73,9 +75,7 @@ def fold_threshold_search(long: DataFrame, keys: Sequence[str], k: int,
     scored = (long.where(F.col("test_fold") >= 0).withColumn("fold", F.col("test_fold"))
               if score_on == "test" else train)
     # how many candidates each row exceeds: a row fires candidates 0 .. level - 1
-    level = F.coalesce(F.size(F.filter("__t", lambda t: t < F.col("value"))), F.lit(0))
-    cells = (scored.join(cand, by)
-                   .withColumn("__level", F.when(F.col("value").isNull(), 0).otherwise(level))
+    cells = (rank_in(scored.join(cand, by), "__t", "value", "__level", len(grid))
                    .groupBy(*by, "__level")
                    .agg(F.count(F.lit(1)).alias("n"), F.count("value").alias("known"),
                         F.sum("y").alias("pos")))
@@ -335,11 +335,10 @@ def grid_optimize(rules: DataFrame, long: DataFrame, keys: Sequence[str], size:
     """
     slots = rule_slots(rules, keys)
     grid = grid_values(long, keys, size)
-    ladders = grid.groupBy(*keys, "feature").agg(F.collect_list("threshold").alias("__t"))
-    level = F.size(F.filter("__t", lambda t: t < F.col("value")))
-    leveled = (long.join(ladders, [*keys, "feature"])
-                   .select(*keys, "feature", "date", "y",
-                           F.when(F.col("value").isNull(), 0).otherwise(level).alias("lv")))
+    ladders = grid.groupBy(*keys, "feature").agg(
+        F.array_sort(F.collect_list("threshold")).alias("__t"))
+    leveled = (rank_in(long.join(ladders, [*keys, "feature"]), "__t", "value", "lv", size)
+               .select(*keys, "feature", "date", "y", "lv"))
     cells = (slots.join(leveled, [*keys, "feature"])
                   .groupBy(*keys, "rule_id", "date")
                   .agg(F.max("y").alias("y"),
@@ -413,10 +412,11 @@ def fire_wide(days: DataFrame, armed: DataFrame, keys: Sequence[str],
               features: Sequence[str]) -> DataFrame:
     """Every armed rule on every row of a wide table: adds rule_id, rule_type and pred.
 
-    The features of a row travel as one map, so any number of rules is one expression.
+    The features of a row travel as one map, so any number of rules is one expression. The
+    rules are written first, so the days meet a table of known size.
     """
     values = F.create_map(*[x for f in features for x in (F.lit(f), F.col(f))])
-    joined = days.join(armed, list(keys)).withColumn("__m", values)
+    joined = days.join(durable(armed), list(keys)).withColumn("__m", values)
     fired = F.zip_with("features", "thresholds",
                        lambda f, t: F.coalesce(F.element_at(F.col("__m"), f) > t, F.lit(False)))
     hit = combine_slots(F.col("rule_type"), fired, F.col("logic"))

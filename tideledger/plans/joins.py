@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tideledger.operators import aep, exposure, labels, resample, rules, search
 from tideledger.plans.registry import query
 from tideledger.plans.roles import BASE_FEATURES, PORT, Roles
+from tideledger.session import durable
 
 
 @query("join_closures_hourly", "port_name n:i n_closed:i duration:2", "readings_a closures",
@@ -15,7 +16,7 @@ from tideledger.plans.roles import BASE_FEATURES, PORT, Roles
           ON r.port_name = c.port_name AND r.date = c.date GROUP BY r.port_name""")
 def _(r: Roles):
     readings = r.readings_a.withColumn("year", F.year("date"))
-    return labels.join_closures(readings, r.closures).groupBy("port_name").agg(
+    return labels.join_closures(readings, durable(r.closures)).groupBy("port_name").agg(
         F.count(F.lit(1)).alias("n"), F.count("event_dummy_1").alias("n_closed"),
         F.coalesce(F.sum("duracion"), F.lit(0.0)).alias("duration"))
 

@@ -74,10 +74,10 @@ def _(r: Roles):
           JOIN (SELECT port_name, avg(observed_loss) AS observed_mean FROM obs_yearly GROUP BY 1) o
           ON o.port_name = c.port_name""")
 def _(r: Roles):
-    summary = aep.annual_summary(r.sim_losses, PORT)
-    tail = aep.loss_at_probability(r.curves, PORT, 0.01).withColumnRenamed("loss", "loss_at_1pct")
+    tail = F.min(F.when(F.col("probability") <= 0.01, F.col("loss"))).alias("loss_at_1pct")
+    summary = aep.annual_summary(r.curves, PORT, also=[tail])
     observed = r.obs_yearly.groupBy("port_name").agg(F.avg("observed_loss").alias("observed_mean"))
-    return summary.join(tail, "port_name").join(observed, "port_name")
+    return summary.join(observed, "port_name")
 
 
 def _run_days(source: str, by: str, min_days: int = MIN_DAYS) -> str:
@@ -141,8 +141,6 @@ def _(r: Roles):
     losses = aep.single_rule_losses(days, labels, r.exposure, PORT, "value", MIN_DAYS,
                                     ["threshold_label"])
     observed = r.obs_yearly.groupBy("port_name").agg(F.avg("observed_loss").alias("observed_mean"))
-    losses = losses.join(labels.withColumnRenamed("threshold", "threshold_value"),
-                         ["port_name", "threshold_label"])
     return aep.sweep_table(losses, observed, PORT)
 
 
@@ -216,8 +214,8 @@ def _multi_losses(r: Roles, kinds, n_sims: int):
     fired = search.fire_wide(days, armed, PORT, FEATURES[:6])
     losses = aep.price(aep.sim_loss_days(fired, ["port_name", "rule_id"], "pred", MIN_DAYS),
                        r.exposure, PORT)
-    events = losses.groupBy("port_name", "rule_id").agg(F.avg("n_events").alias("mean_events"))
-    return aep.annual_summary(losses, ["port_name", "rule_id"]).join(events, ["port_name", "rule_id"])
+    return aep.annual_summary(losses, ["port_name", "rule_id"],
+                              also=[F.avg("n_events").alias("mean_events")])
 
 
 _MULTI_COLS = "port_name rule_id mean_loss:6 p99_loss:6 zero_prob:6 mean_events:6"
@@ -308,10 +306,9 @@ def _(r: Roles):
 def _(r: Roles):
     days = resample.bernoulli_days(_probabilities(r), PORT, 20, "probability")
     losses = aep.price(aep.sim_loss_days(days, PORT, "flag", 1), r.exposure, PORT)
-    events = losses.groupBy("port_name").agg(
+    return aep.annual_summary(losses, PORT, also=[
         F.avg("n_events").alias("mean_events"), F.stddev_pop("n_events").alias("std_events"),
-        F.avg("event_days").alias("mean_event_days"))
-    return aep.annual_summary(losses, PORT).join(events, "port_name")
+        F.avg("event_days").alias("mean_event_days")])
 
 
 _MATCH_RUNS = """SELECT port_name, min(date) AS s, max(date) AS e, count(*) AS len FROM (
