@@ -76,7 +76,8 @@ def bounded_percentiles(df: DataFrame, keys: Sequence[str], value: str,
 
 def _bucketed(df: DataFrame, keys: list[str], probs: Mapping[str, float],
               grid: int) -> DataFrame:
-    vals = df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n"))
+    # read three times below; the shuffle that collapses equal values is paid once
+    vals = durable(df.groupBy(*keys, "__v").agg(F.count(F.lit(1)).alias("__n")))
     steps = F.array(*[F.lit(i / grid) for i in range(1, grid)])
     cuts = durable(vals.groupBy(*keys).agg(
         F.sum("__n").alias("__total"),

@@ -139,7 +139,7 @@ def _(r: Roles):
        + " FROM readings_b GROUP BY port_name")
 def _(r: Roles):
     # small split size, so the bucketed way is the one checked
-    return quantiles.exact_percentiles(r.readings_b, PORT, "swh",
+    return quantiles.exact_percentiles(durable(r.readings_b.select("port_name", "swh")), PORT, "swh",
                                        {f"p{p}": p / 100 for p in (5, 25, 50, 75, 95, 99)},
                                        split_above=1000)
 

@@ -247,8 +247,8 @@ def _(r: Roles):
 def _(r: Roles):
     day = F.col("ts")
     return (r.readings_a.where((F.col("port_name") == "2-HIGH") & F.col("swh").isNotNull()
-                               & (day >= F.lit("1998-01-01").cast("timestamp"))
-                               & (day < F.lit("2001-01-01").cast("timestamp")))
+                               & (day >= F.lit("1998-01-01").cast("timestamp_ntz"))
+                               & (day < F.lit("2001-01-01").cast("timestamp_ntz")))
             .groupBy("port_name", F.year("date").alias("year"))
             .agg(F.count(F.lit(1)).alias("n"), F.max("swh").alias("swh_max")))
 
