@@ -39,10 +39,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_tideledger_shipped", False):
         return
     root = Path(__file__).resolve().parents[2]
-    with tempfile.TemporaryDirectory(prefix="spark-") as folder:
-        path = f"{folder}/tideledger_lib.zip"
-        with zipfile.ZipFile(path, "w") as out:
-            for f in sorted((root / "tideledger").rglob("*.py")):
-                out.write(f, f.relative_to(root))
-        sc.addPyFile(path)
+    # the driver serves this file to executors for as long as the session lives
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/tideledger_lib.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted((root / "tideledger").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    sc.addPyFile(path)
     sc._tideledger_shipped = True

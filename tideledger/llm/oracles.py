@@ -19,9 +19,11 @@ WITH words AS (
          list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
   FROM (SELECT *, row_number() OVER () AS rowid FROM documents)
 ), places AS (
-  SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM words WHERE len(w) >= 3
+  SELECT rid, unnest(w) AS a, generate_subscripts(w, 1) AS i FROM words
+), triples AS (
+  SELECT rid, i, a, lead(a) OVER o AS b, lead(a, 2) OVER o AS c FROM places WINDOW o AS (PARTITION BY rid ORDER BY i)
 ), windows AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, w[i], w[i + 1], w[i + 2]) AS n FROM places
+  SELECT rid, i, count(*) OVER (PARTITION BY rid, a, b, c) AS n FROM triples WHERE c IS NOT NULL
 ), covered AS (
   SELECT rid, count(DISTINCT p) AS n_repeat_words
   FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM windows WHERE n > 1) GROUP BY rid

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontam, quality, simhash, urls
+from tideledger.llm import decontam, linechunks, pieces, quality, render, secrets, simhash, urls
 from tideledger.llm.common import ship, table
 
 #: host, path, verdict of the URL rules.
@@ -13,6 +13,12 @@ URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.exam
              ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public tokenizer's file; the same on driver and executors."""
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
 def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of every document, the base rules and the certified rules' verdict."""
     rows = quality.durable(quality.measured(table(spark, folder, "documents")))
@@ -27,6 +33,12 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's secrets: fixed patterns and literals assigned to sensitive names."""
+    ship(spark)
+    return secrets.digest(secrets.scan(table(spark, folder, "documents")))
+
+
 def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     """Every page's host, path, longest fitting rule and verdict."""
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
@@ -34,6 +46,21 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's distinct sampled segmentations, one row per sample."""
+    ship(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = pieces.exploded(pieces.encode(docs, tokenizer_file("piece_bpe_32k.model")))
+    return found.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob",
+                        "log_inclusion", "round_trip")
+
+
+def op7_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page's visible text."""
+    ship(spark)
+    return render.visible_text(table(spark, folder, "pages").select("page_id", "html"))
+
+
 def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's fingerprint and the least doc_id of its component."""
     ship(spark)
@@ -41,4 +68,13 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_decontamination, op5_url_filter, op8_simhash)}
+def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document without the chunks of lines that came before."""
+    ship(spark)
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return linechunks.dedup_lines(docs)
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_quality_rules, op2_decontamination, op4_secret_scan, op5_url_filter, op6_sentencepiece, op7_html_extraction,
+    op8_simhash, op10_line_dedup)}
