@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontam, linechunks, pieces, quality, render, secrets, simhash, urls
+from tideledger.llm import decontam, idfiles, linechunks, pieces, quality, render, secrets, simhash, urls, warc
 from tideledger.llm.common import ship, table
+from tideledger.session import shared_folder
 
 #: host, path, verdict of the URL rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"),
@@ -33,6 +34,16 @@ def op2_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op3_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """Every page as a WARC record, written and read back."""
+    ship(spark)
+    path = shared_folder(spark, "warc")
+    warc.write_archives(table(spark, folder, "pages"), path)
+    found = warc.read_archives(spark, path, with_payload=False).where("gap is null")
+    return found.select(F.col("record_id").try_cast("long").alias("page_id"), "payload_bytes", "payload_digest",
+                        "record_type", F.col("refers_to").try_cast("long").alias("refers_to"))
+
+
 def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's secrets: fixed patterns and literals assigned to sensitive names."""
     ship(spark)
@@ -68,6 +79,14 @@ def op8_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", simhash.as_hex().alias("fingerprint"), "component_id")
 
 
+def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's ids, written in the package's format and read back."""
+    ship(spark)
+    path = shared_folder(spark, "ids")
+    idfiles.write_ids(table(spark, folder, "documents"), path, tokenizer_file("word_bpe_49k.json"))
+    return idfiles.read_ids(spark, path, with_ids=False)
+
+
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document without the chunks of lines that came before."""
     ship(spark)
@@ -76,5 +95,5 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_quality_rules, op2_decontamination, op4_secret_scan, op5_url_filter, op6_sentencepiece, op7_html_extraction,
-    op8_simhash, op10_line_dedup)}
+    op1_quality_rules, op2_decontamination, op3_warc, op4_secret_scan, op5_url_filter, op6_sentencepiece, op7_html_extraction,
+    op8_simhash, op9_token_files, op10_line_dedup)}
