@@ -95,4 +95,21 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict
 FROM split LEFT JOIN (SELECT * FROM fits WHERE k = 1) USING (rid)"""
 
 
-ORACLES = {"op1_quality_rules": _quality(), "op5_url_filter": _urls()}
+def _warc() -> str:
+    bits = "((('0x' || substr(sha, (k // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31)"
+    return f"""
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages
+), d AS (
+  SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(payload) AS sha,
+         max(page_id) OVER (PARTITION BY payload) AS keep FROM p
+)
+SELECT page_id, payload_bytes,
+       array_to_string(list_transform(range(0, 32), lambda k:
+         substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + {bits}, 1)), '') AS payload_digest,
+       CASE WHEN page_id = keep THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> keep THEN keep END AS refers_to
+FROM d"""
+
+
+ORACLES = {"op3_warc": _warc(), "op1_quality_rules": _quality(), "op5_url_filter": _urls()}
