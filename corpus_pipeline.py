@@ -8,8 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideledger.llm import decontam, quality, simhash
+from tideledger.llm import decontam, linechunks, pieces, quality, simhash
 from tideledger.llm.common import ship, table
+from tideledger.llm.queries import tokenizer_file
 from tideledger.session import shared_folder
 
 
@@ -18,6 +19,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document, without chunks of lines that an earlier one has."""
+    ship(spark)
+    return linechunks.keep_first(docs)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group: that of the least doc_id."""
     ship(spark)
@@ -30,9 +37,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
-STAGES = [("quality_rules", quality_rules),
-          ("near_duplicates", near_duplicates),
-          ("benchmark_decontamination", decontamination)]
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's sampled segmentations, beside its columns but the text."""
+    ship(spark)
+    return pieces.encode(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+STAGES = [("quality_rules", quality_rules), ("line_dedup", line_dedup), ("near_duplicates", near_duplicates),
+          ("benchmark_decontamination", decontamination), ("sentencepiece", sentencepiece)]
 
 #: SQL cannot express the stages' fingerprints and lattices; tests/llm compares with brute force.
 ORACLE_SQL = None
