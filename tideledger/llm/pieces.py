@@ -22,7 +22,6 @@ from __future__ import annotations
 import heapq
 import math
 import re
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,18 +32,23 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+_LETTER = r"[^\W\d_]"
+_OTHER = rf"(?:[\W\d_](?<![{SPACE}\n]))"
+UNIT_BY_LETTERS = re.compile(rf"\n|{SPACE}+{_OTHER}*{_LETTER}*|{_OTHER}+{_LETTER}*|{_LETTER}+")
 K = 3
 THETA = 1.0
 SEED = 42
 RANK_SHIFT = 2.7
-#: Nodes kept by a Python worker; then all are made anew.
+#: Nodes (some 90 bytes each) kept by a Python worker.
 KEPT_NODES = 1_500_000
-#: Factor per character that keeps sums near 1, and the longest unit that shares its nodes with others.
-SCALE = 12.0
-SHARED_CHARS = 48
+#: Choices made with one random number, choices split at once, and the greatest noise that `uniform` can give.
+FRESH_STEPS = 4
+SPLIT_AT_ONCE = 256
+MAX_NOISE = 37.0
 #: Units walked at once.
 CHUNK_UNITS = 1 << 17
 
+_HASH_STEP = np.uint64(0xD6E8FEB86659FD93)
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -63,7 +67,12 @@ def row_key(seed: int, key) -> int:
 
 
 class Lattice:
-    """Choice tables of units. Edges of a node are neighbours, with their running probability."""
+    """Choice tables of units, made for many units at once.
+
+    A unit has a node per character. A node's edges are the pieces that start there, likeliest first: `p`
+    is an edge's probability given the node, `cum` the sum up to it, `target` the node that follows (-1 at
+    the unit's end), `piece` the id (below zero: the bytes of character -1 - piece).
+    """
 
     def __init__(self, model_file: str, theta: float = THETA) -> None:
         from sentencepiece import SentencePieceProcessor
@@ -77,111 +86,160 @@ class Lattice:
                 self.bytes_at[int(piece[3:5], 16)] = i
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.ids[piece] = i
+        self.pieces = {i: w for w, i in self.ids.items()}
         order = sorted(self.ids.values(), key=lambda i: (-self.model.get_score(i), i))
         self.weight = {i: -theta * math.log(r + RANK_SHIFT) for r, i in enumerate(order)}
         self.byte_weight = -theta * math.log(len(order) + RANK_SHIFT)
-        self.longest = max(map(len, self.ids), default=1)
-        self.scaled = {i: math.exp(w) * SCALE ** len(p) for p, i in self.ids.items() for w in (self.weight[i],)}
-        self.heads = {p[:n] for p in self.ids for n in range(1, len(p) + 1)}
+        self.letters_end_units = all(not (a.isalpha() and not b.isalpha()) for w in self.ids for a, b in zip(w, w[1:]))
+        # by length: hashes of all heads of pieces, with the id of those that are a piece (else -1)
+        self.heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for size in range(1, max(map(len, self.ids), default=0) + 1):
+            words = sorted({w[:size] for w in self.ids if len(w) >= size})
+            points = np.array([[ord(c) for c in w] for w in words], dtype=np.uint64)
+            hashes = _window_hash(points)
+            at = np.argsort(hashes)
+            if (np.diff(hashes[at]) == 0).any():
+                raise ValueError("two heads of pieces share a hash")
+            self.heads.append((hashes[at], np.array([self.ids.get(w, -1) for w in words], dtype=np.int64)[at], points[at]))
+        self.ascii_ids = np.array(self.bytes_at[:128], dtype=np.int32)
+        self.log_weight = np.array([self.weight.get(i, 0.0) for i in range(n)])
         self.clear()
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.suffixes: dict[str, int] = {}
-        self.sums = array("d")
-        self.first = array("q", [0])
-        self.cum, self.target, self.logp = array("d"), array("q"), array("d")
-        self.id_start, self.pool = array("q", [0]), array("i")
-
-    def _node(self, edges: list[tuple], total: float) -> int:
-        """Stores a node's (mass, target node, ids), likeliest first, so few are looked at in a draw."""
-        edges.sort(key=lambda e: -e[0])
-        run = 0.0
-        for mass, target, pieces in edges:
-            p = mass / total
-            run += p
-            self.cum.append(run)
-            self.target.append(target)
-            self.logp.append(math.log(p) if p > 0 else -745.0)
-            self.pool.extend(pieces)
-            self.id_start.append(len(self.pool))
-        self.cum[-1] = 2.0
-        self.first.append(len(self.cum))
-        return len(self.first) - 2
-
-    def add(self, unit: str, shared: bool = True) -> int:
-        """Makes the nodes of a unit that are not there yet; its first node.
-
-        What follows a place depends on the rest of the unit only, so units share the nodes of their
-        common endings. A piece's weight is multiplied by SCALE per character, which changes no
-        probability (all segmentations are as long) and keeps the sums near 1.
+        self.table = {"first": np.zeros(1, np.int64), "cum": np.empty(0), "p": np.empty(0),
+                      "target": np.empty(0, np.int32), "piece": np.empty(0, np.int32)}
+
+    def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place, characters, id) of every piece that fits, and of the bytes of characters that are no piece."""
+        found = []
+        live, hashes = np.arange(len(points)), np.zeros(len(points), dtype=np.uint64)
+        for size, (known, ids, heads) in enumerate(self.heads, 1):
+            inside = live + size <= ends[live]
+            live, hashes = live[inside], hashes[inside]
+            if not len(live):
+                break
+            with np.errstate(over="ignore"):
+                hashes = hashes * _HASH_STEP + points[live + size - 1] + np.uint64(1)
+            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+            hit = known[at] == hashes
+            live, hashes, at = live[hit], hashes[hit], at[hit]
+            # equal hashes are proposals only
+            true = np.ones(len(live), dtype=bool)
+            for k in range(size):
+                true &= points[live + k] == heads[at, k]
+            live, hashes, at = live[true], hashes[true], at[true]
+            piece = ids[at]
+            whole = piece >= 0
+            found.append((live[whole], np.full(int(whole.sum()), size), piece[whole]))
+        place, size, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
+        single = np.zeros(len(points), dtype=bool)
+        single[place[size == 1]] = True
+        bare = np.flatnonzero(~single)
+        return (np.concatenate([place, bare]), np.concatenate([size, np.ones(len(bare), np.int64)]),
+                np.concatenate([piece, -1 - points[bare].astype(np.int64)]))
+
+    def make(self, units: list[str], first_node: int) -> dict:
+        """Table of the units, nodes counted from `first_node`."""
+        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        ends = np.repeat(np.cumsum(sizes), sizes)
+        place, size, piece = self._edges(points, ends)
+        bytes_of = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
+        weight = np.where(piece >= 0, self.log_weight[np.maximum(piece, 0)], self.byte_weight * bytes_of[place])
+        # backward sums, all places of one distance to the end of their unit together
+        left = ends[place] - place
+        order = np.lexsort((place, left))
+        place, size, piece, weight, left = place[order], size[order], piece[order], weight[order], left[order]
+        sums = np.zeros(len(points) + 1)
+        mass = np.empty(len(place))
+        steps = np.flatnonzero(np.diff(left, prepend=0, append=-1))
+        stop = ends[place] == place + size
+        for a, b in zip(steps, steps[1:]):
+            own = place[a:b]
+            m = weight[a:b] + np.where(stop[a:b], 0.0, sums[own + size[a:b]])
+            at = np.flatnonzero(np.diff(own, prepend=-1))
+            top = np.maximum.reduceat(m, at)
+            widths = np.diff(np.append(at, b - a))
+            total = top + np.log(np.add.reduceat(np.exp(m - np.repeat(top, widths)), at))
+            sums[own[at]] = total
+            mass[a:b] = m - np.repeat(total, widths)
+        order = np.lexsort((-mass, place))
+        place, size, piece, stop, p = place[order], size[order], piece[order], stop[order], np.exp(mass[order])
+        first = np.searchsorted(place, np.arange(len(points) + 1))
+        run = np.cumsum(p)
+        cum = run - np.repeat((run - p)[first[:-1]], np.diff(first))
+        cum[first[1:] - 1] = 2.0
+        target = np.where(stop, -1, place + size + first_node)
+        return {"first": first, "cum": cum, "p": p, "target": target.astype(np.int32), "piece": piece.astype(np.int32)}
+
+    def tables(self, units: list[str]) -> tuple[dict, np.ndarray]:
+        """A table that holds all these units, and each one's first node.
+
+        New units are kept for later texts while there is room; beyond that they serve this call only.
+        """
+        new = sorted(set(units).difference(self.units))
+        known, table = self.units, self.table
+        if new:
+            base, edges = len(table["first"]) - 1, len(table["cum"])
+            own = self.make(new, base)
+            starts = base + np.cumsum([0, *map(len, new)])[:-1]
+            joined = {"first": np.concatenate([table["first"][:-1], own["first"] + edges])} | {
+                k: np.concatenate([table[k], own[k]]) for k in ("cum", "p", "target", "piece")}
+            more = dict(zip(new, starts.tolist()))
+            if base < KEPT_NODES:
+                known.update(more)
+                self.table = joined
+            else:
+                known = {u: known[u] if u in known else more[u] for u in set(units)}
+            table = joined
+        return table, np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
+
+    def ids_of(self, pieces: np.ndarray) -> np.ndarray:
+        """Pieces with characters below zero put out as bytes."""
+        ascii_ = np.flatnonzero((pieces < 0) & (pieces >= -128))
+        if len(ascii_):
+            pieces = pieces.copy()
+            pieces[ascii_] = self.ascii_ids[-1 - pieces[ascii_]]
+        at = np.flatnonzero(pieces < 0)
+        if not len(at):
+            return pieces
+        raw = [[self.bytes_at[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")] for i in pieces[at].tolist()]
+        return np.insert(np.delete(pieces, at), np.repeat(at - np.arange(len(at)), [len(r) for r in raw]),
+                         [i for r in raw for i in r]).astype(np.int32)
+
+    def units_of(self, text: str) -> list[str]:
+        """Units of the text as the model reads it: a blank in front, blanks as SPACE.
+
+        No piece crosses the borders: a blank or line starts a unit, and so does what follows a
+        letter without being one, if the model has no piece that joins the two.
         """
-        n, ids, heads, scaled = len(unit), self.ids, self.heads, self.scaled
-        short = shared and n <= SHARED_CHARS
-        known, sums = (self.suffixes, self.sums) if short else ({}, self.sums)
-        node = -1
-        ahead: list[tuple[float, int]] = [(1.0, -1)]  # sum and node of each later place, nearest last
-        for i in range(n - 1, -1, -1):
-            if short:
-                node = known.get(unit[i:], -2)
-                if node >= 0:
-                    ahead.append((sums[node], node))
-                    continue
-            edges, total = [], 0.0
-            for j in range(i + 1, min(n, i + self.longest) + 1):
-                piece = unit[i:j]
-                if piece not in heads:
-                    break
-                number = ids.get(piece)
-                if number is not None:
-                    beyond, target = ahead[i - j]
-                    mass = scaled[number] * beyond
-                    edges.append((mass, target, (number,)))
-                    total += mass
-            if unit[i] not in ids:
-                raw = unit[i].encode("utf-8", "surrogatepass")
-                beyond, target = ahead[-1]
-                mass = math.exp(self.byte_weight * len(raw)) * SCALE * beyond
-                edges.append((mass, target, tuple(self.bytes_at[b] for b in raw)))
-                total += mass
-            node = self._node(edges, total)
-            sums.append(total)
-            if short:
-                known[unit[i:]] = node
-            ahead.append((total, node))
-            if not 1e-100 < total < 1e100:
-                if short:
-                    return self.add(unit, shared=False)
-                # only ratios of the sums just ahead matter from here on
-                ahead = [(s / total, t) for s, t in ahead[-self.longest - 1:]]
-        return node
-
-    def first_nodes(self, units: list[str]) -> np.ndarray:
-        if len(self.first) > KEPT_NODES:
-            self.clear()
-        known = self.units
-        for u in set(units).difference(known):
-            known[u] = self.add(u)
-        return np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
-
-    def freeze(self) -> dict:
-        get = lambda a, t: np.array(a, dtype=t) if not len(a) else np.frombuffer(a, dtype=t)
-        return {"first": get(self.first, np.int64), "cum": get(self.cum, np.float64), "target": get(self.target, np.int64),
-                "logp": get(self.logp, np.float64), "id_start": get(self.id_start, np.int64), "pool": get(self.pool, np.int32)}
-
-
-def units_of(text: str) -> list[str]:
-    """Units of the text as the model reads it: a blank in front, blanks as SPACE."""
-    return UNIT.findall(SPACE + text.replace(" ", SPACE)) if text else []
+        if not text:
+            return []
+        return (UNIT_BY_LETTERS if self.letters_end_units else UNIT).findall(SPACE + text.replace(" ", SPACE))
+
+
+def _window_hash(points: np.ndarray) -> np.ndarray:
+    """Rolling hash of each row of code points."""
+    out = np.zeros(len(points), dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        for k in range(points.shape[1]):
+            out = out * _HASH_STEP + points[:, k] + np.uint64(1)
+    return out
 
 
 def walk(t: dict, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled edges from each start node to the end of its unit: (place in `nodes`, edge), in order."""
+    """Sampled edges from each start node to the end of its unit: (place in `nodes`, edge), in order.
+
+    One number serves several choices: what is left of it inside the chosen edge's share is uniform again.
+    """
     owners, edges = [], []
     at, node, step = np.arange(len(nodes)), nodes, 0
+    counts = np.zeros(len(nodes), dtype=np.int64)
     while len(at):
-        with np.errstate(over="ignore"):
-            u = uniform(keys[at] + np.uint64(step) * _MIX1)
+        if step % FRESH_STEPS == 0:
+            with np.errstate(over="ignore"):
+                u = uniform(keys[at] + np.uint64(step) * _MIX1)
         edge = t["first"][node]
         rest = np.flatnonzero(t["cum"][edge] <= u)
         while len(rest):
@@ -189,13 +247,21 @@ def walk(t: dict, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
             rest = rest[t["cum"][edge[rest]] <= u[rest]]
         owners.append(at)
         edges.append(edge)
+        counts[at] += 1
         node = t["target"][edge]
-        on = node >= 0
-        at, node, step = at[on], node[on], step + 1
-    owner = np.concatenate(owners) if owners else np.empty(0, np.int64)
-    edge = np.concatenate(edges) if edges else np.empty(0, np.int64)
-    order = np.argsort(owner, kind="stable")
-    return owner[order], edge[order]
+        on = np.flatnonzero(node >= 0)
+        if not len(on):
+            break
+        at, node, chosen, u, step = at[on], node[on].astype(np.int64), edge[on], u[on], step + 1
+        # the share of an edge ends at cum, but the last one's is put to 2 and ends at 1
+        p = t["p"][chosen]
+        below = np.minimum(t["cum"][chosen], 1.0) - p
+        u = np.clip((u - below) / p, 2.0 ** -53, 1 - 2.0 ** -53)
+    begin = np.cumsum(counts) - counts
+    owner, out = np.repeat(np.arange(len(nodes)), counts), np.empty(int(counts.sum()), dtype=np.int64)
+    for step, (at, edge) in enumerate(zip(owners, edges)):
+        out[begin[at] + step] = edge
+    return owner, out
 
 
 def _gumbels(u: np.ndarray, place: np.ndarray, bound: float) -> np.ndarray:
@@ -216,34 +282,41 @@ class _Search:
     def add_path(self, t: dict, units: np.ndarray, edges: np.ndarray, value: float, start: int, barred: tuple) -> None:
         """Takes a sampled path and splits the rest of its set, from choice `start` on."""
         sample = len(self.found)
-        logp = t["logp"][edges]
-        before = np.cumsum(logp) - logp
+        logp = np.log(t["p"][edges])
         self.found.append((units, edges, float(logp.sum()), value))
-        own = np.exp(logp[start:])
-        # others of the first node that are barred already
-        if len(own):
-            own[0] += sum(math.exp(t["logp"][e]) for e in barred)
-        left = np.maximum(1.0 - own, 0.0)
-        # a node with one choice has nothing left; what rounding leaves is less than this
-        open_ = np.flatnonzero(left > 1e-12)
-        if not len(open_):
-            return
-        place = before[start:][open_] + np.log(left[open_])
-        values = _gumbels(uniform(self.keys(sample, open_ + start, 1)), place, value)
-        keep = np.arange(len(open_)) if len(open_) <= self.k else np.argpartition(-values, self.k)[:self.k + 1]
-        for c in keep.tolist():
-            depth = int(open_[c]) + start
-            bars = (int(edges[depth]),) + (barred if depth == start else ())
-            heapq.heappush(self.heap, (-float(values[c]), sample, depth, bars))
-        # of the sets in wait, no more than those that can still be among the k and the one after count
-        self.heap = heapq.nsmallest(self.k + 1, self.heap)
+        done, before, least = start, float(logp[:start].sum()), -math.inf
+        # Noise is at most MAX_NOISE, and a set's mass is at most that of the choices before it: once
+        # that is too low to pass the worst set in wait, no later set can.
+        while done < len(edges) and before + MAX_NOISE > least:
+            part = logp[done:done + SPLIT_AT_ONCE]
+            own = t["p"][edges[done:done + SPLIT_AT_ONCE]]
+            if done == start and barred:
+                own = own.copy()
+                own[0] += sum(float(t["p"][e]) for e in barred)
+            left = np.maximum(1.0 - own, 0.0)
+            # a node with one choice has nothing left; what rounding leaves is less than this
+            open_ = np.flatnonzero(left > 1e-12)
+            if len(open_):
+                place = (before + np.cumsum(part) - part)[open_] + np.log(left[open_])
+                values = _gumbels(uniform(self.keys(sample, open_ + done, 1)), place, value)
+                keep = range(len(open_)) if len(open_) <= self.k else np.argpartition(-values, self.k)[:self.k + 1].tolist()
+                for c in keep:
+                    depth = int(open_[c]) + done
+                    bars = (int(edges[depth]),) + (barred if depth == start else ())
+                    self.heap.append((-float(values[c]), sample, depth, bars))
+                # of the sets in wait, no more than the k best and the one after them can count
+                self.heap = heapq.nsmallest(self.k + 1, self.heap)
+                if len(self.heap) > self.k:
+                    least = -self.heap[-1][0]
+            before += float(part.sum())
+            done += len(part)
 
 
 def _other_edge(t: dict, node: int, barred: tuple, u: float) -> int:
     """An edge of the node that is not barred, by probability."""
     lo, hi = int(t["first"][node]), int(t["first"][node + 1])
     edges = [e for e in range(lo, hi) if e not in barred]
-    weights = [math.exp(t["logp"][e]) for e in edges]
+    weights = [float(t["p"][e]) for e in edges]
     goal = u * sum(weights)
     for e, w in zip(edges, weights):
         goal -= w
@@ -258,7 +331,7 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list, k: int = K, se
     A text with fewer segmentations gives all of them; an empty or null one its only, empty one.
     """
     out: list[list[tuple]] = []
-    parts = [units_of(x or "") for x in texts]
+    parts = [lattice.units_of(x or "") for x in texts]
     begin = 0
     while begin < len(texts):
         end, total = begin, 0
@@ -271,8 +344,7 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list, k: int = K, se
 
 
 def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int, seed: int) -> list[list[tuple]]:
-    nodes = lattice.first_nodes([u for p in parts for u in p])
-    t = lattice.freeze()
+    t, nodes = lattice.tables([u for p in parts for u in p])
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     searches = [_Search(row_key(seed, key), k) for key in keys]
@@ -326,9 +398,7 @@ def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int,
         kappa = -s.heap[0][0] if s.heap else -math.inf
         rows = []
         for _, edges, logp, value in s.found:
-            a, b = t["id_start"][edges], t["id_start"][edges + 1]
-            size = b - a
-            ids = t["pool"][np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
+            ids = lattice.ids_of(t["piece"][edges])
             x = logp - kappa
             score = 0.0 if x > 40 else math.log(-math.expm1(-math.exp(x))) if x > -30 else x
             rows.append((ids, logp, value, score))
@@ -337,7 +407,11 @@ def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int,
 
 
 def decode(lattice: Lattice, ids: list[int]) -> str:
-    return lattice.model.decode([int(i) for i in ids])
+    """The text of a list of ids; runs of bytes are read as UTF-8 by the model."""
+    try:
+        return "".join(map(lattice.pieces.__getitem__, ids)).replace(SPACE, " ")[1:]
+    except KeyError:
+        return lattice.model.decode(ids)
 
 
 _LATTICES: dict[tuple, Lattice] = {}
