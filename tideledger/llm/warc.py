@@ -23,6 +23,7 @@ from tideledger.llm.bytefiles import read_bytes, write_bytes
 from tideledger.session import durable
 
 VERSION = b"WARC/1.1"
+FIRST_LINE = re.compile(rb"WARC/1\.[01]\r?\n")
 VERSION_LINE = re.compile(rb"(?:\A|(?<=\n))WARC/1\.[01]\r?\n")
 MEMBER = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -81,8 +82,7 @@ def _headers(lines: bytes) -> dict[str, str]:
 
 def read_record(data: bytes, at: int) -> tuple[int, dict[str, str] | str, bytes]:
     """(end, headers, block) of the record at a place, or (place, reason, b'')."""
-    line = VERSION_LINE.match(data, at)
-    if not line:
+    if not FIRST_LINE.match(data, at):
         return at, "no version line", b""
     head_end = data.find(b"\r\n\r\n", at)
     if head_end < 0:
@@ -91,6 +91,8 @@ def read_record(data: bytes, at: int) -> tuple[int, dict[str, str] | str, bytes]
         headers = _headers(data[at:head_end])
     except UnicodeDecodeError:
         return at, "headers are not UTF-8", b""
+    if "warc-record-id" not in headers or "warc-type" not in headers:
+        return at, "no record id or type", b""
     size = headers.get("content-length", "")
     if not size.isdecimal():
         return at, "no Content-Length", b""
