@@ -114,7 +114,8 @@ def _marks(rows: DataFrame, but: DataFrame | None = None) -> DataFrame:
 def _marked(docs: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """docs with __same and __gone (null without a repeated chunk), written."""
     keyed = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
-    return durable(docs.join(durable(marks), keyed, "left").drop("__id", "__key"))
+    # one plan at every size: the marks grow with the corpus, so they are never broadcast
+    return durable(docs.join(durable(marks).hint("shuffle_hash"), keyed, "left").drop("__id", "__key"))
 
 
 def _clashes(marked: DataFrame, text: str) -> DataFrame:
