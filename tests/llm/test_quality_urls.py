@@ -30,9 +30,9 @@ def test_measures_equal_loops(spark):
 def test_plain_path_of_repeats_equals_the_fast_one(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS) if t and len(t.split()) > 3], "doc_id long, text string")
     words = quality.words_of(F.col("text"))
-    starts = F.sequence(F.lit(0), F.size(words) - 3)
-    places = quality._repeats_by_text(words, starts)
-    slow = F.when(F.size(places) == 0, 0).otherwise(quality._covered(places))
+    slow = quality.let(words, lambda w: quality.let(
+        quality._repeats_by_text(w, F.sequence(F.lit(0), F.size(w) - 3)),
+        lambda p: F.when(F.size(p) == 0, 0).otherwise(quality._covered(p))))
     for r in df.select(slow.alias("a"), quality.repeated_words(words).alias("b")).collect():
         assert r.a == r.b
 
