@@ -9,6 +9,7 @@ side by side, one table lookup per id.
 
 from __future__ import annotations
 
+import itertools
 import json
 import math
 import re
@@ -33,8 +34,9 @@ BLOCK_IDS = 1 << 17
 BLOCKS_PER_FILE = 64
 #: Most distinct ids of a vocabulary: bounds what the driver holds to build the code.
 MAX_VOCABULARY = 1 << 20
-#: Words that a Python worker keeps with their ids; then it starts anew.
+#: Words that a Python worker keeps with their ids; others are encoded for each batch of texts.
 KEPT_WORDS = 500_000
+DOCS_AT_ONCE = 1024
 
 
 # -- code --------------------------------------------------------------------------------------
@@ -189,61 +191,62 @@ class WordIds:
 
     def clear(self) -> None:
         self.known: dict[str, int] = {"": 0}
-        self.stems: dict[str, list[int]] = {}
-        self.pool, self.starts, self.sizes = [np.empty(0, np.uint32)], [0], [0]
-        self.total = 0
+        self.marks = {m: self._encode([m])[0] for m in (".", ",")} | {"": []}
+        self.pool = np.empty(0, np.uint32)
+        self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def _encode(self, words: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
 
-    def _add_stems(self, stems: list[str]) -> None:
+    def _stems(self, stems: list[str]) -> dict[str, list[int]]:
+        """Ids of words of lower-case letters, many words in one call, cut where a word's last token says so."""
+        found: dict[str, list[int]] = {}
         lines = [stems[i:i + 64] for i in range(0, len(stems), 64)]
         for line, ids in zip(lines, self._encode([" ".join(x) for x in lines])):
-            parts: list[list[int]] = [[]]
-            for i in ids:
-                parts[-1].append(i)
+            parts: list[list[int]] = []
+            at = 0
+            for k, i in enumerate(ids, 1):
                 if i in self.closes:
-                    parts.append([])
-            if len(parts) != len(line) + 1 or parts[-1]:
+                    parts.append(ids[at:k])
+                    at = k
+            if len(parts) != len(line) or at != len(ids):
                 parts = self._encode(line)
-            self.stems.update(zip(line, parts))
-
-    def add(self, words: list[str]) -> None:
-        plain = {w: m.groups() for w in words if (m := self.PLAIN.fullmatch(w))}
-        stems = {s.lower() for s, _ in plain.values()} | {p for _, p in plain.values() if p}
-        self._add_stems(sorted(stems.difference(self.stems) - {".", ","}))
-        for mark in (".", ","):
-            if mark not in self.stems:
-                self.stems[mark] = self._encode([mark])[0]
+            found.update(zip(line, parts))
+        return found
+
+    def ids_of(self, words: list[str]) -> list[list[int]]:
+        match = self.PLAIN.fullmatch
+        plain = {w: (m[1].lower(), m[2]) for w in words if (m := match(w))}
+        stems = self._stems(sorted({s for s, _ in plain.values()}))
         others = [w for w in words if w not in plain]
         found = dict(zip(others, self._encode(others)))
-        flat: list[int] = []
-        for w in words:
-            ids = found[w] if w in found else self.stems[plain[w][0].lower()] + (self.stems[plain[w][1]] if plain[w][1] else [])
-            self.known[w] = len(self.starts)
-            self.starts.append(self.total + len(flat))
-            self.sizes.append(len(ids))
-            flat += ids
-        self.pool.append(np.array(flat, dtype=np.uint32))
-        self.total += len(flat)
+        found.update((w, stems[s] + self.marks[p]) for w, (s, p) in plain.items())
+        return [found[w] for w in words]
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by `end`, and their counts; null is empty."""
-        if len(self.known) > KEPT_WORDS:
-            self.clear()
         split = [_words(x) for x in texts]
-        self.add(sorted({w for words in split for w in words}.difference(self.known)))
-        if len(self.pool) > 1:
-            self.pool = [np.concatenate(self.pool)]
-        starts, sizes = np.array(self.starts), np.array(self.sizes)
+        known, pool, starts, sizes = self.known, self.pool, self.starts, self.sizes
+        new = sorted(set().union(*split).difference(known))
+        if new:
+            ids = self.ids_of(new)
+            n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
+            more = dict(zip(new, range(len(starts), len(starts) + len(new))))
+            starts, sizes = np.append(starts, len(pool) + np.cumsum(n) - n), np.append(sizes, n)
+            pool = np.append(pool, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(n.sum())))
+            if len(known) < KEPT_WORDS:
+                known.update(more)
+                self.pool, self.starts, self.sizes = pool, starts, sizes
+            else:  # no more room: for this call only
+                known = more
         per_doc = np.array([len(s) for s in split], dtype=np.int64)
-        get = self.known.__getitem__
+        get = known.__getitem__ if known is self.known else lambda w: more[w] if w in more else self.known[w]
         code = np.fromiter((c for words in split for c in map(get, words)), dtype=np.int64, count=int(per_doc.sum()))
         n = sizes[code]
         edges = np.concatenate([[0], np.cumsum(n)])
         bounds = np.concatenate([[0], np.cumsum(per_doc)])
         doc_ends = edges[bounds[1:]]
-        flat = self.pool[0][np.repeat(starts[code] - edges[:-1], n) + np.arange(int(edges[-1]))]
+        flat = pool[np.repeat(starts[code] - edges[:-1], n) + np.arange(int(edges[-1]))]
         out = np.insert(flat, doc_ends, end)
         return out, doc_ends - edges[bounds[:-1]] + 1
 
@@ -274,8 +277,8 @@ def tokenized(docs: DataFrame, file: str, text: str = "text", end: int = END_ID)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = encoder(file)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, DOCS_AT_ONCE):
+                part = batch.slice(at, DOCS_AT_ONCE)
                 ids, sizes = words.encode(part.column("t").to_pylist(), end)
                 raw = ids.astype(words.dtype).tobytes()
                 cuts = (np.concatenate([[0], np.cumsum(sizes)]) * words.dtype.itemsize).tolist()
