@@ -174,3 +174,16 @@ def test_bernoulli_rate(spark):
     df, _ = daily(spark, n=300)
     days = resample.bernoulli_days(df.withColumn("p", F.lit(0.3)), K, 20, "p")
     assert days.agg(F.avg("flag")).first()[0] == pytest.approx(0.3, abs=0.03)
+
+
+def test_a_series_with_gaps_still_gives_whole_years(spark):
+    import datetime as dt
+
+    from tideledger.operators import resample
+    days = [dt.date(2020, 1, 1) + dt.timedelta(days=i) for i in range(0, 700, 9)]
+    daily = spark.createDataFrame([("p", d, float(i)) for i, d in enumerate(days)], "port string, date date, v double")
+    drawn = resample.draw_days(resample.seasonal_candidates(daily, ["port"], ["v"]), ["port"], 5)
+    years = {r.sim: (r.n, r.days) for r in drawn.groupBy("sim").agg(
+        __import__("pyspark.sql.functions", fromlist=["f"]).count("*").alias("n"),
+        __import__("pyspark.sql.functions", fromlist=["f"]).count_distinct("day").alias("days")).collect()}
+    assert years == {i: (365, 365) for i in range(5)}

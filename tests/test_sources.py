@@ -74,3 +74,19 @@ def test_tables_are_partitioned_by_run(spark, tmp_path):
     sinks.write_table(df, str(tmp_path / "t"))
     assert (tmp_path / "t" / "run=g1").is_dir()
     assert spark.read.parquet(str(tmp_path / "t")).count() == 2
+
+
+def test_columns_go_by_header_name(spark, tmp_path):
+    put(tmp_path / "x" / "waves_2019.csv", "datetime,swh,port_name\n2019-05-01 00:00:00,1.5,P\n")
+    rows = scan.scan_yearly_series(spark, str(tmp_path / "x"), 2018, 2021).collect()
+    assert [(r.port_name, r.datetime, r.swh, r.swell_height) for r in rows] == [("P", dt.datetime(2019, 5, 1), 1.5, None)]
+    p = put(tmp_path / "w.csv", "w_p50,port_name,fishermen_province,caleta\n7,P,3,C\n")
+    assert [tuple(r) for r in scan.scan_wages(spark, p).collect()] == [("C", "P", 7.0, 3.0)]
+    with pytest.raises(ValueError):
+        scan.scan_closures(spark, put(tmp_path / "c.csv", "capitania,date\nQ,2020-01-01\n"))
+
+
+def test_a_time_that_does_not_parse_stops_the_job(spark, tmp_path):
+    p = put(tmp_path / "t.csv", "date,swh\nnot a date,1\n")
+    with pytest.raises(Exception, match="not a time"):
+        scan.scan_series_csv(spark, p).collect()

@@ -324,7 +324,11 @@ def cost_shares(component_means: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def aep_curve(daily: DataFrame, exposure: DataFrame, keys: Sequence[str], value: str,
               percentile: float, n_sims: int, min_days: int = 1, seed: int = 0) -> DataFrame:
-    """Whole chain for one trigger: threshold, resampled years, runs, losses, exceedance ranks."""
+    """Whole chain for one trigger: threshold, resampled years, runs, losses, exceedance ranks.
+
+    The day rows are written first: threshold, blocks and slots all read them.
+    """
+    daily = durable(daily)
     thresholds = daily.groupBy(*keys).agg(F.percentile(value, F.lit(percentile)).alias("threshold"))
     days = simulate(daily, keys, [value], n_sims, seed)
     losses = single_rule_losses(days, thresholds, exposure, keys, value, min_days)

@@ -116,7 +116,7 @@ def _ranks(p: float) -> tuple[Column, Column]:
 
 
 def _blend(name: str, p: float) -> Column:
+    """The built-in's own arithmetic, so both paths agree to the last bit."""
     pos = F.lit(float(p)) * (F.col("__total") - 1)
-    share = pos - F.floor(pos)
     lo, hi = F.col(f"__{name}_lo"), F.col(f"__{name}_hi")
-    return lo + share * (hi - lo)
+    return F.when(lo == hi, lo).otherwise((F.ceil(pos) - pos) * lo + (pos - F.floor(pos)) * hi)

@@ -63,16 +63,24 @@ def seasonal_candidates(daily: DataFrame, keys: Sequence[str], payload: Sequence
     """Blocks each slot may draw, numbered 0 .. n_candidates - 1.
 
     A block qualifies when it starts and ends inside centre +- window/2. The window is spelled
-    out as its days, so the range condition is an equi-join on the date.
+    out as its days, so the range condition is an equi-join on the date. A slot without such a
+    block (a series with gaps) draws from all full blocks of its key, so every simulated year is
+    whole; a key with less than one full block has none.
     """
     half = window_days // 2
-    starts = (slot_centres(daily, keys, block_length, days_per_year)
-              .select(*keys, "slot", "centre",
+    centres = slot_centres(daily, keys, block_length, days_per_year)
+    starts = (centres.select(*keys, "slot", "centre",
                       F.explode(F.sequence(F.date_sub("centre", half),
                                            F.date_add("centre", half))).alias("block_start")))
-    fit = (blocks(daily, keys, payload, block_length)
-           .join(starts, [*keys, "block_start"])
-           .where(F.col("block_end") <= F.date_add("centre", half)))
+    full = blocks(daily, keys, payload, block_length).where(F.col("block_end").isNotNull())
+    fit = (full.join(starts, [*keys, "block_start"])
+           .where(F.col("block_end") <= F.date_add("centre", half))
+           .select(*keys, "slot", "block_start", "rows", "centre"))
+    empty = (centres.select(*keys, "slot").distinct()
+             .join(fit.select(*keys, "slot").distinct(), [*keys, "slot"], "left_anti"))
+    spare = full.join(empty, list(keys)).select(
+        *keys, "slot", "block_start", "rows", F.lit(None).cast("date").alias("centre"))
+    fit = fit.unionByName(spare)
     pool = Window.partitionBy(*keys, "slot")
     return fit.select(
         *keys, "slot", "block_start", "rows",

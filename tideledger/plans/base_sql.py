@@ -125,11 +125,17 @@ CTE: dict[str, tuple[list[str], str]] = {
         JOIN (SELECT port_name, s AS slot,
                      CAST(make_date(min(year(date)), 1, 1) + CAST(7 * s AS INTEGER) AS DATE) AS ref
               FROM model_days, range(0, 53) r(s) GROUP BY port_name, s) USING (port_name)"""),
-    "candidates": (["starts", "centres"], """SELECT s.port_name, slot, s.i,
-            row_number() OVER (PARTITION BY s.port_name, slot ORDER BY block_start, centre) - 1
-            AS pick, count(*) OVER (PARTITION BY s.port_name, slot) AS n_candidates
+    "fitting": (["starts", "centres"], """SELECT s.port_name, slot, s.i, block_start, centre
         FROM starts s JOIN centres c ON s.port_name = c.port_name
         AND block_start BETWEEN centre - 10 AND centre + 10 AND block_end <= centre + 10"""),
+    "candidates": (["fitting", "starts", "centres"], """SELECT port_name, slot, i,
+            row_number() OVER (PARTITION BY port_name, slot ORDER BY block_start, centre) - 1
+            AS pick, count(*) OVER (PARTITION BY port_name, slot) AS n_candidates
+        FROM (SELECT * FROM fitting UNION ALL
+              SELECT s.port_name, e.slot, s.i, s.block_start, CAST(NULL AS DATE) AS centre
+              FROM (SELECT DISTINCT port_name, slot FROM centres
+                    EXCEPT SELECT port_name, slot FROM fitting) e
+              JOIN starts s ON s.port_name = e.port_name)"""),
     "draws": ([], "SELECT sim, slot, " + _DRAW.format(
         "'0|' || CAST(sim AS VARCHAR) || '|' || CAST(slot AS VARCHAR)")
         + """ AS h FROM (SELECT unnest(range(200)) AS sim), (SELECT unnest(range(53)) AS slot)"""),

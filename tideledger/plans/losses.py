@@ -351,7 +351,7 @@ def _fleet_sql() -> dict[str, str]:
     import re
 
     from tideledger.plans.base_sql import CTE
-    steps = ["numbered", "starts", "centres", "candidates", "sim_days"]
+    steps = ["numbered", "starts", "centres", "fitting", "candidates", "sim_days"]
     out = {"fleet_days": f"""SELECT 'ALL' AS port_name, date,
         floor(avg(swh) * 134217728 + 0.5) / 134217728 AS v FROM readings_a GROUP BY date"""}
     for step in steps:

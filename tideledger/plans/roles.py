@@ -78,16 +78,17 @@ class Roles:
 
     @cached_property
     def daily_a(self) -> DataFrame:
-        return self.readings_a.groupBy("port_name", "date").agg(
+        """Port-days, written once: the raw table is read once however often they are used."""
+        return durable(self.readings_a.groupBy("port_name", "date").agg(
             snapped(F.avg("swh")).alias("swh_mean"), F.max("swh").alias("swh_max"),
-            F.min("swh").alias("swh_min"), F.count(F.lit(1)).alias("n_obs"))
+            F.min("swh").alias("swh_min"), F.count(F.lit(1)).alias("n_obs")))
 
     @cached_property
     def daily_b(self) -> DataFrame:
-        return self.readings_b.groupBy("port_name", "date").agg(
+        return durable(self.readings_b.groupBy("port_name", "date").agg(
             snapped(F.avg("swh")).alias("swh_mean"), F.max("swh").alias("swh_max"),
             F.min("swh").alias("swh_min"), snapped(F.avg("net")).alias("net_mean"),
-            F.count(F.lit(1)).alias("n_obs"))
+            F.count(F.lit(1)).alias("n_obs")))
 
     @cached_property
     def closures(self) -> DataFrame:

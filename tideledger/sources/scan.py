@@ -30,20 +30,39 @@ WAGE_SCHEMA = T.StructType([
     T.StructField("w_p50", T.DoubleType()), T.StructField("fishermen_province", T.DoubleType())])
 
 
+def read_by_header(spark: SparkSession, path: str | Sequence[str], schema: T.StructType,
+                   required: Sequence[str] = ()) -> DataFrame:
+    """The schema's columns of CSV files, found by header name and cast; absent ones are null.
+
+    Files whose header differs from the first file's are refused, not read by position. Values that
+    do not parse are null; a missing `required` column (all of the schema by default) raises.
+    """
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
+    missing = [n for n in (required or schema.names) if n not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns: {missing}")
+    return raw.select(*[
+        (F.col(f.name).try_cast(f.dataType) if f.name in raw.columns else F.lit(None).cast(f.dataType)).alias(f.name)
+        for f in schema], "_metadata")
+
+
 def scan_series_csv(spark: SparkSession, path: str | Sequence[str],
                     aliases: Mapping[str, str] = SERIES_ALIASES) -> DataFrame:
     """Hourly (ts, date, swh) rows with a known height; header aliases are understood.
 
-    Columns are read as text by header name and cast once, so files of one folder may use
-    different aliases of the same column only if read separately.
+    Columns are read as text by header name and cast once; files of one folder must share a header
+    (others are refused). A time that does not parse stops the job.
     """
-    raw = spark.read.option("header", True).csv(path)
+    raw = spark.read.option("header", True).option("enforceSchema", False).csv(path)
     named = raw.withColumnsRenamed({a: b for a, b in aliases.items() if a in raw.columns})
     missing = {"date", "swh"} - set(named.columns)
     if missing:
         raise ValueError(f"missing columns: {sorted(missing)}")
+    parsed = F.try_to_timestamp("date")
     typed = named.withColumns({
-        "ts": F.try_to_timestamp("date"), "swh": F.col("swh").try_cast("double")})
+        "ts": F.when(parsed.isNull() & F.col("date").isNotNull(),
+                     F.raise_error(F.concat(F.lit("not a time: "), F.col("date"))).cast("timestamp"))
+               .otherwise(parsed), "swh": F.col("swh").try_cast("double")})
     return (nan_to_null(typed, ["swh"]).withColumn("date", F.to_date("ts"))
             .dropna(subset=["swh"]))
 
@@ -56,8 +75,8 @@ def scan_yearly_series(spark: SparkSession, path: str, first_year: int, last_yea
     `pattern` finds the year in the path; by default the last year-like number.
     """
     year = F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)
-    rows = (spark.read.schema(schema).option("header", True).csv(path)
-                 .withColumn("year", year.try_cast("int"))
+    needed = [n for n in ("port_name", "datetime", "swh") if n in schema.names]
+    rows = (read_by_header(spark, path, schema, needed).withColumn("year", year.try_cast("int")).drop("_metadata")
                  .where(F.col("year").between(first_year, last_year)))
     return nan_to_null(rows, ["swh", "swell_height"])
 
@@ -65,7 +84,7 @@ def scan_yearly_series(spark: SparkSession, path: str, first_year: int, last_yea
 def scan_closures(spark: SparkSession, path: str, needle: str | None = None,
                   canonical: str | None = None) -> DataFrame:
     """Closure log with dates parsed, durations coerced and one port name repaired."""
-    rows = spark.read.schema(CLOSURE_SCHEMA).option("header", True).csv(path)
+    rows = read_by_header(spark, path, CLOSURE_SCHEMA, ["port_name", "date"]).drop("_metadata")
     rows = rows.withColumns({"date": F.try_to_date("date"),
                              "duracion": F.col("duracion").try_cast("double")})
     if needle is not None:
@@ -78,7 +97,7 @@ def scan_closures(spark: SparkSession, path: str, needle: str | None = None,
 
 def scan_wages(spark: SparkSession, path: str) -> DataFrame:
     if path.rstrip("/").endswith((".csv", ".csv.gz")):
-        return spark.read.schema(WAGE_SCHEMA).option("header", True).csv(path)
+        return read_by_header(spark, path, WAGE_SCHEMA, ["port_name", "w_p50"]).drop("_metadata")
     return spark.read.schema(WAGE_SCHEMA).parquet(path)
 
 
