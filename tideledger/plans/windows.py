@@ -120,20 +120,21 @@ _ZEROED = """SELECT port_name, 'swh_max' AS feature, date, CASE WHEN n_obs > 2 T
              WHEN n_obs > 1 THEN NULL ELSE swh_max END AS value FROM daily_a"""
 
 
-@query("rel_change_w", "port_name date:d r3:4 r7:4", "daily_a",
+@query("rel_change_w", "port_name date:d " + " ".join(f"r{w}:4" for w in feat.CHANGE_WINDOWS), "daily_a",
        "SELECT port_name, date, " + ", ".join(
            f"""CASE WHEN lag(value, {w}) OVER s = 0 THEN 0 ELSE (value - lag(value, {w}) OVER s)
-               / nullif(lag(value, {w}) OVER s, 0) * 100 END AS r{w}""" for w in (3, 7))
+               / nullif(lag(value, {w}) OVER s, 0) * 100 END AS r{w}""" for w in feat.CHANGE_WINDOWS)
        + f" FROM zeroed WINDOW s AS ({_ON})", extra={"zeroed": _ZEROED})
 def _(r: Roles):
     value = F.when(F.col("n_obs") > 2, F.lit(0.0)).when(F.col("n_obs") == 1, F.col("swh_max"))
     rows = r.daily_a.select("port_name", F.lit("swh_max").alias("feature"), "date",
                             value.alias("value"))
-    return rows.withColumns({f"r{w}": feat.rel_change(SERIES, "date", "value", w) for w in (3, 7)})
+    return rows.withColumns({f"r{w}": feat.rel_change(SERIES, "date", "value", w) for w in feat.CHANGE_WINDOWS})
 
 
-@query("lag_k", "port_name feature date:d lag_1:9 lag_14:9 p7_lag_3:6 m5_lag_5:6", "base_long",
-       f"""SELECT *, lag(value) OVER s AS lag_1, lag(value, 14) OVER s AS lag_14,
+@query("lag_k", "port_name feature date:d " + " ".join(f"lag_{k}:9" for k in feat.LAGS)
+       + " p7_lag_3:6 m5_lag_5:6", "base_long",
+       f"""SELECT *, {", ".join(f"lag(value, {k}) OVER s AS lag_{k}" for k in feat.LAGS)},
            lag(p7, 3) OVER s AS p7_lag_3, lag(m5, 5) OVER s AS m5_lag_5
            FROM (SELECT *, avg(value) OVER {_rows(7)} AS p7, {_sql_min2('avg', 5)} AS m5 FROM base_long)
            WINDOW s AS ({_ON})""")
@@ -141,7 +142,7 @@ def _(r: Roles):
     made = r.base_long.withColumns({"p7": feat.persistence(SERIES, "date", "value", 7),
                                     "m5": feat.rolling_mean(SERIES, "date", "value", 5)})
     lag = lambda c, k: feat.lagged(SERIES, "date", c, k)
-    return made.withColumns({"lag_1": lag("value", 1), "lag_14": lag("value", 14),
+    return made.withColumns({**{f"lag_{k}": lag("value", k) for k in feat.LAGS},
                              "p7_lag_3": lag("p7", 3), "m5_lag_5": lag("m5", 5)})
 
 
@@ -237,11 +238,11 @@ def _(r: Roles):
 
 
 @query("event_run_features", "port_name date:d event_duration:i " + " ".join(
-    f"event_dummy_{k}:i event_count_{k}:i" for k in (2, 3, 5)), "fired",
+    f"event_dummy_{k}:i event_count_{k}:i" for k in range(2, 8)), "fired",
        "SELECT port_name, date, len AS event_duration, " + ", ".join(
            f"""CASE WHEN len >= {k} THEN 1 ELSE 0 END AS event_dummy_{k},
                CASE WHEN len >= {k} AND lag(len) OVER w < {k} THEN 1 ELSE 0 END AS event_count_{k}"""
-           for k in (2, 3, 5))
+           for k in range(2, 8))
        + " FROM lens WINDOW w AS (PARTITION BY port_name ORDER BY date)", extra={"lens": _LEN})
 def _(r: Roles):
     return runs.run_day_features(r.fired, PORT, "date", "pred")

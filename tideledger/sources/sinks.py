@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,10 +43,14 @@ def with_model_threshold(rows: DataFrame, thresholds: DataFrame, keys: Sequence[
                 .withColumn("threshold", F.coalesce("threshold", F.lit(default))))
 
 
-def cached_features(spark: SparkSession, path: str, make) -> DataFrame:
-    """Selected features from `path`, computed and written there first if absent."""
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hadoop):
-        make().write.mode("overwrite").parquet(path)
+def cached_features(spark: SparkSession, path: str, make, refresh: bool = False) -> DataFrame:
+    """Selected features from `path`, computed and written there first if absent or on `refresh`."""
+    if not refresh:
+        try:
+            return spark.read.parquet(path)
+        except AnalysisException as e:
+            # absent, or left without a complete file
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+    make().write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
