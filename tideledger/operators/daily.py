@@ -158,13 +158,18 @@ def daily_model(readings: DataFrame, keys: Sequence[str], ts: str, before_year:
                 .withColumns(derived_ratios(F.col("hours_above"))))
 
 
+def _clear_of_noise(mean: str) -> Column:
+    """An anomaly's mean to six places: what is left of a zero by rounding errors is zero."""
+    return F.round(mean, 6)
+
+
 def derived_ratios(hours: Column) -> dict[str, Column]:
     """cv, range and iqr of the readings and anomalies, and hours above times mean."""
     return {
         "swh_cv": ratio(F.col("swh_sd"), F.col("swh_mean")),
         "swh_range": F.col("swh_max") - F.col("swh_min"),
         "swh_iqr": F.col("swh_p75") - F.col("swh_p25"),
-        "anom_cv": ratio(F.col("anom_swh_sd"), F.col("anom_swh_mean")),
+        "anom_cv": ratio(F.col("anom_swh_sd"), _clear_of_noise("anom_swh_mean")),
         "anom_range": F.col("anom_swh_max") - F.col("anom_swh_min"),
         "anom_iqr": F.col("anom_swh_p75") - F.col("anom_swh_p25"),
         "duration_intensity": hours * F.col("swh_mean"),
@@ -194,9 +199,9 @@ def daily_reanalysis(readings: DataFrame, keys: Sequence[str], ts: str, before_y
                     "swh_cv": ratio(sd, F.col("swh_mean"), 0.0),
                     "swh_range": F.col("swh_max") - F.col("swh_min"),
                     "swh_iqr": F.col("swh_p75") - F.col("swh_p25"),
-                    "anom_swh_cv": ratio(sd, F.col("anom_swh_mean"), 0.0),
+                    "anom_swh_cv": ratio(sd, _clear_of_noise("anom_swh_mean"), 0.0),
                     "anom_swh_range": F.col("anom_swh_max") - F.col("anom_swh_min"),
-                    "anom_swe_cv": ratio(sd_swe, F.col("anom_swe_mean"), 0.0),
+                    "anom_swe_cv": ratio(sd_swe, _clear_of_noise("anom_swe_mean"), 0.0),
                     "anom_swe_range": F.col("anom_swe_max") - F.col("anom_swe_min"),
                     "duration_intensity": F.col("hours_above") * F.col("swh_mean"),
                 })

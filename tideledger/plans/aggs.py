@@ -23,11 +23,6 @@ def _sql_longest(source: str, order: str) -> str:
                 FROM {source} r JOIN cut USING (port_name))) GROUP BY ALL) GROUP BY port_name, date"""
 
 
-def _tidy_cv(df, cols: dict[str, str]):
-    """Coefficients of variation only where the mean is clear of zero."""
-    return df.withColumns({cv: F.when(F.abs(F.col(mean)) > 0.05, F.col(cv)) for cv, mean in cols.items()})
-
-
 def _chunked(readings, per_chunk: int):
     return readings.withColumn("chunk", F.floor(F.col("reading_id") / per_chunk))
 
@@ -40,8 +35,7 @@ def _chunked(readings, per_chunk: int):
        "anom_range:6 anom_iqr:6 duration_intensity:6", "readings_a",
        """SELECT a.*, h.hours_above, h.pct_day_above, longest AS max_consecutive_above,
             swh_sd / nullif(swh_mean, 0) AS swh_cv, swh_max - swh_min AS swh_range,
-            swh_p75 - swh_p25 AS swh_iqr, CASE WHEN abs(anom_swh_mean) > 0.05
-              THEN anom_swh_sd / anom_swh_mean END AS anom_cv,
+            swh_p75 - swh_p25 AS swh_iqr, anom_swh_sd / nullif(round(anom_swh_mean, 6), 0) AS anom_cv,
             anom_swh_max - anom_swh_min AS anom_range, anom_swh_p75 - anom_swh_p25 AS anom_iqr,
             h.hours_above * swh_mean AS duration_intensity
           FROM agg a JOIN hrs h USING (port_name, date) JOIN lng USING (port_name, date)
@@ -65,9 +59,8 @@ def _chunked(readings, per_chunk: int):
                      FROM readings_a JOIN cut USING (port_name) GROUP BY port_name, date""",
            "lng": _sql_longest("readings_a", "reading_id")})
 def _(r: Roles):
-    out = daily.daily_model(_chunked(r.readings_a, 1000), PORT, "reading_id", 2001, "1996-01-01",
-                            chunk="chunk")
-    return _tidy_cv(out, {"anom_cv": "anom_swh_mean"})
+    return daily.daily_model(_chunked(r.readings_a, 1000), PORT, "reading_id", 2001, "1996-01-01",
+                             chunk="chunk")
 
 
 @query("daily_agg_reanalysis",
@@ -80,8 +73,8 @@ def _(r: Roles):
        """SELECT a.*, h.hours_above, h.pct_day_above, longest AS max_consecutive_above,
             coalesce(sdp / nullif(swh_mean, 0), 0) AS swh_cv, swh_max - swh_min AS swh_range,
             swh_p75 - swh_p25 AS swh_iqr,
-            CASE WHEN abs(anom_swh_mean) > 0.05 THEN sdp / anom_swh_mean END AS anom_swh_cv,
-            CASE WHEN abs(anom_swe_mean) > 0.05 THEN sdpe / anom_swe_mean END AS anom_swe_cv,
+            coalesce(sdp / nullif(round(anom_swh_mean, 6), 0), 0) AS anom_swh_cv,
+            coalesce(sdpe / nullif(round(anom_swe_mean, 6), 0), 0) AS anom_swe_cv,
             anom_swh_max - anom_swh_min AS anom_swh_range,
             anom_swe_max - anom_swe_min AS anom_swe_range,
             h.hours_above * swh_mean AS duration_intensity
@@ -112,8 +105,7 @@ def _(r: Roles):
 def _(r: Roles):
     # read four times: the join of lines to orders is written once
     readings = _chunked(durable(r.readings_b.drop("net")), 10000).withColumn("moment", F.struct("reading_id", "swh"))
-    out = daily.daily_reanalysis(readings, PORT, "moment", 2001, 1996, chunk="chunk")
-    return _tidy_cv(out, {"anom_swh_cv": "anom_swh_mean", "anom_swe_cv": "anom_swe_mean"})
+    return daily.daily_reanalysis(readings, PORT, "moment", 2001, 1996, chunk="chunk")
 
 
 @query("calibrated_threshold", "port_name threshold:6", "readings_a",
