@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -43,22 +44,22 @@ RANK_SHIFT = 2.7
 KEPT_NODES = 1_500_000
 #: Choices made with one random number, choices split at once, and the greatest noise that `uniform` can give.
 FRESH_STEPS = 4
-SPLIT_AT_ONCE = 256
+SPLIT_AT_ONCE = 640
 MAX_NOISE = 37.0
-#: Units walked at once.
-CHUNK_UNITS = 1 << 17
+#: Units walked and characters read at once.
+CHUNK_UNITS = 1 << 18
+CHARS_AT_ONCE = 1 << 21
 
 _HASH_STEP = np.uint64(0xD6E8FEB86659FD93)
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def uniform(keys: np.ndarray) -> np.ndarray:
-    """Numbers in (0, 1) from 64-bit keys."""
-    with np.errstate(over="ignore"):
-        x = keys.astype(np.uint64) * _GOLDEN + _GOLDEN
-        x = (x ^ (x >> np.uint64(30))) * _MIX1
-        x = (x ^ (x >> np.uint64(27))) * _MIX2
-        x ^= x >> np.uint64(31)
+    """Numbers in (0, 1) from an array of 64-bit keys."""
+    x = keys * _GOLDEN + _GOLDEN
+    x = (x ^ (x >> np.uint64(30))) * _MIX1
+    x = (x ^ (x >> np.uint64(27))) * _MIX2
+    x ^= x >> np.uint64(31)
     return ((x >> np.uint64(12)).astype(np.float64) + 0.5) / (1 << 52)
 
 
@@ -86,7 +87,8 @@ class Lattice:
                 self.bytes_at[int(piece[3:5], 16)] = i
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.ids[piece] = i
-        self.pieces = {i: w for w, i in self.ids.items()}
+        # a byte below 128 is a character by itself wherever it stands
+        self.pieces = {self.bytes_at[b]: chr(b) for b in range(128) if self.bytes_at[b]} | {i: w for w, i in self.ids.items()}
         order = sorted(self.ids.values(), key=lambda i: (-self.model.get_score(i), i))
         self.weight = {i: -theta * math.log(r + RANK_SHIFT) for r, i in enumerate(order)}
         self.byte_weight = -theta * math.log(len(order) + RANK_SHIFT)
@@ -107,8 +109,19 @@ class Lattice:
 
     def clear(self) -> None:
         self.units: dict[str, int] = {}
-        self.table = {"first": np.zeros(1, np.int64), "cum": np.empty(0), "p": np.empty(0),
-                      "target": np.empty(0, np.int32), "piece": np.empty(0, np.int32)}
+        self.nodes = self.edges = 0
+        self.rows = {"first": np.zeros(1 << 16, np.int64), "cum": np.empty(1 << 18), "p": np.empty(1 << 18),
+                     "logp": np.empty(1 << 18), "target": np.empty(1 << 18, np.int32), "piece": np.empty(1 << 18, np.int32)}
+
+    def _put(self, own: dict) -> None:
+        """Writes a table behind the kept rows; they are kept too once `nodes` and `edges` move on."""
+        for name, values in own.items():
+            at = self.nodes if name == "first" else self.edges
+            if at + len(values) > len(self.rows[name]):
+                grown = np.zeros(max(2 * len(self.rows[name]), at + len(values)), dtype=self.rows[name].dtype)
+                grown[:at] = self.rows[name][:at]
+                self.rows[name] = grown
+            self.rows[name][at:at + len(values)] = values
 
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place, characters, id) of every piece that fits, and of the bytes of characters that are no piece."""
@@ -171,7 +184,7 @@ class Lattice:
         cum = run - np.repeat((run - p)[first[:-1]], np.diff(first))
         cum[first[1:] - 1] = 2.0
         target = np.where(stop, -1, place + size + first_node)
-        return {"first": first, "cum": cum, "p": p, "target": target.astype(np.int32), "piece": piece.astype(np.int32)}
+        return {"first": first, "cum": cum, "p": p, "logp": np.log(p), "target": target.astype(np.int32), "piece": piece.astype(np.int32)}
 
     def tables(self, units: list[str]) -> tuple[dict, np.ndarray]:
         """A table that holds all these units, and each one's first node.
@@ -179,21 +192,20 @@ class Lattice:
         New units are kept for later texts while there is room; beyond that they serve this call only.
         """
         new = sorted(set(units).difference(self.units))
-        known, table = self.units, self.table
+        known = self.units
         if new:
-            base, edges = len(table["first"]) - 1, len(table["cum"])
-            own = self.make(new, base)
-            starts = base + np.cumsum([0, *map(len, new)])[:-1]
-            joined = {"first": np.concatenate([table["first"][:-1], own["first"] + edges])} | {
-                k: np.concatenate([table[k], own[k]]) for k in ("cum", "p", "target", "piece")}
+            own = self.make(new, self.nodes)
+            own["first"] = own["first"] + self.edges
+            starts = self.nodes + np.cumsum([0, *map(len, new)])[:-1]
+            self._put(own)
             more = dict(zip(new, starts.tolist()))
-            if base < KEPT_NODES:
+            if self.nodes < KEPT_NODES:
                 known.update(more)
-                self.table = joined
+                self.nodes += len(own["first"]) - 1
+                self.edges += len(own["cum"])
             else:
                 known = {u: known[u] if u in known else more[u] for u in set(units)}
-            table = joined
-        return table, np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
+        return self.rows, np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
 
     def ids_of(self, pieces: np.ndarray) -> np.ndarray:
         """Pieces with characters below zero put out as bytes."""
@@ -238,8 +250,7 @@ def walk(t: dict, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     counts = np.zeros(len(nodes), dtype=np.int64)
     while len(at):
         if step % FRESH_STEPS == 0:
-            with np.errstate(over="ignore"):
-                u = uniform(keys[at] + np.uint64(step) * _MIX1)
+            u = uniform(keys[at] + np.uint64(step * int(_MIX1) & (1 << 64) - 1))
         edge = t["first"][node]
         rest = np.flatnonzero(t["cum"][edge] <= u)
         while len(rest):
@@ -276,13 +287,13 @@ class _Search:
         self.key, self.k, self.heap, self.found = key, k, [], []
 
     def keys(self, sample: int, places: np.ndarray, salt: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (np.uint64(self.key) ^ (np.uint64(sample * 4 + salt + 1) * _MIX2)) + places.astype(np.uint64) * _GOLDEN
+        base = self.key ^ ((sample * 4 + salt + 1) * int(_MIX2) & (1 << 64) - 1)
+        return places.astype(np.uint64) * _GOLDEN + np.uint64(base)
 
     def add_path(self, t: dict, units: np.ndarray, edges: np.ndarray, value: float, start: int, barred: tuple) -> None:
         """Takes a sampled path and splits the rest of its set, from choice `start` on."""
         sample = len(self.found)
-        logp = np.log(t["p"][edges])
+        logp = t["logp"][edges]
         self.found.append((units, edges, float(logp.sum()), value))
         done, before, least = start, float(logp[:start].sum()), -math.inf
         # Noise is at most MAX_NOISE, and a set's mass is at most that of the choices before it: once
@@ -374,7 +385,7 @@ def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int,
             first = own[unit:]
             places = np.arange(unit, len(own))
             if node is not None and node >= 0:
-                first, places = np.insert(first, 0, node), np.insert(places, 0, unit - 1)
+                first, places = np.concatenate([[node], first]), np.concatenate([[unit - 1], places])
             heads.append((head_units, head_edges))
             spans.append(len(first))
             walks_nodes.append(first)
@@ -444,12 +455,11 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice = lattice_of(model_file, theta)
         for batch in batches:
-            begin = 0
+            begin, sizes = 0, pc.fill_null(pc.utf8_length(batch.column(text_at)), 0).to_pylist()
             while begin < batch.num_rows:
-                # some million characters at once
                 end, size = begin, 0
-                while end < batch.num_rows and (end == begin or size < 1 << 20):
-                    size += len(batch.column(text_at)[end].as_py() or "")
+                while end < batch.num_rows and (end == begin or size < CHARS_AT_ONCE):
+                    size += sizes[end]
                     end += 1
                 part = batch.slice(begin, end - begin)
                 texts = part.column(text_at).to_pylist()
