@@ -162,3 +162,40 @@ def test_equal_rows_are_one_document(spark):
     text = next(t for t in (f"a b {i}\nc d" for i in range(99)) if linechunks.candidates(t))
     docs = spark.createDataFrame([(1, text)] * 2 + [(2, text)], "doc_id long, text string")
     assert sorted(r.text for r in linechunks.dedup_lines(docs).collect()) == ["", text, text]
+
+
+def passage_docs(counts, seed=4, repeats=4, per_line=25):
+    """Passages of so many short lines, each in `repeats` documents among other lines; passages by line count."""
+    rng = random.Random(seed)
+    line = lambda n: " ".join(f"w{rng.randrange(10 ** 9)}" for _ in range(n))
+    shared = [[line(-(-50 // n) if n < 3 else per_line) for _ in range(n)] for n in counts]
+    rows = []
+    for passage in shared:
+        for _ in range(repeats):
+            before, after = ([line(rng.randint(3, 12)) for _ in range(rng.randint(0, 4))] for _ in range(2))
+            rows.append((len(rows), "\n".join(before + passage + after)))
+    return rows, shared
+
+
+def test_whole_passages_of_short_lines_go_and_the_first_stays(spark):
+    rows, shared = passage_docs([2, 2, 3, 3, 4, 6, 10, 20])
+    rows += [(i + 100, t) for i, t in passages()[0]]
+    # a blank line inside, a repeat inside one text, two equal texts, and a passage that is too short
+    gap, short = ["a b " * 14 + "gap", "", "c d " * 14 + "gap"], ["seven short words stand on this line", "and five on that one"]
+    rows += [(200, "\n".join(["x1", *gap, "x2", *gap, "x3"])), (201, "\n".join(["y1", *gap]))]
+    rows += [(210, "z " * 30 + "\n" + "y " * 30), (211, "z " * 30 + "\n" + "y " * 30)]
+    rows += [(220 + i, "\n".join([f"own {i}", *short, f"own {i} too"])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r for r in linechunks.dedup_lines(docs, passages=True).collect()}
+    got = {i: r.text for i, r in out.items()}
+    lines = [x for t in got.values() for x in (t or "").split("\n")]
+    whole = [*shared, passages()[1]]
+    assert all(lines.count(x) == 1 for passage in whole for x in passage)
+    for passage in shared:  # the first of them is whole
+        assert "\n".join(passage) in got[min(i for i, t in rows if t and "\n".join(passage) in t)]
+    assert got[200] == "\n".join(["x1", *gap, "x2", "x3"]) and got[201] == "y1" and got[211] == ""
+    assert all(short[0] in got[i] or out[i].removed_chunks for i in (220, 221, 222))
+    # nothing is lost for good
+    assert {x for _, t in rows for x in (t or "").split("\n") if x.strip()} == {x for x in lines if x.strip()}
+    assert {i: len((t or "").split("\n")) - out[i].removed_lines for i, t in rows if t and got[i]} == {
+        i: len(got[i].split("\n")) for i, t in rows if t and got[i]}

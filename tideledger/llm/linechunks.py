@@ -6,6 +6,11 @@ the lines next to them only, so a passage that moved into another text is cut at
 A chunk counts if it has two lines with words or more, or is such a long line. Of all equal chunks
 of the corpus the first one (least doc_id, then text key, then place) stays, the others are taken
 out. Hashes only propose: chunks of one hash are compared byte by byte before any goes.
+
+A passage of short lines has few chunks that are the same wherever it stands, or none. With
+`passages`, every line with words also makes an anchor with the next one that has words. A run of
+anchors that all came before is one passage, to its first and last common line, and goes
+if it has `LONG_WORDS` words. The first place of a line is in no such run, so every line stays once.
 """
 
 from __future__ import annotations
@@ -73,22 +78,39 @@ def candidates(text: str | None) -> list[tuple[int, str]]:
     return [(k, "\n".join(lines[a:b])) for k, (a, b) in enumerate(spans) if counts_as_chunk(lines[a:b])]
 
 
-def _digest(chunk: str) -> bytes:
-    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"))
+def anchors(lines: list[str]) -> list[tuple[int, int]]:
+    """Each line with words and the next such line, as (first line, line after the last)."""
+    worded = [i for i, x in enumerate(lines) if x and not x.isspace()]
+    return [(a, b + 1) for a, b in zip(worded, worded[1:])]
+
+
+def _digest(chunk: str, seed: int = 0) -> bytes:
+    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"), seed)
 
 
-def chunk_rows(docs: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text_key, place, h of every chunk that counts."""
+def _proposed(text: str | None, passages: bool) -> Iterator[tuple[int, bytes, str]]:
+    """(place, hash, text): chunks that count at even places and, with `passages`, anchors at odd ones."""
+    for k, chunk in candidates(text):
+        yield 2 * k, _digest(chunk), chunk
+    if passages:
+        lines = (text or "").split("\n")
+        for k, (a, b) in enumerate(anchors(lines)):
+            chunk = "\n".join(lines[a:b])
+            yield 2 * k + 1, _digest(chunk, 1), chunk
+
+
+def chunk_rows(docs: DataFrame, text: str = "text", passages: bool = False) -> DataFrame:
+    """doc_id, text_key, place, h of every chunk that counts and, with `passages`, of every anchor."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             owner, place, h = [], [], []
             for i, value in enumerate(batch.column("t").to_pylist()):
-                for k, chunk in candidates(value):
+                for k, hashed, _ in _proposed(value, passages):
                     owner.append(i)
                     place.append(k)
-                    h.append(_digest(chunk))
+                    h.append(hashed)
             take = pa.array(owner, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(take), batch.column("text_key").take(take),
@@ -99,7 +121,7 @@ def chunk_rows(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def _marks(rows: DataFrame, but: DataFrame | None = None) -> DataFrame:
-    """Per document the places of chunks that occur elsewhere (`same`) and of those to take out (`gone`)."""
+    """Per document the places of chunks and anchors that occur elsewhere (`same`) and of those to take out (`gone`)."""
     at = F.struct("doc_id", "text_key", "place")
     again = (rows.groupBy("h").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     if but is not None:
@@ -126,9 +148,9 @@ def _clashes(marked: DataFrame, text: str) -> DataFrame:
             h, chunks, size = [], [], 0
             for value, same in zip(batch.column("t").to_pylist(), batch.column("__same").to_pylist()):
                 wanted = set(same)
-                for k, chunk in candidates(value):
+                for k, hashed, chunk in _proposed(value, any(p % 2 for p in wanted)):
                     if k in wanted:
-                        h.append(_digest(chunk))
+                        h.append(hashed)
                         chunks.append(chunk)
                         size += len(chunk)
                 if size > BATCH_CHARS:
@@ -142,23 +164,37 @@ def _clashes(marked: DataFrame, text: str) -> DataFrame:
 
 
 def without_places(text: str, gone: list[int]) -> tuple[str, int]:
-    """The text without the chunks at these places, and how many lines went."""
+    """The text without the chunks and passages at these places, and how many lines went."""
     lines, spans = chunk_lines(text)
-    out = set(gone)
-    kept = [lines[a:b] for k, (a, b) in enumerate(spans) if k not in out]
-    left = [x for part in kept for x in part]
+    out: set[int] = set()
+    for k in gone:
+        if k % 2 == 0:
+            out.update(range(*spans[k // 2]))
+    repeated = sorted(k // 2 for k in gone if k % 2)
+    pairs = anchors(lines) if repeated else []
+    first = 0
+    for n, k in enumerate(repeated):
+        if n + 1 == len(repeated) or repeated[n + 1] != k + 1:
+            a, b = pairs[repeated[first]][0], pairs[k][1]
+            if sum(len(x.split()) for x in lines[a:b]) >= LONG_WORDS:
+                out.update(range(a, b))
+            first = n + 1
+    left = [x for i, x in enumerate(lines) if i not in out]
     return "\n".join(left), len(lines) - len(left)
 
 
-def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", passages: bool = False) -> DataFrame:
     """docs with repeated chunks taken out of `text`, and columns removed_lines, removed_chunks.
 
+    With `passages`, whole repeated passages of LONG_WORDS words or more on two lines or more go too; their
+    lines count in removed_lines.
+
     Every row comes back, with an empty text if all of it was repeated; null texts stay null. Equal
     rows (doc_id and text) count as one document, so they keep the same chunks. Chunks that
     share a hash but differ all stay.
     """
     docs = docs.drop("removed_lines", "removed_chunks")
-    rows = durable(chunk_rows(docs, text))
+    rows = durable(chunk_rows(docs, text, passages))
     marked = _marked(docs, text, _marks(rows))
     clashes = durable(_clashes(marked, text))
     if not clashes.isEmpty():
@@ -179,15 +215,15 @@ def dedup_lines(docs: DataFrame, text: str = "text") -> DataFrame:
             columns = [batch.column(n) if j != column else pa.array(texts, pa.string())
                        for j, n in enumerate(names)]
             yield pa.RecordBatch.from_arrays(
-                columns + [pa.array(lines, pa.int64()), pa.array([len(g or ()) for g in lists], pa.int64())],
+                columns + [pa.array(lines, pa.int64()), pa.array([sum(k % 2 == 0 for k in g or ()) for g in lists], pa.int64())],
                 [*names, "removed_lines", "removed_chunks"])
 
     return marked.select(*names, "__gone").mapInArrow(run, schema)
 
 
 def keep_first(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with repeated chunks taken out; columns as before, n_chars follows the text."""
-    out = dedup_lines(docs, text).drop("removed_lines", "removed_chunks")
+    """docs with repeated chunks and passages taken out; columns as before, n_chars follows the text."""
+    out = dedup_lines(docs, text, passages=True).drop("removed_lines", "removed_chunks")
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out = out.withColumn("n_chars", F.when(F.col(text).isNull(), F.col("n_chars")).otherwise(F.length(text)).cast(kind))

@@ -88,10 +88,10 @@ def op9_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document without the chunks of lines that came before."""
+    """Every document without the chunks of lines and passages that came before."""
     ship(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return linechunks.dedup_lines(docs)
+    return linechunks.dedup_lines(docs, passages=True)
 
 
 QUERIES = {f.__name__: f for f in (
