@@ -71,6 +71,20 @@ def test_search_equals_scoring_every_window(spark):
     assert {(r.doc_id, r.item_id) for r in parts} == got.keys()
 
 
+def test_words_with_combining_marks_are_found(spark):
+    copies = ["भारत की राजधानी नई दिल्ली है और यह यमुना नदी के किनारे बसी हुई है। उत्तर: नई दिल्ली।",
+              "cafe\u0301 re\u0301sume\u0301 de\u0301ja\u0300 e\u0301te\u0301 fe\u0302te no\u0308el pre\u0301s cle\u0301. Re\u0301ponse: de\u0301ja\u0300 e\u0301te\u0301.",
+              "İstanbul İzmir İznik İnegöl İskenderun İncirlik İpsala İslahiye. İstanbul İzmir.", "ภาษาไทยเป็นภาษาที่มีระดับเสียงของคำแน่นอน"]
+    items = spark.createDataFrame(list(enumerate(copies)), "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"some words before {t} and after") for i, t in enumerate(copies)] + [(9, "plain")],
+                                 "doc_id long, text string")
+    found = {(r.doc_id, r.item_id): r.score for r in decontam.leaks(docs, items).collect()}
+    assert found.keys() == {(i, i) for i in range(4)} and all(abs(x - 1) < 1e-9 for x in found.values())
+    assert [r.doc_id for r in decontam.clean(docs, items).collect()] == [9]
+    got = {(r.item_id, r.word) for r in decontam.postings(items).collect()}
+    assert got == {(i, w) for i, t in enumerate(copies) for w in decontam.words(t)}
+
+
 def test_clean_drops_what_leaks_and_nothing_else(spark):
     items, docs = items_and_docs()
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, score string")

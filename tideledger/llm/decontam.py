@@ -73,9 +73,19 @@ def bm25_weight(tf: Column, length: Column, average: Column, n: Column, df: Colu
 
 def postings(items: DataFrame) -> DataFrame:
     """item_id, word, weight: normalised BM25 weights of all items, built as grouped counts."""
+    id_type = items.schema["item_id"].dataType.simpleString()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the same words() as for queries and proofs: another tokenizer's terms would never be met
+        for batch in batches:
+            found = [words(x) for x in batch.column("t").to_pylist()]
+            owner = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item_id").take(pa.array(owner, pa.int64())),
+                 pa.array([w for x in found for w in x], pa.string())], ["item_id", "word"])
+
     tokens = (items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-              .select("item_id", F.explode(F.regexp_extract_all(
-                  F.lower("text"), F.lit(r"(?U)(\w+)"), F.lit(1))).alias("word")))
+              .select("item_id", F.col("text").alias("t")).mapInArrow(cut, f"item_id {id_type}, word string"))
     counts = tokens.groupBy("item_id", "word").agg(F.count(F.lit(1)).alias("tf"))
     lengths = counts.groupBy("item_id").agg(F.sum("tf").alias("length"))
     corpus = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("average"))
