@@ -166,6 +166,18 @@ def test_odd_pages(spark):
     assert render.visible_text(df.limit(0)).count() == 0
 
 
+def test_a_head_ends_without_its_end_tag():
+    assert render.render("<html><head><title>T</title><p>text<p>more") == "text\n\nmore"
+    assert render.render("<head><meta charset=x><link href=y><style>a</style>\n <script>b</script>\nloose text<div>more</div>") == "loose text\nmore"
+    assert render.render("<head><template><p>no</template><noscript>no</noscript><head><body>yes") == "yes"
+    assert render.render("<head><title>T</title></head><body>as before") == "as before"
+
+
+def test_a_caption_after_the_rows_is_kept():
+    assert render.render("<table><tr><td>a<td>b<caption>cap</caption></table>x").split("\n") == ["cap", "a | b", "", "x"]
+    assert render.render("<table><tbody><tr><td>a</td></tr><caption>cap<tr><td>b</table>").split("\n") == ["cap", "a", "b"]
+
+
 def test_no_visible_word_is_lost():
     rng = random.Random(9)
     tags = ["p", "div", "b", "ul", "li", "table", "tr", "td", "pre", "h1", "ol", "dl", "dd", "section", "tbody"]

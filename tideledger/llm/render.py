@@ -34,8 +34,10 @@ IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
     "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
-    "body": ({"head"}, {"html"}),
+    "caption": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
 }
+#: Start tags that leave a head open; any other one and text end it, as its own end tag may be left out.
+IN_HEAD = frozenset("base link meta script style template title noscript noframes".split())
 #: An end tag reaches no further out than these.
 SCOPE = frozenset("table td th caption html template".split())
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^<]++|<""", re.S)
@@ -75,12 +77,18 @@ def build(page: str) -> Node:
         if tag is None:
             word = m.group()
             if word[0] != "<" or word == "<":
+                if stack[-1].tag == "head" and BLANK.sub("", word):
+                    stack.pop()
                 stack[-1].children.append(html.unescape(word) if "&" in word else word)
             continue
         tag = tag.lower()
         if m.group(1):
             _close(stack, tag)
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            if tag == "head":
+                continue
+            stack.pop()
         if tag in CLOSES_P and any(x.tag == "p" for x in stack[-8:]):
             _close(stack, "p")
         if tag in IMPLIED:
