@@ -26,9 +26,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the least doc_id."""
+    """One document of each near-duplicate group, by five-word shingles: that of the least doc_id."""
     ship(spark)
-    return simhash.keep_one(docs)
+    return simhash.keep_one(docs, size=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

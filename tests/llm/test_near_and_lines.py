@@ -199,3 +199,21 @@ def test_whole_passages_of_short_lines_go_and_the_first_stays(spark):
     assert {x for _, t in rows for x in (t or "").split("\n") if x.strip()} == {x for x in lines if x.strip()}
     assert {i: len((t or "").split("\n")) - out[i].removed_lines for i, t in rows if t and got[i]} == {
         i: len(got[i].split("\n")) for i, t in rows if t and got[i]}
+
+
+def test_the_near_duplicate_stage_takes_five_words(spark):
+    import corpus_pipeline
+    rng = random.Random(5)
+    bits = lambda a, b, size: (simhash.fingerprint(a, size) ^ simhash.fingerprint(b, size)).bit_count()
+    pairs = []
+    while {near for _, _, near in pairs} != {True, False}:  # pairs that four and five words judge differently
+        words = [f"w{rng.randrange(9999)}" for _ in range(200)]
+        other = list(words)
+        for at in rng.sample(range(200), 2):
+            other[at] = f"x{rng.randrange(9999)}"
+        a, b = " ".join(words), " ".join(other)
+        if (bits(a, b, 4) <= 4) != (bits(a, b, 5) <= 4):
+            pairs.append((a, b, bits(a, b, 5) <= 4))
+    docs = spark.createDataFrame([(2 * i + j, t) for i, p in enumerate(pairs) for j, t in enumerate(p[:2])], "doc_id long, text string")
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()}
+    assert kept == {2 * i for i in range(len(pairs))} | {2 * i + 1 for i, p in enumerate(pairs) if not p[2]}

@@ -208,13 +208,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", size: int = SHINGLE, se
     return rows.join(named, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, text: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, text: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """docs without those that have a nearer-numbered near-duplicate; columns as before.
 
     Of each component the rows of the least doc_id stay (equal rows of one doc_id are one
     document). Only the dropped rows' keys are joined back.
     """
-    found = near_duplicates(docs, text)
+    found = near_duplicates(docs, text, size, radius=radius)
     gone = durable(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
                    .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     # one plan at every size: what goes grows with the corpus, so it is never broadcast
