@@ -144,6 +144,22 @@ def test_assignments_reach_sensitive_names():
     assert literals('auth_key = "your-key-here"\nprivate_key = "${VAULT}"\nauthor = "Gh7Kd82mZq01"\nthe auth key: see below') == []
 
 
+def test_other_forms_of_assignment():
+    a, b = "Gh7Kd82mZq01", "vT81mLp0xQ"
+    for text in (f'config["pass_key"] = "{a}"', f"os.environ['AUTH_KEY']='{a}'", f'x["db"]["pwd"] = "{a}"',
+                 f'db_pwd: str = "{a}"', f'const authKey: string = "{a}";', f'pwd: Optional[str] = "{a}"', f'let pwd: &str="{a}";',
+                 f'pwd = other = "{a}"', f'other = pwd = "{a}"', f'self.x = cfg["pwd"] = "{a}"', f'other = x = "{a}"\ndb_pwd = x',
+                 f'cfg["x"] = "{a}"\nauth_key = x', f'{{"pwd":\n  "{a}"}}', f"pwd:\n  {a}\nname: b", f'pwd = \\\n "{a}"', f'pwd = """{a}"""', f'x = (pwd = "{a}")', f'x = ["pwd": "{a}"]',
+                 f"pwd = '''\n{a}\n'''\nx = 1"):
+        assert [x.strip() for x in literals(text)] == [a], text
+    for text in (f'pwd = "{a}" +\n  "{b}"', f'pwd = "{a}"\n  + "{b}"', f'pwd = (\n "{a}"\n "{b}"\n)'):
+        assert literals(text) == [a, b], text
+    assert literals(f"auth:\n  name: {a}") == [] and literals(f'pwd = ""\nname = "{a}"') == []
+    assert literals(f'{{"pwd": "",\n "name": "{a}"}}') == [] and literals("auth_key: abc=Gh7Kd82mZq01") == ["abc=Gh7Kd82mZq01"]
+    for text in ('a = """x\n' * 20_000, "a = (\n" * 50_000, "a:\n" * 50_000, "a = 'b' +\n" * 50_000, "a = " * 50_000):
+        assert secrets.find(text) == []
+
+
 def test_a_very_long_text_ends():
     assert secrets.find("a=b " * 200_000 + "é" * 10) == []
 
