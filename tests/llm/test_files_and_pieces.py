@@ -212,3 +212,13 @@ def test_encode_on_tables(spark):
     assert [list(s.ids) for s in by[2]] == [[]] and [list(s.ids) for s in by[3]] == [[]]
     assert len(by[None]) == 3 and all(s.round_trip for s in by[None]) and not by[5][0].round_trip
     assert pieces.encode(df.limit(0), tokenizer_file("piece_bpe_32k.model")).count() == 0
+
+
+def test_the_sentencepiece_query_returns_the_segmentations(spark, tmp_path):
+    from tideledger.llm.queries import op6_sentencepiece
+    docs = [(1, "Some plain words, and more of them."), (2, "x"), (3, "")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = op6_sentencepiece(spark, str(tmp_path)).selectExpr("*", "xxhash64(ids) as h").collect()
+    assert {r.doc_id for r in rows if r.n_pieces} == {1, 2}
+    assert all(len(r.ids) == r.n_pieces and r.h == r.ids_hash for r in rows)
+    assert len({(r.doc_id, tuple(r.ids)) for r in rows}) == len(rows)

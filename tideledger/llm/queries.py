@@ -58,11 +58,11 @@ def op5_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
-    """Every document's distinct sampled segmentations, one row per sample."""
+    """Every document's distinct sampled segmentations as piece ids, one row per sample."""
     ship(spark)
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = pieces.exploded(pieces.encode(docs, tokenizer_file("piece_bpe_32k.model")))
-    return found.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "log_prob",
+    return found.select("doc_id", "sample", "n_pieces", F.xxhash64("ids").alias("ids_hash"), "ids", "log_prob",
                         "log_inclusion", "round_trip")
 
 
