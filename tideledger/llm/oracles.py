@@ -112,4 +112,47 @@ SELECT page_id, payload_bytes,
 FROM d"""
 
 
-ORACLES = {"op3_warc": _warc(), "op1_quality_rules": _quality(), "op5_url_filter": _urls()}
+def _interactions() -> str:
+    pairs = " AND ".join(f"{a}.f <> {b}.f" for i, a in enumerate("pqrst") for b in "pqrst"[:i])
+    return rf"""
+WITH filters(f, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)
+), texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), marks AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), masks AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+         CASE WHEN len(w) < 200 THEN 1 ELSE 0 END
+         + CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END
+         + CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END
+         + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+         + CASE WHEN min(doc_id) OVER (PARTITION BY text) < doc_id THEN 16 ELSE 0 END AS mask
+  FROM texts LEFT JOIN marks USING (doc_id)
+), cells AS (
+  SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic
+  FROM masks GROUP BY ALL
+), orders AS (
+  SELECT p.f || q.f || r.f || s.f || t.f AS filter_order FROM filters p, filters q, filters r, filters s, filters t
+  WHERE {pairs}
+), steps AS (
+  SELECT filter_order, step, bit, (SELECT coalesce(sum(g.bit), 0) FROM filters g
+           WHERE strpos(filter_order, g.f) < step) AS before
+  FROM orders, range(1, 6) AS k(step) JOIN filters ON f = substr(filter_order, step, 1)
+), counted AS (
+  SELECT part, filter_order, step::INT AS step, bit,
+         sum(CASE WHEN mask & (before + bit)::INT = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before::INT = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before::INT <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+         sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before::INT = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+         sum(CASE WHEN mask & bit <> 0 AND mask & before::INT = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM counted"""
+
+
+ORACLES = {"op3_warc": _warc(), "op1_quality_rules": _quality(), "op5_url_filter": _urls(),
+           "op11_filter_interactions": _interactions()}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import decontam, idfiles, linechunks, pieces, quality, render, secrets, simhash, urls, warc
+from tideledger.llm import (decontam, idfiles, interactions, linechunks, pieces, quality, render, secrets, simhash, urls,
+                            warc)
 from tideledger.llm.common import ship, table
 from tideledger.session import shared_folder
 
@@ -94,6 +95,13 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return linechunks.dedup_lines(docs, passages=True)
 
 
+def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part, order of the five filters and step: what is kept, removed and lost there."""
+    ship(spark)
+    masks = interactions.failure_masks(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return interactions.audit_orders(masks, "ABCDE")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_decontamination, op3_warc, op4_secret_scan, op5_url_filter, op6_sentencepiece, op7_html_extraction,
-    op8_simhash, op9_token_files, op10_line_dedup)}
+    op8_simhash, op9_token_files, op10_line_dedup, op11_filter_interactions)}
