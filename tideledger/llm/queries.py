@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideledger.llm import (decontam, idfiles, interactions, linechunks, pieces, quality, render, secrets, simhash, urls,
-                            warc)
+from tideledger.llm import (conversations, decontam, idfiles, interactions, linechunks, pieces, quality, render,
+                            secrets, simhash, urls, warc)
 from tideledger.llm.common import ship, table
 from tideledger.session import shared_folder
 
@@ -102,6 +102,14 @@ def op11_filter_interactions(spark: SparkSession, folder: str) -> DataFrame:
     return interactions.audit_orders(masks, "ABCDE")
 
 
+def op12_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every conversation, damaged: its faults and the least edits that repair it."""
+    ship(spark)
+    rows = table(spark, folder, "conversations")
+    return conversations.audits(conversations.damage(rows), rows)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_quality_rules, op2_decontamination, op3_warc, op4_secret_scan, op5_url_filter, op6_sentencepiece, op7_html_extraction,
-    op8_simhash, op9_token_files, op10_line_dedup, op11_filter_interactions)}
+    op8_simhash, op9_token_files, op10_line_dedup, op11_filter_interactions,
+    op12_conversation_repair)}
