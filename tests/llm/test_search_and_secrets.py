@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideledger.llm import decontam, render, secrets
@@ -85,6 +86,20 @@ def test_words_with_combining_marks_are_found(spark):
     assert got == {(i, w) for i, t in enumerate(copies) for w in decontam.words(t)}
 
 
+@pytest.mark.parametrize("kind", ["int", "long", "string", "short"])
+def test_items_are_kept_apart_by_id_and_text(spark, kind):
+    texts = [" ".join(f"{c}{i}" for i in range(30)) + f". Answer {c}{c}." for c in "abcd"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (1, texts[1]), (2, None), (3, " ")],
+                                  "item_id long, text string").withColumn("item_id", F.col("item_id").cast(kind))
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in enumerate(texts)] + [(9, texts[0] + " " + texts[1])],
+                                 "doc_id long, text string")
+    got = decontam.leaks(docs, items)
+    assert got.schema["item_id"].dataType == items.schema["item_id"].dataType
+    found = [(r.doc_id, None if r.item_id is None else int(r.item_id)) for r in got.collect()]
+    assert sorted(found, key=str) == sorted([(0, 1), (1, 1), (2, None), (3, None), (9, 1)], key=str)
+    assert decontam.clean(docs, items).count() == 0
+
+
 def test_clean_drops_what_leaks_and_nothing_else(spark):
     items, docs = items_and_docs()
     frame = spark.createDataFrame([(i, t, "x") for i, t in docs], "doc_id long, text string, score string")

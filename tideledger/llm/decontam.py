@@ -22,6 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+
+from tideledger.session import durable
 
 K1, B = 1.2, 0.75
 #: Least BM25 score of a window, as a share of the item's score for itself.
@@ -33,10 +36,13 @@ OVERLAP = 0.8
 ANSWER_OVERLAP = 0.5
 SPAN = 32
 BLOCK = 4
-#: Text of test items that one index may hold; a larger benchmark is searched index by index.
-INDEX_BYTES = 64 << 20
+#: Text of test items that one index may hold (postings take some twenty times that in memory); a larger benchmark
+#: is searched index by index.
+INDEX_BYTES = 8 << 20
 #: Share of the threshold that frequent terms may reach together without being looked up first.
 FREQUENT_SHARE = 0.4
+#: Proofs of items that a task keeps; others are made again from their text.
+KEPT_PROOFS = 4096
 #: Words scored at once in a task.
 CHUNK_WORDS = 1 << 18
 
@@ -72,7 +78,10 @@ def bm25_weight(tf: Column, length: Column, average: Column, n: Column, df: Colu
 
 
 def postings(items: DataFrame) -> DataFrame:
-    """item_id, word, weight: normalised BM25 weights of all items, built as grouped counts."""
+    """item_id, word, weight: normalised BM25 weights of all items, built as grouped counts.
+
+    `item_id` is any key that names one text; items without a key or a text have none.
+    """
     id_type = items.schema["item_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -136,8 +145,26 @@ class Index:
             self.rare[t] = False
 
 
-def build_indexes(items: list[tuple], weights: list[tuple]) -> list[tuple[Index, dict]]:
-    """Indexes by span from (item_id, text) and (item_id, word, weight), with what verifies."""
+class Proofs:
+    """Shingles of whole item, question and answer, and the answer's words, made when an item is first met."""
+
+    def __init__(self, texts: dict):
+        self.texts, self.made = texts, {}
+
+    def __getitem__(self, item) -> tuple:
+        if item not in self.made:
+            if len(self.made) >= KEPT_PROOFS:
+                self.made.clear()
+            question, answer = split_item(self.texts[item])
+            self.made[item] = (shingles(words(self.texts[item])), shingles(question), shingles(answer), set(answer))
+        return self.made[item]
+
+
+def build_indexes(items: list[tuple], weights: list[tuple]) -> list[tuple[Index, Proofs]]:
+    """Indexes by span from (item_id, text) and (item_id, word, weight), with what verifies.
+
+    `item_id` is any key that names one text.
+    """
     texts = dict(items)
     spans: dict[int, list] = {}
     for item in sorted(texts):
@@ -153,11 +180,7 @@ def build_indexes(items: list[tuple], weights: list[tuple]) -> list[tuple[Index,
         codes = np.array([terms[r[0]] for r in rows], dtype=np.int64)
         index = Index(span, members, terms, np.searchsorted(codes, np.arange(len(terms) + 1)),
                       np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows]))
-        proofs = {}
-        for item in members:
-            question, answer = split_item(texts[item])
-            proofs[item] = (shingles(words(texts[item])), shingles(question), shingles(answer), set(answer))
-        built.append((index, proofs))
+        built.append((index, Proofs({item: texts[item] for item in members})))
     return built
 
 
@@ -302,48 +325,56 @@ def _search_chunk(built, tokens, first, threshold, hits) -> None:
                     hits[key] = (score, *proof)
 
 
-def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[list[tuple[Index, dict]]]:
-    """Indexes of at most `index_bytes` of test text each, one after the other.
+def indexes(items: DataFrame, index_bytes: int = INDEX_BYTES) -> Iterator[tuple[list[tuple[Index, Proofs]], dict]]:
+    """Indexes of at most `index_bytes` of test text each, one after the other, and the id of each of their keys.
 
-    Weights come from the whole benchmark. Null ids and texts and items without words are left
-    out; of items with one id the greatest text counts.
+    Every distinct pair of id and text is an item with its own key, null ids included. Weights come
+    from the whole benchmark. Null texts and items without words are left out.
     """
-    items = items.groupBy("item_id").agg(F.max("text").alias("text")).where(
-        "item_id is not null and text is not null")
+    key = F.md5(F.concat_ws("\x00", F.col("item_id").isNotNull().cast("string"), F.col("item_id").cast("string"), "text"))
+    items = durable(items.where("text is not null").select(key.alias("key"), "item_id", "text").dropDuplicates(["key"]))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = -(-total // index_bytes) or 1
-    weights = postings(items)
-    shard = F.pmod(F.xxhash64("item_id"), F.lit(shards))
+    weights = durable(postings(items.select(F.col("key").alias("item_id"), "text")))
     for k in range(shards):
-        part = [tuple(r) for r in items.where(shard == k).select("item_id", "text").collect()]
-        own = [tuple(r) for r in weights.where(shard == k).select("item_id", "word", "weight").collect()]
-        yield build_indexes(part, own)
+        def mine(name: str, k: int = k) -> Column:
+            return F.pmod(F.xxhash64(name), F.lit(shards)) == k
+
+        part = items.where(mine("key")).select("key", "item_id", "text").collect()
+        own = weights.where(mine("item_id")).select("item_id", "word", "weight").collect()
+        built = build_indexes([(r.key, r.text) for r in part], [tuple(r) for r in own])
+        yield built, {r.key: r.item_id for r in part}
 
 
 def leaks(docs: DataFrame, items: DataFrame, text: str = "text", threshold: float = THRESHOLD,
           index_bytes: int = INDEX_BYTES) -> DataFrame:
     """doc_id, item_id, score, overlap, question_overlap, answer_overlap: all verified leaks.
 
-    One row per row of docs and leaked item; null and empty texts leak nothing, an empty
-    benchmark gives no rows.
+    One row per row of docs and leaked item id, that of the best score where an id has several texts (of
+    one index); items without an id leak as the id null. Null and empty texts leak nothing, an empty benchmark
+    gives no rows.
     """
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    item_type = items.schema["item_id"].dataType.simpleString()
+    item_type = items.schema["item_id"].dataType
     rows = docs.select("doc_id", F.col(text).alias("t"))
     out = None
     for built in indexes(items, index_bytes):
         shared = docs.sparkSession.sparkContext.broadcast(built)  # bounded by index_bytes
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            found, ids = shared.value
             for batch in batches:
-                hits = search(shared.value, batch.column("t").to_pylist(), threshold)
-                cols = list(zip(*hits)) if hits else [()] * 6
+                best: dict[tuple, tuple] = {}
+                for i, key, *values in search(found, batch.column("t").to_pylist(), threshold):
+                    pair = (i, ids[key])
+                    best[pair] = max(best.get(pair, ()), tuple(values))
+                cols = list(zip(*((*k, *v) for k, v in best.items()))) if best else [()] * 6
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").take(pa.array(cols[0], pa.int64())),
-                     pa.array(cols[1], None if hits else pa.int64())] + [pa.array(c, pa.float64()) for c in cols[2:]],
+                    [batch.column("doc_id").take(pa.array(cols[0], pa.int64())), pa.array(cols[1], to_arrow_type(item_type))]
+                    + [pa.array(c, pa.float64()) for c in cols[2:]],
                     ["doc_id", "item_id", "score", "overlap", "question_overlap", "answer_overlap"])
 
-        found = rows.mapInArrow(run, f"doc_id {id_type}, item_id {item_type}, score double, overlap double, "
+        found = rows.mapInArrow(run, f"doc_id {id_type}, item_id {item_type.simpleString()}, score double, overlap double, "
                                      "question_overlap double, answer_overlap double")
         out = found if out is None else out.union(found)
     return out
@@ -358,7 +389,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text", threshold: floa
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                hit = {h[0] for h in search(shared.value, batch.column(column).to_pylist(), threshold)}
+                hit = {h[0] for h in search(shared.value[0], batch.column(column).to_pylist(), threshold)}
                 yield batch.filter(pa.array([i not in hit for i in range(batch.num_rows)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
