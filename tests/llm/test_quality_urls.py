@@ -65,11 +65,14 @@ def test_judge_returns_every_row_once_and_keeps_good(spark):
 
 
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"),
-         ("example.com", "/en/a", "allow"), ("a-b.com", "/", "block"), ("com", "/en/a/b", "block")]
+         ("example.com", "/en/a", "allow"), ("a-b.com", "/", "block"), ("com", "/en/a/b", "block"), ("top.org", "/\U0010ffff", "block"), ("top.org", "/\ud7ff", "block"),
+         ("top.org", "/\U0010ffff/x", "allow")]
 URLS = [None, "", "no scheme/x", "http://", "http://com", "http://com/", "http://EXAMPLE.com/en/x", "x://www.example.com/en/?q#f",
         "http://example.com/en/abc", "http://deep.www.example.com/en/abc", "http://notexample.com/en/abc", "http://a-b.com/x",
         "http://z.net/es/1", "http://z.net/fr", "http://com.net/es/", "http://x.com/en/a/b/c", "http://u:p@x.com:80/y", "http://.com/",
-        "http://example.com?/en/", "a://b://c.com/", "http://example.com/en/abc"]
+        "http://example.com?/en/", "a://b://c.com/", "http://example.com/en/abc",
+        "http://example.com/en/\U0010ffffabc", "http://com/\U0010ffff\U0010ffff", "http://a.top.org/\U0010ffff/x/\U0010ffff",
+        "http://top.org/\U0010ffff\U0010ffff", "http://top.org/\ud7ff\U0010ffff", "http://top.org/\ue000", "http://top.org/\U0010fffe"]
 
 
 def plain_verdict(url):

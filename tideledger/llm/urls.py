@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tideledger.session import durable
 
-#: Follows the last character of a prefix to close its interval: nothing in a key sorts after it.
+#: The last character: it has none after it.
 TOP = "\U0010ffff"
 #: Between host key and path.
 GAP = "\x00"
@@ -48,6 +48,18 @@ def host_key(host: Column) -> Column:
         F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "."), F.lit(".")))
 
 
+def after_prefix(prefix: Column) -> Column:
+    """The least key above all keys that start with `prefix`: its last character is raised by one.
+
+    Characters at the very top are dropped first; keys sort by code point, and surrogates are none.
+    """
+    rest = F.rtrim(prefix, F.lit(TOP))
+    code = F.ascii(F.substring(rest, -1, 1))
+    raised = F.when(code == 0xD7FF, 0xE000).otherwise(code + 1)
+    char = F.decode(F.unhex(F.lpad(F.hex(raised), 8, "0")), "UTF-32")
+    return F.concat(F.substring(rest, F.lit(1), F.length(rest) - 1), char)
+
+
 def _chains(intervals: DataFrame) -> DataFrame:
     """Each interval's prefix with the stack of prefixes it lies in, itself last.
 
@@ -67,10 +79,10 @@ def sweep(points: DataFrame, prefixes: DataFrame, partitions: int) -> DataFrame:
     """
     chains = _chains(prefixes.where("prefix is not null").distinct())
     opened = chains.select(F.col("prefix").alias("key"), F.lit(1).alias("kind"), "stack")
-    closed = chains.select(F.concat("prefix", F.lit(TOP)).alias("key"), F.lit(3).alias("kind"),
+    closed = chains.select(after_prefix(F.col("prefix")).alias("key"), F.lit(0).alias("kind"),
                            F.slice("stack", F.lit(1), F.size("stack") - 1).alias("stack"))
-    # equal borders: an inner interval closes before the one around it
-    borders = opened.union(closed).withColumn("depth", F.when(F.col("kind") == 3, -F.size("stack")).otherwise(F.size("stack")))
+    # equal keys: intervals close before others open and points come; an inner one before the one around it
+    borders = opened.union(closed).withColumn("depth", F.when(F.col("kind") == 0, -F.size("stack")).otherwise(F.size("stack")))
     rows = points.withColumns({"kind": F.lit(2), "depth": F.lit(0), "stack": F.lit(None).cast("array<string>")})
     mixed = rows.unionByName(borders, allowMissingColumns=True)
     salt = F.xxhash64(*points.columns)
