@@ -201,6 +201,55 @@ def test_whole_passages_of_short_lines_go_and_the_first_stays(spark):
         i: len(got[i].split("\n")) for i, t in rows if t and got[i]}
 
 
+def own_chunks(text):
+    """Chunks in plain integers, from the description alone: (first line, after the last, counts)."""
+    lines, spans, first = text.split("\n"), [], 0
+    hashes = [xxhash.xxh64_intdigest(x.encode()) for x in lines]
+    long = [len(x.split()) >= 50 for x in lines]
+    for i in range(len(lines)):
+        total = (hashes[i] + (hashes[i - 1] * linechunks.STEP if i else 0)) % 2 ** 64
+        mixed = (total ^ (total >> 29)) * linechunks.STEP % 2 ** 64
+        if (mixed >> 33) % 3 == 0 or i + 1 == len(lines) or long[i] or long[i + 1]:
+            words = sum(bool(x.strip()) for x in lines[first:i + 1])
+            spans.append((first, i + 1, words >= 2 or (first == i and long[i])))
+            first = i + 1
+    return spans
+
+
+def brute_passages(rows):
+    """Every run of lines with 50 words that stands whole in an earlier place goes, and every repeated chunk."""
+    runs, chunks, out = set(), set(), {}
+    for i, text in sorted(rows):
+        lines, gone = text.split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 2, len(lines) + 1):
+                if lines[a].strip() and lines[b - 1].strip() and sum(len(x.split()) for x in lines[a:b]) >= 50:
+                    if tuple(lines[a:b]) in runs:
+                        gone.update(range(a, b))
+                    runs.add(tuple(lines[a:b]))
+        for a, b, counts in own_chunks(text):
+            if counts:
+                if tuple(lines[a:b]) in chunks:
+                    gone.update(range(a, b))
+                chunks.add(tuple(lines[a:b]))
+        out[i] = "\n".join(x for j, x in enumerate(lines) if j not in gone)
+    return out
+
+
+def test_passages_equal_brute_force(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(22)) for x in "abc")
+    rows = [(0, f"{a}\n{b}\n."), (1, f".\n{b}\n{c}"), (2, f"{a}\n{b}\n{c}")]
+    rng = random.Random(8)
+    pool = [" ".join(f"w{rng.randrange(99)}" for _ in range(rng.choice([0, 3, 9, 20, 30, 55]))) for _ in range(14)]
+    for i in range(3, 90):
+        at, size = rng.randrange(len(pool)), rng.randint(1, 6)
+        rows.append((i, "\n".join([f"own {i}", *pool[at:at + size], *rng.sample(pool, rng.randint(0, 3)), f"own {i} too"])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linechunks.dedup_lines(docs, passages=True).collect()}
+    assert got == brute_passages(rows)
+    assert got[2] == f"{a}\n{b}\n{c}"  # only its pairs of lines came before
+
+
 def test_the_near_duplicate_stage_takes_five_words(spark):
     import corpus_pipeline
     rng = random.Random(5)

@@ -8,9 +8,10 @@ of the corpus the first one (least doc_id, then text key, then place) stays, the
 out. Hashes only propose: chunks of one hash are compared byte by byte before any goes.
 
 A passage of short lines has few chunks that are the same wherever it stands, or none. With
-`passages`, every line with words also makes an anchor with the next one that has words. A run of
-anchors that all came before is one passage, to its first and last common line, and goes
-if it has `LONG_WORDS` words. The first place of a line is in no such run, so every line stays once.
+`passages`, the least runs of two lines or more that reach `LONG_WORDS` words are proposed too: from each line
+with words on, and up to each. Every passage of so many words is a union of such runs, and a run
+goes only if all of it stands in one earlier place. The first place of a line is in no such run, so
+every line stays once.
 """
 
 from __future__ import annotations
@@ -78,29 +79,56 @@ def candidates(text: str | None) -> list[tuple[int, str]]:
     return [(k, "\n".join(lines[a:b])) for k, (a, b) in enumerate(spans) if counts_as_chunk(lines[a:b])]
 
 
-def anchors(lines: list[str]) -> list[tuple[int, int]]:
-    """Each line with words and the next such line, as (first line, line after the last)."""
-    worded = [i for i, x in enumerate(lines) if x and not x.isspace()]
-    return [(a, b + 1) for a, b in zip(worded, worded[1:])]
+def least_runs(lines: list[str], long_words: int = LONG_WORDS) -> list[tuple[int, int]]:
+    """The least runs of lines with `long_words` words from each line on and up to each line, as (first, after the last).
 
-
-def _digest(chunk: str, seed: int = 0) -> bytes:
-    return xxhash.xxh3_128_digest(chunk.encode("utf-8", "surrogatepass"), seed)
-
-
-def _proposed(text: str | None, passages: bool) -> Iterator[tuple[int, bytes, str]]:
-    """(place, hash, text): chunks that count at even places and, with `passages`, anchors at odd ones."""
-    for k, chunk in candidates(text):
-        yield 2 * k, _digest(chunk), chunk
-    if passages:
-        lines = (text or "").split("\n")
-        for k, (a, b) in enumerate(anchors(lines)):
-            chunk = "\n".join(lines[a:b])
-            yield 2 * k + 1, _digest(chunk, 1), chunk
+    They begin and end with a line that has words, and have two of these at least: a line that has
+    enough alone is a chunk of its own.
+    """
+    sizes = [len(x.split()) for x in lines]
+    worded = [i for i, n in enumerate(sizes) if n]
+    found, total, first = set(), 0, 0
+    for last, i in enumerate(worded):
+        total += sizes[i]
+        fits = False
+        # the run up to line i gives up its first lines while enough words are left
+        while total >= long_words:
+            fits = True
+            found.add((worded[first], i + 1))  # from its first line on, no shorter run is enough
+            total -= sizes[worded[first]]
+            first += 1
+        if not fits and first and last >= first:
+            # the least run up to here takes in lines that were given up
+            back, at = total, first
+            while back < long_words and at:
+                at -= 1
+                back += sizes[worded[at]]
+            if back >= long_words:
+                found.add((worded[at], i + 1))
+    return sorted((a, b) for a, b in found if b - a > 1)
+
+
+def _digest(data: bytes, seed: int = 0) -> bytes:
+    return xxhash.xxh3_128_digest(data, seed)
+
+
+def _proposed(text: str | None, passages: bool) -> Iterator[tuple[int, bytes, list[str]]]:
+    """(place, hash, lines): chunks that count at even places and, with `passages`, least runs at odd ones.
+
+    Lines are hashed once, chunks and runs by their lines' hashes.
+    """
+    lines, spans = chunk_lines(text)
+    hashes = [_digest(x.encode("utf-8", "surrogatepass")) for x in lines]
+    for k, (a, b) in enumerate(spans):
+        if counts_as_chunk(lines[a:b]):
+            yield 2 * k, _digest(b"".join(hashes[a:b])), lines[a:b]
+    if passages and len(lines) > 1:
+        for k, (a, b) in enumerate(least_runs(lines)):
+            yield 2 * k + 1, _digest(b"".join(hashes[a:b]), 1), lines[a:b]
 
 
 def chunk_rows(docs: DataFrame, text: str = "text", passages: bool = False) -> DataFrame:
-    """doc_id, text_key, place, h of every chunk that counts and, with `passages`, of every anchor."""
+    """doc_id, text_key, place, h of every chunk that counts and, with `passages`, of every least run."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,7 +149,7 @@ def chunk_rows(docs: DataFrame, text: str = "text", passages: bool = False) -> D
 
 
 def _marks(rows: DataFrame, but: DataFrame | None = None) -> DataFrame:
-    """Per document the places of chunks and anchors that occur elsewhere (`same`) and of those to take out (`gone`)."""
+    """Per document the places of chunks and runs that occur elsewhere (`same`) and of those to take out (`gone`)."""
     at = F.struct("doc_id", "text_key", "place")
     again = (rows.groupBy("h").agg(F.min(at).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     if but is not None:
@@ -137,7 +165,7 @@ def _marked(docs: DataFrame, text: str, marks: DataFrame) -> DataFrame:
     """docs with __same and __gone (null without a repeated chunk), written."""
     keyed = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__key"))
     # one plan at every size: the marks grow with the corpus, so they are never broadcast
-    return durable(docs.join(durable(marks).hint("shuffle_hash"), keyed, "left").drop("__id", "__key"))
+    return durable(docs.join(durable(marks).hint("merge"), keyed, "left").drop("__id", "__key"))
 
 
 def _clashes(marked: DataFrame, text: str) -> DataFrame:
@@ -151,8 +179,8 @@ def _clashes(marked: DataFrame, text: str) -> DataFrame:
                 for k, hashed, chunk in _proposed(value, any(p % 2 for p in wanted)):
                     if k in wanted:
                         h.append(hashed)
-                        chunks.append(chunk)
-                        size += len(chunk)
+                        chunks.append("\n".join(chunk))
+                        size += len(chunks[-1])
                 if size > BATCH_CHARS:
                     yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(chunks, pa.string())], ["h", "chunk"])
                     h, chunks, size = [], [], 0
@@ -170,15 +198,10 @@ def without_places(text: str, gone: list[int]) -> tuple[str, int]:
     for k in gone:
         if k % 2 == 0:
             out.update(range(*spans[k // 2]))
-    repeated = sorted(k // 2 for k in gone if k % 2)
-    pairs = anchors(lines) if repeated else []
-    first = 0
-    for n, k in enumerate(repeated):
-        if n + 1 == len(repeated) or repeated[n + 1] != k + 1:
-            a, b = pairs[repeated[first]][0], pairs[k][1]
-            if sum(len(x.split()) for x in lines[a:b]) >= LONG_WORDS:
-                out.update(range(a, b))
-            first = n + 1
+    runs = least_runs(lines) if any(k % 2 for k in gone) else []
+    for k in gone:
+        if k % 2:
+            out.update(range(*runs[k // 2]))
     left = [x for i, x in enumerate(lines) if i not in out]
     return "\n".join(left), len(lines) - len(left)
 
