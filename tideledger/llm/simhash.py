@@ -218,7 +218,7 @@ def keep_one(docs: DataFrame, text: str = "text", size: int = SHINGLE, radius: i
     gone = durable(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
                    .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).distinct())
     # one plan at every size: what goes grows with the corpus, so it is never broadcast
-    return docs.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col("__id")) & (
+    return docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (
         F.xxhash64(text) == F.col("__key")), "left_anti")
 
 
