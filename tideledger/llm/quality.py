@@ -283,12 +283,12 @@ def judge(rows: DataFrame, cuts: DataFrame, cutoffs: dict[str, list[int]] = CUTO
 def keep_good(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
     """The rows of docs that all rules keep; columns as before.
 
-    Counts are made for the fit, then again for the rows: that is cheaper than moving texts to
-    join them. Documents without the stratum column are one stratum.
+    Counts are made once and written beside the rows: a filter on them, pushed into the scan, would make
+    them again for each of its conditions. Documents without the stratum column are one stratum.
     """
     names = docs.columns
     level = F.coalesce(F.col(stratum), F.lit("")) if stratum in names else F.lit("")
-    rows = durable(docs.select("doc_id", level.alias("stratum"), measures(F.col(text)).alias("m")))
-    cuts = fit(rows, labels)
-    packed = docs.select(F.struct(*names).alias("row"), level.alias("stratum"), measures(F.col(text)).alias("m"))
-    return judge(packed, cuts).where("kept").select("row.*")
+    rows = durable(docs.select(F.struct(*names).alias("row"), level.alias("stratum"), measures(F.col(text)).alias("m"))
+                   .withColumn("doc_id", F.col("row.doc_id")))
+    cuts = fit(rows.select("doc_id", "stratum", "m"), labels)
+    return judge(rows, cuts).where("kept").select("row.*")
