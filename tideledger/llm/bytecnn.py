@@ -26,6 +26,8 @@ WIDTHS = (2, 3, 4)
 UNKNOWN = "und"
 #: The sample is bounded by this many languages; more are refused.
 MOST_LANGUAGES = 1000
+#: Slots of hashes that a language's documents are chosen in first, before its least hashes of all are.
+SLOTS = 32
 #: Windows scored in one go.
 AT_ONCE = 1024
 
@@ -140,9 +142,12 @@ def training_windows(docs: DataFrame, sample: Sample = Sample(), text: str = "te
                        & F.col(text).rlike(r"\p{L}")).where(in_training(F.col("doc_id")))
     rows = known.select("doc_id", F.col(language).cast("string").alias("lang"), F.col(text).alias("text"))
     keyed = rows.withColumn("hash", F.xxhash64("doc_id", "text"))
-    order = Window.partitionBy("lang").orderBy("hash", "doc_id")
-    chosen = (keyed.select("lang", "hash", "doc_id").distinct().withColumn("place", F.row_number().over(order))
-              .where(F.col("place") <= sample.docs).select("lang", "hash", "doc_id"))
+    chosen = keyed.select("lang", "hash", "doc_id").distinct()
+    # a frequent language is first thinned out by slots of its hashes: what is left is bounded
+    for by in (["lang", F.pmod("hash", F.lit(SLOTS))], ["lang"]):
+        order = Window.partitionBy(*by).orderBy("hash", "doc_id")
+        chosen = (chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample.docs)
+                  .select("lang", "hash", "doc_id"))
     found = (keyed.join(F.broadcast(chosen), ["lang", "hash", "doc_id"]).groupBy("lang", "hash", "doc_id")
              .agg(F.min("text").alias("text")))
     data = found.select("lang", "hash", F.encode("text", "UTF-8").alias("data"))
