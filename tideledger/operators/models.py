@@ -1,103 +1,48 @@
 """Classifiers beside the rules: logistic variants, trees, calibration, threshold sweeps.
 
-Fits run on Spark ML over (key columns, x vector, label). The training rows are cut from
-their lineage once by a reliable checkpoint, since a fit reads them many times.
+Every fit has a run key: the logistic fits of all runs, folds, feature sets and variants are solved
+together (`newton.py`), so the number of jobs does not grow with them. Trees are grown level by
+level for all runs (`forests.py`).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from functools import reduce
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression,
-                                       RandomForestClassifier)
-from pyspark.ml.feature import StandardScaler, VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import hash_draw, with_metrics
-from tideledger.session import durable
-
-# Penalties of the logistic variants (l1 share, inverse strength).
-LOGISTIC_VARIANTS = {
-    "L2": (0.0, 1.0), "L1": (1.0, 1.0), "L2_Strong": (0.0, 0.1), "L2_Weak": (0.0, 10.0),
-    "none": (0.0, None),
-}
-
-
-def assembled(rows: DataFrame, features: Sequence[str], label: str,
-              keep: Sequence[str] = ()) -> DataFrame:
-    """Rows with the feature vector `x` (gaps as 0) and a double `label`, lineage cut."""
-    filled = rows.select(*keep, F.col(label).cast("double").alias("label"),
-                         *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f)
-                           for f in features])
-    vec = VectorAssembler(inputCols=list(features), outputCol="x").transform(filled)
-    return durable(vec.select(*keep, "label", "x"))
-
-
-def logistic(variant: str, n_rows: int, max_iter: int = 100,
-             weight: str | None = None) -> LogisticRegression:
-    """L1 / L2 logistic regression whose penalty per row is 1 / (C n)."""
-    l1, c = LOGISTIC_VARIANTS[variant]
-    model = LogisticRegression(
-        featuresCol="x", labelCol="label", maxIter=max_iter, standardization=False,
-        elasticNetParam=l1, regParam=0.0 if c is None else 1.0 / (c * max(n_rows, 1)))
-    return model.setWeightCol(weight) if weight else model
-
-
-def tree_models(seed: int = 42) -> dict:
-    """Depth-3 tree, depth-3 forest and boosted trees."""
-    common = {"featuresCol": "x", "labelCol": "label", "maxDepth": 3, "seed": seed}
-    return {"tree": DecisionTreeClassifier(**common),
-            "forest": RandomForestClassifier(numTrees=50, **common),
-            "boosted": GBTClassifier(maxIter=20, **common)}
-
-
-def positive(col: str) -> Column:
-    """Second entry of a two-class vector column."""
-    return F.get(vector_to_array(col), F.lit(1))
-
-
-def score(model, rows: DataFrame, out: str = "probability") -> DataFrame:
-    made = model.transform(rows)
-    kept = [c for c in rows.columns if c != out]
-    return made.select(*kept, positive("probability").alias(out))
-
-
-def two_class(rows: DataFrame) -> tuple[int, int]:
-    """(rows, positives) by one aggregate."""
-    n, pos = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum("label"), F.lit(0.0))).first()
-    return int(n), int(pos)
-
-
-def calibrated(rows: DataFrame, make, k: int, order: Sequence[str], seed: int = 42) -> list[tuple]:
-    """k (model, slope, intercept): fitted without part i, calibrated by a sigmoid on part i."""
-    part = hash_draw(F.lit(seed), *[F.col(c) for c in order]) % k
-    split = rows.withColumn("__part", part)
-    out = []
-    for i in range(k):
-        inside, held = split.where(F.col("__part") != i), split.where(F.col("__part") == i)
-        model = make().fit(inside)
-        raw = VectorAssembler(inputCols=["__raw"], outputCol="x").transform(
-            model.transform(held).select("label", positive("rawPrediction").alias("__raw")))
-        line = LogisticRegression(featuresCol="x", labelCol="label", maxIter=50).fit(
-            raw.select("label", "x"))
-        out.append((model, float(line.coefficients[0]), float(line.intercept)))
-    return out
-
-
-def score_calibrated(fits: Sequence[tuple], rows: DataFrame, out: str = "probability") -> DataFrame:
-    """Mean of the k calibrated probabilities."""
-    scored, parts = rows, []
-    for i, (model, slope, base) in enumerate(fits):
-        raw = f"__raw{i}"
-        kept = scored.columns
-        scored = model.transform(scored).select(*kept, positive("rawPrediction").alias(raw))
-        parts.append(1 / (1 + F.exp(-(F.col(raw) * slope + base))))
-    mean = reduce(lambda a, b: a + b, parts) / len(parts)
-    return scored.withColumn(out, mean).drop(*[f"__raw{i}" for i in range(len(fits))])
+from tideledger.operators import newton
+
+
+def parts_of(order: Sequence[str], k: int, seed: int = 42) -> Column:
+    """Calibration part of a row, 0 to k - 1, the same on any retry."""
+    return hash_draw(F.lit(seed), *[F.col(c) for c in order]) % k
+
+
+def logistic_probabilities(rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str = "y",
+                           variants: Sequence[str] = tuple(newton.VARIANTS)) -> DataFrame:
+    """Rows with variant and probability of the fit on all rows of their run.
+
+    Runs of one class have no fit and no rows.
+    """
+    blocks = newton.pack(rows, keys, features, label)
+    fits = newton.fit(blocks, keys, features, newton.grid(variants=variants))
+    return newton.scored(rows, fits, keys, features).drop("set", "n_parts")
+
+
+def calibrated_probabilities(rows: DataFrame, keys: Sequence[str], features: Sequence[str], order: Sequence[str],
+                             k: int, label: str = "y", variants: Sequence[str] = ("L2",)) -> DataFrame:
+    """Rows with variant and the mean of k probabilities: fitted without one part, its scores brought to a sigmoid.
+
+    Targets of the sigmoid are smoothed by the counts of the part. A run where a part leaves one
+    class to train on has no rows.
+    """
+    blocks = newton.pack(rows, keys, features, label, part=parts_of(order, k))
+    fits = newton.fit(blocks, keys, features, newton.grid(parts=range(k), variants=variants))
+    made = newton.scored(rows, newton.calibrate(blocks, fits, keys), keys, features)
+    return made.where(F.col("n_parts") == k).drop("set", "n_parts")
 
 
 def threshold_sweep(probs: DataFrame, keys: Sequence[str], probability: str = "probability",
@@ -130,118 +75,97 @@ def threshold_sweep(probs: DataFrame, keys: Sequence[str], probability: str = "p
             .where(F.col("__r") == 1).select(*keys, *cols))
 
 
-def fold_probabilities(data: DataFrame, k: int, make, order: Sequence[str], cal_parts: int = 2,
-                       ) -> DataFrame | None:
-    """Calibrated test-fold probabilities of an expanding-window cross-validation.
+def fold_probabilities(data: DataFrame, keys: Sequence[str], feature_sets: Mapping[str, Sequence[str]],
+                       variants: Sequence[str], k: int, order: Sequence[str], cal_parts: int = 2,
+                       label: str = "y") -> DataFrame:
+    """Calibrated test-fold probabilities of an expanding-window cross-validation, per set and variant.
+
+    `data` has test_fold. A fold is left out where its training rows, or those without a
+    calibration part, are of one class, or where it has no positive test row.
+    """
+    features = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    blocks = newton.pack(data, keys, features, label, F.col("test_fold"), parts_of(order, cal_parts))
+    fits = newton.fit(blocks, keys, features, newton.grid(
+        list(feature_sets), range(k), range(cal_parts), variants), sets=feature_sets)
+    made = newton.scored(data, newton.calibrate(blocks, fits, keys), keys, features, fold="test_fold")
+    usable = (data.groupBy(*keys, "test_fold").agg(F.sum(label).alias("__p")).where("__p > 0").drop("__p"))
+    return made.where(F.col("n_parts") == cal_parts).drop("n_parts").join(usable, [*keys, "test_fold"], "left_semi")
+
+
+def model_cv(data: DataFrame, keys: Sequence[str], feature_sets: Mapping[str, Sequence[str]], variants: Sequence[str],
+             k: int, order: Sequence[str], step: float = 0.001, cal_parts: int = 2, label: str = "y") -> DataFrame:
+    """Best threshold and metrics per run, set, variant and fold, for those with two usable folds or more.
 
-    `data` has test_fold, label and x. Folds with one training class or no positive test
-    row are skipped; fewer than two usable folds give None.
+    A fold in which no threshold finds a positive row counts with threshold 0.5 and an F1 of 0.
     """
-    counts = {r["test_fold"]: (r["n"], r["p"]) for r in
-              data.groupBy("test_fold").agg(F.count(F.lit(1)).alias("n"),
-                                            F.sum("label").alias("p")).collect()}
-    parts = []
-    for fold in range(k):
-        seen = [counts[f] for f in counts if f < fold]
-        n, pos = sum(c[0] for c in seen), sum(c[1] for c in seen)
-        if not 0 < pos < n or not counts.get(fold, (0, 0))[1]:
-            continue
-        fits = calibrated(data.where(F.col("test_fold") < fold), lambda: make(n), cal_parts, order)
-        held = data.where(F.col("test_fold") == fold)
-        parts.append(score_calibrated(fits, held).withColumn("fold", F.lit(fold)))
-    if len(parts) < 2:
-        return None
-    return reduce(DataFrame.unionByName, parts)
-
-
-def model_cv(data: DataFrame, k: int, make, order: Sequence[str], step: float = 0.001,
-             cal_parts: int = 2) -> DataFrame | None:
-    """Best threshold and metrics per fold, scored once per fold."""
-    probs = fold_probabilities(data, k, make, order, cal_parts)
-    return None if probs is None else threshold_sweep(
-        probs, ["fold"], start=0.01, step=step, count=int(round(0.98 / step)))
-
-
-def model_grid(rows: DataFrame, feature_sets: Mapping[str, Sequence[str]],
-               variants: Sequence[str], k: int, order: Sequence[str], label: str = "y",
-               max_iter: int = 100, parallel: int = 4) -> DataFrame:
-    """Feature sets x logistic variants ranked by mean fold F1.
-
-    The fits are independent Spark jobs and run a few at a time.
+    probs = fold_probabilities(data, keys, feature_sets, variants, k, order, cal_parts, label)
+    by = [*keys, "set", "variant", "test_fold"]
+    cells = probs.select(*by, "probability", F.col(label).alias("label"))
+    found = threshold_sweep(cells, by, start=0.01, step=step, count=int(round(0.98 / step)))
+    fired = F.col("probability") >= 0.5
+    plain = cells.groupBy(*by).agg(*[F.count_if(c).alias(f"__{n}") for n, c in (
+        ("fp", fired), ("fn", ~fired & (F.col("label") == 1)), ("tn", ~fired & (F.col("label") == 0)))])
+    names = ("tp", "fp", "tn", "fn", "precision", "recall", "accuracy", "f1")
+    missed = with_metrics(plain.join(found, by, "left_anti").select(
+        *by, F.lit(0.5).alias("threshold"), F.lit(0).cast("long").alias("tp"), F.col("__fp").alias("fp"),
+        F.col("__tn").alias("tn"), F.col("__fn").alias("fn"))).select(*by, "threshold", *names)
+    folds = found.select(*by, "threshold", *names).unionByName(missed)
+    several = Window.partitionBy(*keys, "set", "variant")
+    return folds.withColumn("__n", F.count(F.lit(1)).over(several)).where("__n >= 2").drop("__n")
+
+
+def model_grid(data: DataFrame, keys: Sequence[str], feature_sets: Mapping[str, Sequence[str]],
+               variants: Sequence[str], k: int, order: Sequence[str], label: str = "y") -> DataFrame:
+    """Feature sets x logistic variants of each run ranked by mean fold F1."""
+    folds = model_cv(data, keys, feature_sets, variants, k, order, label=label)
+    sizes = F.create_map(*[F.lit(v) for name, fs in feature_sets.items() for v in (name, len(fs))])
+    summary = folds.groupBy(*keys, "set", "variant").agg(
+        F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"),
+        F.avg("threshold").alias("mean_threshold"), F.count(F.lit(1)).alias("n_folds"))
+    # means of equal folds differ in their last bits by the order of addition
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(F.round("mean_f1", 12)), "set", "variant"))
+    return summary.select(*keys, F.col("set").alias("feature_set"), F.col("variant").alias("lr_variant"), "mean_f1", "std_f1",
+                          "mean_threshold", "n_folds", sizes[F.col("set")].alias("n_features"), place.alias("place"))
+
+
+def best_models(graded: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Set, variant, threshold and F1 of each run's first model."""
+    return graded.where("place = 1").select(*keys, "feature_set", "lr_variant", F.col("mean_threshold").alias("optimal_threshold"),
+                                            F.col("mean_f1").alias("cv_f1_score"))
+
+
+def fit_predict_holdout(rows: DataFrame, keys: Sequence[str], feature_sets: Mapping[str, Sequence[str]], best: DataFrame,
+                        holdout_year: int, order: Sequence[str], label: str = "y", cal_parts: int = 3) -> DataFrame:
+    """Raw and calibrated probabilities of the held-out year by each run's best model, fitted on the years before.
+
+    `best` is as `best_models` gives it. A run without earlier rows, or with one class there, has no rows.
     """
-    jobs = []
-    for name, features in feature_sets.items():
-        data = assembled(rows, features, label, [*order, "test_fold"])
-        jobs += [(name, len(features), v, data) for v in variants]
-
-    def one(job):
-        name, size, variant, data = job
-        folds = model_cv(data, k, lambda n: logistic(variant, n, max_iter), order)
-        if folds is None:
-            return None
-        return folds.select(F.lit(name).alias("feature_set"), F.lit(size).alias("n_features"),
-                            F.lit(variant).alias("lr_variant"), "fold", "threshold", "f1")
-
-    with ThreadPoolExecutor(parallel) as pool:
-        done = [d for d in pool.map(one, jobs) if d is not None]
-    if not done:
-        raise ValueError("no model had two usable folds")
-    summary = reduce(DataFrame.unionByName, done).groupBy(
-        "feature_set", "n_features", "lr_variant").agg(
-            F.avg("f1").alias("mean_f1"), F.stddev_pop("f1").alias("std_f1"),
-            F.avg("threshold").alias("mean_threshold"), F.count(F.lit(1)).alias("n_folds"))
-    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(
-        F.desc("mean_f1"), "feature_set", "lr_variant"))
-    return summary.withColumn("place", place)
-
-
-def fit_predict_holdout(rows: DataFrame, features: Sequence[str], variant: str, holdout_year: int,
-                        threshold: float, order: Sequence[str], label: str = "y",
-                        cal_parts: int = 3, max_iter: int = 100) -> DataFrame:
-    """Raw and calibrated probabilities of the held-out year from a fit on the years before.
-
-    With no earlier year the whole table trains.
+    features = list(dict.fromkeys(f for fs in feature_sets.values() for f in fs))
+    year = F.year("date")
+    inside = rows.where(year <= holdout_year).withColumn("__held", (year == holdout_year).cast("int"))
+    variants = [v for v in newton.VARIANTS if v != "none"]
+    blocks = newton.pack(inside, keys, features, label, F.col("__held"), parts_of(order, cal_parts))
+    wanted = newton.grid(list(feature_sets), [1], [newton.NO_PART, *range(cal_parts)], variants)
+    chosen = best.select(*keys, F.col("feature_set").alias("set"), F.col("lr_variant").alias("variant"))
+    fits = newton.fit(blocks, keys, features, wanted, sets=feature_sets, only=chosen)
+    held = inside.where("__held = 1").drop("__held")
+    raw = newton.scored(held, fits.where(F.col("part") == newton.NO_PART), keys, features, out="estimated_probability")
+    made = newton.scored(held, newton.calibrate(blocks, fits, keys), keys, features, out="calibrated_probability")
+    made = made.where(F.col("n_parts") == cal_parts)
+    both = raw.select(*order, label, "estimated_probability").join(made.select(*order, "calibrated_probability"), list(order))
+    return both.join(best, list(keys)).select(
+        *order, "estimated_probability", "calibrated_probability", "optimal_threshold",
+        (F.col("calibrated_probability") >= F.col("optimal_threshold")).cast("int").alias("predicted_event"),
+        F.col(label).cast("int").alias("observed_event"), "feature_set", "lr_variant", "cv_f1_score")
+
+
+def oof_balanced_lr(data: DataFrame, keys: Sequence[str], features: Sequence[str], k: int, label: str = "y") -> DataFrame:
+    """Every row with the probability that the fit before its fold gives it, classes balanced, features standardised.
+
+    Rows of the first block, and of folds whose training rows are of one class, have probability 0.
     """
-    data = assembled(rows, features, label, [*order])
-    train = data.where(F.year("date") < holdout_year)
-    n, pos = two_class(train)
-    if n == 0:
-        train = data
-        n, pos = two_class(train)
-    if not 0 < pos < n:
-        raise ValueError("training rows hold one class only")
-    held = data.where(F.year("date") == holdout_year)
-    raw = score(logistic(variant, n, max_iter).fit(train), held, "estimated_probability")
-    fits = calibrated(train, lambda: logistic(variant, n, max_iter), cal_parts, order)
-    both = score_calibrated(fits, raw, "calibrated_probability")
-    return both.select(*order, "estimated_probability", "calibrated_probability",
-                       F.lit(float(threshold)).alias("optimal_threshold"),
-                       (F.col("calibrated_probability") >= threshold).cast("int")
-                       .alias("predicted_event"),
-                       F.col("label").cast("int").alias("observed_event"),
-                       F.lit(variant).alias("lr_variant"))
-
-
-def oof_balanced_lr(rows: DataFrame, features: Sequence[str], k: int, order: Sequence[str],
-                    label: str = "y", max_iter: int = 100) -> DataFrame:
-    """Out-of-fold probabilities of a standardised, class-balanced logistic regression."""
-    data = assembled(rows, features, label, [*order, "test_fold"])
-    parts = []
-    for fold in range(k):
-        train = data.where(F.col("test_fold") < fold)
-        n, pos = two_class(train)
-        if not 0 < pos < n:
-            continue
-        scaler = StandardScaler(inputCol="x", outputCol="__s", withMean=True, withStd=True).fit(train)
-
-        def scaled(df):
-            return (scaler.transform(df).drop("x").withColumnRenamed("__s", "x"))
-
-        weighted = scaled(train).withColumn(
-            "__w", F.when(F.col("label") == 1, n / (2.0 * pos)).otherwise(n / (2.0 * (n - pos))))
-        model = logistic("L2", n, max_iter, "__w").fit(weighted)
-        parts.append(score(model, scaled(data.where(F.col("test_fold") == fold)))
-                     .select(*order, "label", "probability", F.lit(fold).alias("fold")))
-    if not parts:
-        raise ValueError("no fold had two training classes")
-    return reduce(DataFrame.unionByName, parts)
+    blocks = newton.pack(data, keys, features, label, F.col("test_fold"))
+    fits = newton.fit(blocks, keys, features, newton.grid(folds=range(k)), balanced=True, standardised=True)
+    lines = fits.select(*keys, F.col("fold").alias("test_fold"), "columns", "w")
+    probability = F.coalesce(newton.sigmoid(newton.margin(features)), F.lit(0.0))
+    return data.join(lines, [*keys, "test_fold"], "left").withColumn("probability", probability).drop("columns", "w")

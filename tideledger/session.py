@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,18 @@ def durable(df: DataFrame) -> DataFrame:
     path = shared_folder(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship_library(spark: SparkSession) -> None:
+    """Hands this library to the executors, once per session: Python workers may not have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tideledger_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[1]
+    # the driver serves this file for as long as the session lives
+    path = f"{tempfile.mkdtemp(prefix='spark-')}/tideledger_lib.zip"
+    with zipfile.ZipFile(path, "w") as out:
+        for f in sorted((root / "tideledger").rglob("*.py")):
+            out.write(f, f.relative_to(root))
+    sc.addPyFile(path)
+    sc._tideledger_shipped = True
