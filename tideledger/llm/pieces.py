@@ -41,14 +41,14 @@ THETA = 1.0
 SEED = 42
 RANK_SHIFT = 2.7
 #: Nodes (some 90 bytes each) kept by a Python worker.
-KEPT_NODES = 1_500_000
+KEPT_NODES = 800_000
 #: Choices made with one random number, choices split at once, and the greatest noise that `uniform` can give.
 FRESH_STEPS = 4
 SPLIT_AT_ONCE = 640
 MAX_NOISE = 37.0
 #: Units walked and characters read at once.
-CHUNK_UNITS = 1 << 18
-CHARS_AT_ONCE = 1 << 21
+CHUNK_UNITS = 1 << 15
+CHARS_AT_ONCE = 1 << 18
 
 _HASH_STEP = np.uint64(0xD6E8FEB86659FD93)
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
