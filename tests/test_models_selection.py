@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tideledger.operators import models, search, selection
+from tideledger.operators import forests, models, newton, search, selection
 
 D0 = dt.date(2022, 6, 1)
 
@@ -63,26 +63,134 @@ def test_sweep_against_every_threshold(spark, strict):
     assert (got.f1, got.threshold) == (pytest.approx(best[0]), pytest.approx(best[1]))
 
 
+def newton_by_hand(x, y, ridge, weight=None, steps=60):
+    x = np.column_stack([np.ones(len(x)), x])
+    w, weight = np.zeros(x.shape[1]), np.ones(len(y)) if weight is None else weight
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-x @ w))
+        w = w - np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(ridge), x.T @ (weight * (p - y)) + ridge * w)
+    return w
+
+
+def test_grouped_fits_equal_single_ones(spark):
+    df, rows = sample(spark)
+    both = df.unionByName(df.where("b > 0").withColumn("run", F.lit("other")))
+    folded = both.withColumn("fold", F.when(F.col("date") < D0 + dt.timedelta(days=250), 0).otherwise(1))
+    part = F.dayofyear("date") % 2
+    blocks = newton.pack(folded, ["run"], ["a", "b"], "y", F.col("fold"), part)
+    models_ = newton.grid(["ab", "a"], [1, newton.ALL_FOLDS], [newton.NO_PART, 0, 1], list(newton.VARIANTS))
+    fits = newton.fit(blocks, ["run"], ["a", "b"], models_, sets={"ab": ["a", "b"], "a": ["a"]}).collect()
+    assert len(fits) == 2 * len(models_) and all(f.converged for f in fits)
+    for f in fits:
+        own = [r for r in rows if (f.run == "r" or r[3] > 0) and (f.fold > 1 or r[1] < D0 + dt.timedelta(days=250))
+               and r[1].timetuple().tm_yday % 2 != f.part]
+        x = np.array([[r[2], r[3]] for r in own])[:, :2 if f.set == "ab" else 1]
+        y = np.array([r[4] for r in own])
+        assert (f.n, f.pos) == (len(y), y.sum())
+        kind, c = newton.VARIANTS[f.variant]
+        if kind == "l1":  # the slope of the losses is within the penalty, and opposite to each coefficient
+            d = np.column_stack([np.ones(len(x)), x])
+            slope = d.T @ (1 / (1 + np.exp(-d @ np.array(f.w))) - y)
+            assert np.allclose(np.where(np.array(f.w) == 0, np.clip(slope, -1, 1) - slope, slope + np.sign(f.w)), 0, atol=1e-6)
+        else:
+            ridge = np.array([0.0] + [1 / c if kind == "l2" else 0.0] * x.shape[1])
+            assert np.allclose(f.w, newton_by_hand(x, y, ridge), atol=1e-7)
+
+
+def test_balanced_standardised_fits(spark):
+    df, rows = sample(spark)
+    blocks = newton.pack(df, ["run"], ["a", "b"], "y")
+    fit = newton.fit(blocks, ["run"], ["a", "b"], newton.grid(), balanced=True, standardised=True).first()
+    x, y = np.array([[r[2], r[3]] for r in rows]), np.array([r[4] for r in rows])
+    scaled = (x - x.mean(axis=0)) / x.std(axis=0)
+    w = newton_by_hand(scaled, y, np.array([0.0, 1, 1]), np.where(y == 1, 0.5 * len(y) / y.sum(), 0.5 * len(y) / (1 - y).sum()))
+    assert np.allclose(np.array(fit.w)[1:] * x.std(axis=0), w[1:], atol=1e-7)
+
+
+def test_runs_of_one_class_have_no_fit(spark):
+    df, _ = sample(spark, 60)
+    quiet = df.unionByName(df.withColumns({"run": F.lit("quiet"), "y": F.lit(0)}))
+    got = models.logistic_probabilities(quiet, ["run"], ["a"], "y", ["L2"])
+    assert {r.run for r in got.select("run").distinct().collect()} == {"r"}
+    assert models.logistic_probabilities(df.limit(0), ["run"], ["a"], "y", ["L2"]).count() == 0
+
+
 def test_calibrated_probabilities_follow_the_rate(spark):
     df, rows = sample(spark)
-    data = models.assembled(df, ["a", "b"], "y", ["run", "date"])
-    fits = models.calibrated(data, lambda: models.logistic("L2", 400), 3, ["run", "date"])
-    got = models.score_calibrated(fits, data)
-    mean, low, high = got.agg(F.avg("probability"), F.min("probability"), F.max("probability")).first()
-    assert 0 < low < high < 1
+    got = models.calibrated_probabilities(df, ["run"], ["a", "b"], ["run", "date"], 3)
+    n, mean, low, high = got.agg(F.count("*"), F.avg("probability"), F.min("probability"), F.max("probability")).first()
+    assert n == len(rows) and 0 < low < high < 1
     assert mean == pytest.approx(np.mean([r[4] for r in rows]), abs=0.03)
 
 
-def test_one_class_folds_are_skipped(spark):
+def test_one_class_folds_are_skipped_and_folds_without_a_hit_count(spark):
     df, _ = sample(spark, 120)
     quiet = search.time_series_folds(df.withColumn("y", F.when(
         F.col("date") < D0 + dt.timedelta(days=60), 0).otherwise(F.col("y"))), ["run"], 5)
-    data = models.assembled(quiet, ["a", "b"], "y", ["run", "date", "test_fold"])
-    got = models.fold_probabilities(data, 5, lambda n: models.logistic("L2", n, 20), ["run", "date"])
-    assert {r.fold for r in got.select("fold").distinct().collect()} == {3, 4}
+    got = models.fold_probabilities(quiet, ["run"], {"all": ["a", "b"]}, ["L2"], 5, ["run", "date"])
+    assert {r.test_fold for r in got.select("test_fold").distinct().collect()} == {3, 4}
+    folds = models.model_cv(quiet, ["run"], {"all": ["a", "b"]}, ["L2"], 5, ["run", "date"]).collect()
+    assert {r.test_fold for r in folds} == {3, 4}
 
 
-def test_holdout_needs_two_classes(spark):
+def test_holdout_needs_earlier_rows_of_two_classes(spark):
     df, _ = sample(spark, 60)
-    with pytest.raises(ValueError):
-        models.fit_predict_holdout(df.withColumn("y", F.lit(0)), ["a"], "L2", 2023, 0.5, ["run", "date"])
+    best = spark.createDataFrame([("r", "all", "L2", 0.5, 0.1)], "run string, feature_set string, lr_variant string, "
+                                 "optimal_threshold double, cv_f1_score double")
+    for year in (2023, 2022):
+        got = models.fit_predict_holdout(df.withColumn("y", F.lit(0)), ["run"], {"all": ["a"]}, best, year, ["run", "date"])
+        assert got.count() == 0
+
+
+def grown_by_hand(x, y, depth, rows=None):
+    """Greedy Gini tree over all cuts of whole numbers; equal gains go to the first feature, then the lowest cut."""
+    rows = np.arange(len(y)) if rows is None else rows
+    n, pos = len(rows), y[rows].sum()
+    gini = lambda a, b: 2 * b * (a - b) / a
+    best = None
+    if depth and 0 < pos < n:
+        for f in range(x.shape[1]):
+            for cut in sorted(set(x[rows, f]))[:-1]:
+                low, high = rows[x[rows, f] <= cut], rows[x[rows, f] > cut]
+                gain = round(gini(n, pos) - gini(len(low), y[low].sum()) - gini(len(high), y[high].sum()), 9)
+                if gain > 1e-9 and (best is None or gain > best[0]):
+                    best = (gain, low, high)
+    if best is None:
+        return {int(r): pos / n for r in rows}
+    return grown_by_hand(x, y, depth - 1, best[1]) | grown_by_hand(x, y, depth - 1, best[2])
+
+
+@pytest.mark.parametrize("block_rows", [1 << 16, 60])
+def test_trees_equal_greedy_ones_over_one_block_or_many(spark, monkeypatch, block_rows):
+    monkeypatch.setattr(forests, "BLOCK_ROWS", block_rows)
+    rng = np.random.default_rng(2)
+    x = rng.integers(0, 12, (240, 3))
+    y = ((x[:, 0] > 6) ^ (x[:, 1] > 3) ^ (rng.random(240) < 0.2)).astype(int)
+    rows = [("r", i, *map(float, v), int(t)) for i, (v, t) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "run string, i int, a double, b double, c double, y int")
+    both = df.unionByName(df.withColumns({"run": F.lit("s"), "y": 1 - F.col("y")}))
+    trees = [forests.Ensemble("one", 1, 1), forests.Ensemble("three", 1, 3), forests.Ensemble("all", 1, None)]
+    got = models.tree_probabilities(both, ["run"], ["a", "b", "c"], ["run", "i"], ensembles=trees).collect()
+    assert len(got) == 2 * 3 * 240
+    for name, depth in (("one", 1), ("three", 3), ("all", 99)):
+        want = grown_by_hand(x, y, depth)
+        assert {r.i: r.probability for r in got if r.run == "r" and r.variant == name} == pytest.approx(want)
+        flipped = {r.i: 1 - r.probability for r in got if r.run == "s" and r.variant == name}
+        assert flipped == pytest.approx(want)
+
+
+def test_forests_find_the_signal_and_are_the_same_again(spark):
+    df, _ = sample(spark)
+    small = [forests.Ensemble("forest", 60, 6, features="sqrt", resample=True, seed=1),
+             forests.Ensemble("forest", 40, None, min_split=5, features=0.8, resample=True, seed=2)]
+    found = [{r.feature: r.importance_mean for r in selection.select_forest(d, ["run"], ["a", "b"], "y", ["run", "date"], small).collect()}
+             for d in (df, df.repartition(3))]
+    assert found[0] == found[1] and found[0]["a"] > found[0]["b"] and sum(found[0].values()) == pytest.approx(1)
+    cuts = [forests.Ensemble("extra", 50, 5, features="sqrt", random_cuts=True)]
+    extra = {r.feature: r.importance_mean for r in selection.select_extra_trees(
+        df, ["run"], ["a", "b"], "y", ["run", "date"], cuts).collect()}
+    assert extra["a"] > extra["b"]
+    boosted = models.tree_probabilities(df, ["run"], ["a", "b"], ["run", "date"],
+                                        ensembles=[forests.Ensemble("boosted", 5, 2, boosted=True)])
+    means = {r.y: r.p for r in boosted.groupBy("y").agg(F.avg("probability").alias("p")).collect()}
+    assert means[1] > means[0] + 0.2

@@ -13,7 +13,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import hash_draw, with_metrics
-from tideledger.operators import newton
+from tideledger.operators import forests, newton
+from tideledger.operators.forests import Ensemble
+
+
+# Tree models beside the logistic ones.
+TREE_MODELS = [
+    Ensemble("tree", 1, 3), Ensemble("forest", 100, 3, features="sqrt", resample=True),
+    Ensemble("boosted", 100, 3, boosted=True),
+]
+
+
+def tree_probabilities(rows: DataFrame, keys: Sequence[str], features: Sequence[str], order: Sequence[str], label: str = "y",
+                       ensembles: Sequence[Ensemble] = tuple(TREE_MODELS)) -> DataFrame:
+    """Rows with variant and probability of the ensembles grown on all rows of their run; `order` names a row of it."""
+    blocks = forests.pack(rows, keys, features, label, order)
+    grown = forests.grow(blocks, keys, len(features), ensembles)
+    scored = forests.probabilities(blocks, grown, keys, ensembles)
+    names = F.array(*[F.lit(e.name) for e in ensembles])
+    made = scored.select(*keys, "rid", F.get(names, F.col("ensemble")).alias("variant"), "probability")
+    return rows.withColumn("rid", F.xxhash64(*order)).join(made, [*keys, "rid"]).drop("rid")
 
 
 def parts_of(order: Sequence[str], k: int, seed: int = 42) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideledger.functions.scalars import ratio
+from tideledger.operators import forests
+from tideledger.operators.forests import Ensemble
 
 # Weight of each method's vote and the name patterns that boost a feature.
 METHOD_WEIGHTS = {
@@ -196,55 +198,44 @@ def vote_features(lists: DataFrame, keys: Sequence[str], weights: Mapping[str, f
 
 # Ensembles behind the two importance votes.
 FOREST_CONFIGS = [
-    {"numTrees": 200, "maxDepth": 15, "minInstancesPerNode": 2, "seed": 42},
-    {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 1, "seed": 123},
-    {"numTrees": 150, "maxDepth": 12, "minInstancesPerNode": 4, "seed": 456},
-    {"numTrees": 250, "maxDepth": 18, "minInstancesPerNode": 2, "seed": 789},
-    {"numTrees": 180, "maxDepth": 30, "minInstancesPerNode": 5, "seed": 987,
-     "featureSubsetStrategy": "0.8"},
+    Ensemble("forest", 200, 15, min_split=5, features="sqrt", resample=True, seed=42),
+    Ensemble("forest", 300, 20, min_split=3, features="sqrt", resample=True, seed=123),
+    Ensemble("forest", 150, 12, min_split=8, features="sqrt", resample=True, seed=456),
+    Ensemble("forest", 250, 18, min_leaf=2, features="sqrt", resample=True, seed=789),
+    Ensemble("forest", 180, None, min_split=10, features=0.8, resample=True, seed=987),
 ]
 EXTRA_TREE_CONFIGS = [
-    {"numTrees": 200, "maxDepth": 15, "seed": 42},
-    {"numTrees": 300, "maxDepth": 20, "minInstancesPerNode": 2, "seed": 123},
-    {"numTrees": 150, "maxDepth": 30, "minInstancesPerNode": 3, "seed": 456},
-    {"numTrees": 250, "maxDepth": 25, "featureSubsetStrategy": "0.7", "seed": 789},
+    Ensemble("extra_trees", 200, 15, min_split=3, features="sqrt", random_cuts=True, seed=42),
+    Ensemble("extra_trees", 300, 20, min_split=5, features="sqrt", random_cuts=True, seed=123),
+    Ensemble("extra_trees", 150, None, min_leaf=3, features="sqrt", random_cuts=True, seed=456),
+    Ensemble("extra_trees", 250, 25, features=0.7, random_cuts=True, seed=789),
 ]
 
 
-def _importances(rows: DataFrame, features: Sequence[str], label: str, configs, **common) -> DataFrame:
-    """(feature, importance_mean, importance_std) over several forests; gaps as 0."""
-    from pyspark.ml.classification import RandomForestClassifier
-
-    from tideledger.operators.models import assembled
-    data = assembled(rows, features, label)
-    fits = []
-    for n, config in enumerate(configs):
-        forest = RandomForestClassifier(featuresCol="x", labelCol="label", **{**common, **config})
-        weights = forest.fit(data).featureImportances.toArray()
-        fits += [(f, n, float(w)) for f, w in zip(features, weights)]
-    table = rows.sparkSession.createDataFrame(fits, "feature string, fit int, importance double")
-    return table.groupBy("feature").agg(F.avg("importance").alias("importance_mean"),
-                                        F.stddev_pop("importance").alias("importance_std"))
-
-
-def select_forest(rows: DataFrame, features: Sequence[str], label: str, configs=tuple(FOREST_CONFIGS),
-                  ) -> DataFrame:
-    """0.7 x mean importance + 0.3 x stability over the forests."""
-    imp = _importances(rows, features, label, configs)
-    steady = F.col("importance_mean") / (F.col("importance_std") + 1e-6)
-    top = F.max("stability").over(Window.partitionBy(F.lit(1)))
-    return imp.withColumn("stability", steady).withColumn(
+def forest_importances(rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: Sequence[str],
+                       ensembles: Sequence[Ensemble]) -> DataFrame:
+    """(keys, feature, importance_mean, importance_std, stability) over the ensembles of each run; gaps as 0."""
+    blocks = forests.pack(rows, keys, features, label, order)
+    grown = forests.grow(blocks, keys, len(features), ensembles)
+    table = forests.importances(grown, keys, features, ensembles)
+    return table.groupBy(*keys, "feature").agg(
+        F.avg("importance").alias("importance_mean"), F.stddev_pop("importance").alias("importance_std")).withColumn(
+        "stability", F.col("importance_mean") / (F.col("importance_std") + 1e-6))
+
+
+def select_forest(rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: Sequence[str],
+                  ensembles: Sequence[Ensemble] = tuple(FOREST_CONFIGS)) -> DataFrame:
+    """0.7 x mean importance + 0.3 x stability over the forests of each run."""
+    top = F.max("stability").over(Window.partitionBy(*keys))
+    return forest_importances(rows, keys, features, label, order, ensembles).withColumn(
         "score", 0.7 * F.col("importance_mean") + 0.3 * ratio(F.col("stability"), top, 0.0))
 
 
-def select_extra_trees(rows: DataFrame, features: Sequence[str], label: str,
-                       configs=tuple(EXTRA_TREE_CONFIGS)) -> DataFrame:
-    """Ensembles without resampling over small feature subsets, in the extra-trees vote slot."""
-    imp = _importances(rows, features, label, configs, bootstrap=False,
-                       featureSubsetStrategy="sqrt")
-    steady = F.col("importance_mean") / (F.col("importance_std") + 1e-6)
-    top = F.max("stability").over(Window.partitionBy(F.lit(1)))
-    return imp.withColumn("stability", steady).withColumn(
+def select_extra_trees(rows: DataFrame, keys: Sequence[str], features: Sequence[str], label: str, order: Sequence[str],
+                       ensembles: Sequence[Ensemble] = tuple(EXTRA_TREE_CONFIGS)) -> DataFrame:
+    """Mean importance raised by up to a fifth for stability, over ensembles with random cuts and no resampling."""
+    top = F.max("stability").over(Window.partitionBy(*keys))
+    return forest_importances(rows, keys, features, label, order, ensembles).withColumn(
         "score", F.col("importance_mean") * (1 + 0.2 * ratio(F.col("stability"), top, 0.0)))
 
 

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import confusion_aggs
-from tideledger.operators import models
+from tideledger.operators import forests, models
 from tideledger.operators.newton import VARIANTS
 from tideledger.operators.search import time_series_folds
 from tideledger.plans.base_sql import draw
@@ -75,11 +77,47 @@ def _(r: Roles):
 
 
 def _summary(r: Roles, variants):
+    return _counted(models.logistic_probabilities(r.fan_days, PORT, FEATURES, "y", variants))
+
+
+def _counted(scored):
     pred = (F.col("probability") >= 0.5).cast("int")
-    return models.logistic_probabilities(r.fan_days, PORT, FEATURES, "y", variants).groupBy("port_name", "variant").agg(
+    return scored.groupBy("port_name", "variant").agg(
         F.count(F.lit(1)).alias("n"), F.avg("probability").alias("mean_probability"), *confusion_aggs(pred, F.col("y")))
 
 
+@query("tree_variants", "port_name variant n:i mean_probability:6 tp:i fp:i tn:i fn:i")
+def _(r: Roles):
+    # boosting is sequential: three levels a round, so 20 rounds of the default 100
+    ensembles = [replace(e, trees=20) if e.boosted else e for e in models.TREE_MODELS]
+    return _counted(models.tree_probabilities(r.fan_days, PORT, FEATURES, ORDER, ensembles=ensembles))
+
+
+_EDGES = ", ".join(f"{k / forests.BINS}" for k in range(1, forests.BINS))
+
+
+@query("tree_stumps", "port_name feature bin:i gain:6 probability_low:6 probability_high:6", "fan_days",
+       f"""SELECT port_name, feature, bin, gain, p / n AS probability_low, (pos - p) / (total - n) AS probability_high FROM (
+            SELECT *, (g(total, pos) - g(n, p) - g(total - n, pos - p)) / total AS gain FROM (
+              SELECT port_name, feature, place, bin, CAST(sum(n) OVER w AS DOUBLE) AS n, CAST(sum(p) OVER w AS DOUBLE) AS p,
+                CAST(sum(n) OVER f AS DOUBLE) AS total, CAST(sum(p) OVER f AS DOUBLE) AS pos
+              FROM (SELECT port_name, feature, place, bin, count(*) AS n, sum(y) AS p FROM binned GROUP BY ALL)
+              WINDOW w AS (PARTITION BY port_name, feature ORDER BY bin), f AS (PARTITION BY port_name, feature)) WHERE n < total)
+           WHERE gain > 0 QUALIFY row_number() OVER (PARTITION BY port_name
+             ORDER BY round(gain * total, 9) DESC, place, bin) = 1""".replace(
+           "g(total, pos)", "2 * pos * (total - pos) / total").replace("g(n, p)", "2 * p * (n - p) / n").replace(
+           "g(total - n, pos - p)", "2 * (pos - p) * (total - n - pos + p) / (total - n)"),
+       {"values_of": " UNION ALL ".join(f"""SELECT port_name, date, y, '{f}' AS feature, {i} AS place,
+            CAST(coalesce({f}, 0) AS DOUBLE) AS x FROM fan_days""" for i, f in enumerate(FEATURES)),
+        "edges": f"""SELECT port_name, feature, CASE WHEN count(DISTINCT x) < {forests.BINS} THEN list(DISTINCT x)
+            ELSE list_distinct(quantile_cont(x, [{_EDGES}])) END AS edges FROM values_of GROUP BY ALL""",
+        "binned": """SELECT v.*, len(list_filter(edges, lambda e: e < x)) AS bin
+            FROM values_of v JOIN edges USING (port_name, feature)"""})
+def _(r: Roles):
+    blocks = forests.pack(r.fan_days, PORT, FEATURES, "y", ORDER)
+    return forests.root_cuts(forests.grow(blocks, PORT, len(FEATURES), [forests.Ensemble("stump", 1, 1)]), PORT, FEATURES)
+
+
 def _calibrated(rows: str, parts: int, trains: str, held: str) -> dict[str, str]:
     """CTEs part_fit, part_line over `rows` (m, part, x, y, ridge, ...): k is the model m and the part it leaves out."""
     return {

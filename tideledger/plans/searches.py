@@ -481,14 +481,11 @@ def _(r: Roles):
     return selection.feature_selection(r.long, PORT)
 
 
-_SMALL_FORESTS = [{"numTrees": 20, "maxDepth": 5, "seed": 42}, {"numTrees": 30, "maxDepth": 4, "seed": 123}]
-
-
-@query("select_forest", "feature importance_mean:6 importance_std:6 score:6")
+@query("select_forest", "port_name feature importance_mean:6 importance_std:6 score:6")
 def _(r: Roles):
-    return selection.select_forest(r.fan_days, FEATURES, "y", _SMALL_FORESTS)
+    return selection.select_forest(r.fan_days, PORT, FEATURES, "y", ["port_name", "date"])
 
 
-@query("select_extra_trees", "feature importance_mean:6 importance_std:6 score:6")
+@query("select_extra_trees", "port_name feature importance_mean:6 importance_std:6 score:6")
 def _(r: Roles):
-    return selection.select_extra_trees(r.fan_days, FEATURES, "y", _SMALL_FORESTS)
+    return selection.select_extra_trees(r.fan_days, PORT, FEATURES, "y", ["port_name", "date"])
