@@ -194,29 +194,31 @@ def sweep_table(losses: DataFrame, observed_mean: DataFrame, keys: Sequence[str]
 
 def aggregate_curves(curves: DataFrame, runs: str = "run", reference: DataFrame | None = None,
                      ) -> DataFrame:
-    """Sum of losses over runs at equal exceedance probability.
+    """Sum over runs of the loss at the point nearest to each reference probability.
 
-    Each curve has probability rank / (n + 1), so the point nearest to a reference probability
-    p has rank p (n + 1), rounded half down and kept within 1 .. n: an equi-join, also for
-    curves of different length. Without a reference the finest curve's grid is used.
+    `curves` has probability and loss on any grid of its own. Points and reference are sorted
+    together within each run; a reference takes the last point before or the first one after it,
+    whichever is nearer, the lower probability on ties (differences below 1e-12 tie), and of points of equal probability
+    the one of the greatest loss. Without a reference the grid of the run with most points is used (the first by name).
     """
-    sizes = curves.groupBy(runs).agg(F.count(F.lit(1)).alias("__n"))
+    curves = curves.where(F.col("probability").isNotNull())
+    sizes = durable(curves.groupBy(runs).agg(F.count(F.lit(1)).alias("__n")))
     if reference is None:
-        own = sizes.agg(F.max("__n").alias("__m"))
-        grid = own.select(F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("__m")),
-                                      lambda r: r / (F.col("__m") + 1)).alias("__ps"))
-    else:
-        grid = reference.agg(F.collect_list("probability").alias("__ps"))
-    # one row: the grid of one curve, at most one number per simulation
-    spots = (sizes.join(F.broadcast(grid), how="cross")
-                  .select(runs, "__n", F.explode("__ps").alias("probability")))
-    near = F.ceil(F.round(F.col("probability") * (F.col("__n") + 1) - 0.5, 9))
-    spots = spots.select(runs, "probability",
-                         F.least(F.greatest(near, F.lit(1)), F.col("__n")).alias("rank"))
-    return (spots.join(curves.select(runs, "rank", "loss"), [runs, "rank"])
-                 .groupBy("probability")
-                 .agg(F.sum("loss").alias("aggregate_loss"),
-                      F.count(F.lit(1)).alias("n_runs")))
+        finest = sizes.orderBy(F.desc("__n"), runs).limit(1).select(runs)
+        reference = curves.join(F.broadcast(finest), runs, "left_semi")  # one row
+    # the result's own rows before the sum: one per run and reference point
+    names = sizes.select(F.col(runs).alias("__run"))
+    asked = (reference.select("probability").distinct().crossJoin(names)
+             .select(F.col("__run").alias(runs), "probability", F.lit(None).cast("double").alias("loss"), F.lit(1).alias("__asked")))
+    points = curves.groupBy(runs, "probability").agg(F.max(F.col("loss").cast("double")).alias("loss")).withColumn("__asked", F.lit(0))
+    point = F.when(F.col("__asked") == 0, F.struct("probability", "loss"))
+    order = Window.partitionBy(runs).orderBy("probability", "__asked")
+    swept = points.unionByName(asked).withColumns({
+        "__low": F.last(point, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)),
+        "__high": F.first(point, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))}).where("__asked = 1")
+    down, up = F.col("probability") - F.col("__low.probability"), F.col("__high.probability") - F.col("probability")
+    loss = F.when(up.isNull() | (down <= up + 1e-12), F.col("__low.loss")).otherwise(F.col("__high.loss"))
+    return swept.groupBy("probability").agg(F.sum(loss).alias("aggregate_loss"), F.count(F.lit(1)).alias("n_runs"))
 
 
 # ---- triggers recomputed inside each simulated year -----------------------------------------

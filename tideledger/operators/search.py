@@ -50,6 +50,7 @@ def stratified_folds(days: DataFrame, keys: Sequence[str], label: str, k: int, s
 
 
 def _train_rows(long: DataFrame, k: int) -> DataFrame:
+    """A row per fold that a day trains in; made after the days were dealt, so the copies are not shuffled."""
     return (long.where(F.col("test_fold") < k - 1)
                 .withColumn("fold", F.explode(F.sequence(F.col("test_fold") + 1, F.lit(k - 1)))))
 
@@ -64,6 +65,8 @@ def fold_threshold_search(long: DataFrame, keys: Sequence[str], k: int,
     threshold on ties. score_on='test' scores on the fold itself, 'train' does not look at it.
     """
     by = [*keys, "feature", "fold"]
+    # dealt once by series: grouping by series and fold needs no other shuffle
+    long = long.select(*keys, "feature", "test_fold", "value", "y").repartition(*keys, "feature")
     train = _train_rows(long, k)
     cand = (train.groupBy(*by)
                  .agg(F.count("value").alias("__n"), F.stddev_samp("value").alias("__sd"),
@@ -295,35 +298,70 @@ def grid_values(long: DataFrame, keys: Sequence[str], size: int = 5) -> DataFram
                 .select(*keys, "feature", F.posexplode("__t").alias("level", "threshold")))
 
 
+#: Odd multipliers of the rounds that scramble a combination's number.
+SCRAMBLE = (736_339, 611_953, 999_331, 524_287)
+#: More combinations than this are refused: products with a multiplier must stay whole numbers of 64 bits.
+MOST_COMBINATIONS = 1 << 42
+
+
+def scrambled(number: Column, bits: Column, count: Column, *key: Column) -> Column:
+    """A keyed permutation of 0 .. count - 1 (count <= 2 ** bits) applied to `number`.
+
+    A round multiplies by an odd number, adds a drawn one and folds the upper half into the lower: each
+    can be undone within `bits` bits. Numbers at or above `count` go round again, which keeps it a permutation.
+    """
+    top = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits)
+    half = F.floor((bits + 1) / 2).cast("int")
+    added = [hash_draw(*key, F.lit(k)) for k in range(len(SCRAMBLE))]
+
+    def rounds(x: Column) -> Column:
+        for factor, plus in zip(SCRAMBLE, added):
+            x = (x * F.lit(factor).cast("bigint") + plus) % top
+            x = F.aggregate(F.array(x), F.lit(0).cast("bigint"), lambda _, y: y.bitwiseXOR(F.call_function("shiftright", y, half)))
+        return x
+
+    # each turn lands below `count` with a chance of a half or more
+    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.struct(number.cast("bigint").alias("x"), F.lit(False).alias("in")),
+                       lambda acc, _: F.when(acc["in"], acc).otherwise(
+                           F.aggregate(F.array(rounds(acc["x"])), acc, lambda a, y: F.struct(y.alias("x"), (y < count).alias("in")))),
+                       lambda acc: acc["x"])
+
+
 def threshold_grid(slots: DataFrame, grid: DataFrame, keys: Sequence[str], max_points: int = 200,
                    seed: int = 42) -> DataFrame:
-    """All combinations of the slots' grid levels, at most `max_points` per rule.
+    """All combinations of the slots' grid levels, or `max_points` of them per rule, drawn without repeats.
 
-    One row per combination with `levels` and `thresholds` arrays in slot order. Above the
-    limit the combinations with the smallest hash stay, which is the search's sampling step.
+    One row per combination with `levels` and `thresholds` arrays in slot order. Combinations are
+    numbered; the numbers that a keyed permutation (of seed and rule) puts first are decoded digit by
+    digit, a digit per slot, so the product is never made.
     """
     per_slot = (slots.join(grid, [*keys, "feature"])
                      .groupBy(*keys, "rule_id", "slot")
                      .agg(F.array_sort(F.collect_list(F.struct("level", "threshold")))
                            .alias("__g")))
+    one = F.lit(1).cast("bigint")
     packed = per_slot.groupBy(*keys, "rule_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("slot", "__g"))),
                     lambda s: s.getField("__g")).alias("__gs"))
-    start = F.array(F.array().cast("array<struct<level:int,threshold:double>>"))
-    product = F.aggregate(
-        "__gs", start,
-        lambda acc, g: F.flatten(F.transform(
-            acc, lambda head: F.transform(g, lambda x: F.concat(head, F.array(x))))))
-    points = packed.select(*keys, "rule_id", F.explode(product).alias("__pt"))
-    points = points.select(
+
+    def product(lists: Column) -> Column:
+        return F.aggregate(lists, one, lambda acc, g: F.when(acc > MOST_COMBINATIONS, acc).otherwise(acc * F.size(g)))
+
+    packed = packed.withColumn("__count", product(F.col("__gs"))).withColumn("__count", F.when(
+        F.col("__count") <= MOST_COMBINATIONS, F.col("__count")).otherwise(
+            F.raise_error(F.concat(F.lit("too many combinations: "), "rule_id")).cast("bigint")))
+    bits = F.length(F.bin(F.greatest(F.col("__count") - 1, one)))
+    drawn = packed.withColumn("__i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.least("__count", F.lit(max_points)) - 1)))
+    number = F.when(F.col("__count") <= max_points, F.col("__i")).otherwise(
+        scrambled(F.col("__i"), bits, F.col("__count"), F.lit(seed), F.col("rule_id")))
+    # a slot's digit has the product of the later slots' sizes below it
+    later = F.transform("__gs", lambda g, i: product(F.slice("__gs", i + 2, F.size("__gs"))))
+    picked = F.transform(F.arrays_zip(F.col("__gs").alias("g"), F.col("__later").alias("below")), lambda z: F.get(
+        z["g"], (F.floor(F.col("__number") / z["below"]) % F.size(z["g"])).cast("int")))
+    points = (drawn.withColumns({"__number": number, "__later": later}).withColumn("__pt", picked))
+    return points.select(
         *keys, "rule_id", F.transform("__pt", lambda x: x.getField("level")).alias("levels"),
         F.transform("__pt", lambda x: x.getField("threshold")).alias("thresholds"))
-    name = F.array_join("levels", ",")
-    order = Window.partitionBy(*keys, "rule_id").orderBy("__h", "__name")
-    return (points.withColumns({"__name": name, "__h": hash_draw(F.lit(seed), name)})
-                  .withColumn("__r", F.row_number().over(order))
-                  .where(F.col("__r") <= max_points)
-                  .drop("__name", "__h", "__r"))
 
 
 def grid_optimize(rules: DataFrame, long: DataFrame, keys: Sequence[str], size: int = 5,

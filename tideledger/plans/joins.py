@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideledger.operators import aep, exposure, labels, resample, rules, search
+from tideledger.plans.newton_sql import scrambled_sql
 from tideledger.plans.registry import query
 from tideledger.plans.roles import BASE_FEATURES, PORT, Roles
 from tideledger.session import durable
@@ -125,15 +126,17 @@ def _(r: Roles):
 
 
 @query("threshold_grid_cross", "port_name rule_id levels t1:6 t2:6 t3:6", "long ranked",
-       """SELECT port_name, rule_id, levels, t1, t2, t3 FROM (
-            SELECT *, row_number() OVER (PARTITION BY port_name, rule_id ORDER BY h, levels) AS r
-            FROM (SELECT *, CAST('0x' || substr(md5('42|' || levels), 1, 8) AS BIGINT) AS h FROM (
-              SELECT a.port_name, 'triple_AND|' || a.feature || '+' || b.feature || '+' || c.feature
+       f"""SELECT port_name, rule_id, levels, t1, t2, t3 FROM (
+            SELECT a.port_name, 'triple_AND|' || a.feature || '+' || b.feature || '+' || c.feature
                 AS rule_id, a.level || ',' || b.level || ',' || c.level AS levels,
-                a.t AS t1, b.t AS t2, c.t AS t3
+                a.t AS t1, b.t AS t2, c.t AS t3, a.level * 49 + b.level * 7 + c.level AS number
               FROM grid a JOIN grid b ON a.port_name = b.port_name AND b.pos = 1
-              JOIN grid c ON a.port_name = c.port_name AND c.pos = 2 WHERE a.pos = 0))) WHERE r <= 200""",
-       extra={"grid": " UNION ALL ".join(
+              JOIN grid c ON a.port_name = c.port_name AND c.pos = 2 WHERE a.pos = 0)
+          JOIN drawn USING (rule_id, number)""",
+       extra={"rule_names": """SELECT DISTINCT 'triple_AND|' || a.feature || '+' || b.feature || '+' || c.feature AS rule_id
+              FROM ranked a JOIN ranked b ON a.port_name = b.port_name AND b.pos = 1
+              JOIN ranked c ON a.port_name = c.port_name AND c.pos = 2 WHERE a.pos = 0""",
+              **scrambled_sql("rule_names", "343", 9), "grid": " UNION ALL ".join(
            f"""SELECT l.port_name, l.feature, pos, {i} AS level,
                quantile_cont(value, {0.05 + 0.90 * i / 6}) AS t FROM long l JOIN ranked k
                ON k.port_name = l.port_name AND k.feature = l.feature AND pos < 3 GROUP BY ALL"""
@@ -146,6 +149,31 @@ def _(r: Roles):
                          *[F.get("thresholds", F.lit(i)).alias(f"t{i + 1}") for i in range(3)])
 
 
+_EIGHT = "'all_8|' || string_agg(feature, '+' ORDER BY pos)"
+
+
+@query("threshold_grid_eight", "port_name rule_id levels thresholds", "long ranked",
+       f"""SELECT port_name, rule_id, string_agg(level, ',' ORDER BY pos) AS levels,
+             string_agg(printf('%.4f', t), ',' ORDER BY pos) AS thresholds
+           FROM (SELECT *, number // CAST(power(7, 7 - pos) AS BIGINT) % 7 AS level FROM drawn, range(0, 8) s(pos))
+           JOIN (SELECT port_name, {_EIGHT} AS rule_id FROM ranked GROUP BY port_name) USING (rule_id)
+           JOIN grid USING (port_name, pos, level) GROUP BY port_name, rule_id, number""",
+       extra={"rule_names": f"SELECT DISTINCT rule_id FROM (SELECT port_name, {_EIGHT} AS rule_id FROM ranked GROUP BY port_name)",
+              **scrambled_sql("rule_names", str(7 ** 8), (7 ** 8 - 1).bit_length()),
+              "grid": " UNION ALL ".join(
+                  f"""SELECT l.port_name, pos, {i} AS level, quantile_cont(value, {0.05 + 0.90 * i / 6}) AS t
+                      FROM long l JOIN ranked k ON k.port_name = l.port_name AND k.feature = l.feature GROUP BY ALL"""
+                  for i in range(7))})
+def _(r: Roles):
+    """Seven levels in eight slots: 200 of 5,764,801 combinations."""
+    slots = (r.ranked.groupBy("port_name").agg(F.array_sort(F.collect_list(F.struct("pos", "feature"))).alias("f"))
+             .select("port_name", F.concat(F.lit("all_8|"), F.array_join("f.feature", "+")).alias("rule_id"),
+                     F.posexplode("f.feature").alias("slot", "feature")))
+    points = search.threshold_grid(slots, search.grid_values(r.long, PORT, 7), PORT, 200)
+    return points.select("port_name", "rule_id", F.array_join("levels", ",").alias("levels"), F.array_join(
+        F.transform("thresholds", lambda t: F.format_string("%.4f", t)), ",").alias("thresholds"))
+
+
 @query("nearest_prob_join", "probability:6 aggregate_loss:2 n_runs:i", "obs_yearly curves",
        """SELECT probability, sum(loss) AS aggregate_loss, count(*) AS n_runs FROM (
             SELECT p.probability, o.port_name, arg_min(o.loss, abs(o.pr - p.probability)) AS loss
@@ -155,10 +183,25 @@ def _(r: Roles):
                 AS pr FROM obs_yearly) o GROUP BY ALL) GROUP BY probability""")
 def _(r: Roles):
     observed = aep.exceedance_rank(r.obs_yearly, PORT, "observed_loss", "year").select(
-        F.col("port_name").alias("run"), "rank", F.col("observed_loss").alias("loss"))
+        F.col("port_name").alias("run"), "probability", F.col("observed_loss").alias("loss"))
     return aep.aggregate_curves(observed, "run", r.curves.select("probability").distinct())
 
 
+@query("nearest_prob_other_grid", "probability:6 aggregate_loss:2 n_runs:i", "obs_yearly curves",
+       """SELECT probability, sum(loss) AS aggregate_loss, count(*) AS n_runs FROM (
+            SELECT p.probability, c.port_name, c.loss FROM (SELECT i / 41.0 AS probability FROM range(0, 42) r(i)) p
+            CROSS JOIN (SELECT port_name, probability * probability AS pr, max(loss) AS loss FROM curves GROUP BY ALL) c
+            QUALIFY row_number() OVER (PARTITION BY p.probability, c.port_name
+              ORDER BY round(abs(c.pr - p.probability), 12), c.pr) = 1)
+          GROUP BY probability""")
+def _(r: Roles):
+    """Curves whose probabilities are no ranks, asked for an even grid with both ends."""
+    curves = r.curves.select(F.col("port_name").alias("run"), "loss", (F.col("probability") * F.col("probability")).alias("probability"))
+    # the grid's 42 points, as the sweep is asked for them
+    even = r.spark.range(42).select((F.col("id") / 41.0).alias("probability"))
+    return aep.aggregate_curves(curves, "run", even)
+
+
 _FLAT = " UNION ALL ".join(
     f"""SELECT port_name, date, {i} AS rank, CASE WHEN {c} > quantile_cont({c}, 0.8)
         OVER (PARTITION BY port_name) THEN 1 ELSE 0 END AS pred FROM model_days"""

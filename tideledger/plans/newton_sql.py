@@ -1,7 +1,10 @@
-"""Newton's method for logistic regressions in SQL: the twin of the grouped fits."""
+"""SQL twins of iterative operators: Newton's method of the grouped fits, and drawn combinations."""
 
 from __future__ import annotations
 
+from tideledger.operators.search import SCRAMBLE
+from tideledger.plans.base_sql import draw
+
 
 def _solved(size: int) -> str:
     """Gauss-Jordan on the augmented matrix `m`, one pivot per element of the reduced list."""
@@ -46,3 +49,17 @@ def sigmoids(name: str, rows: str, steps: int = 20) -> dict[str, str]:
             FROM (SELECT *, sum(y) OVER (PARTITION BY k) AS pos, sum(1 - y) OVER (PARTITION BY k) AS neg FROM {rows})""",
         **newton(name, f"{name}_rows", 2, steps),
     }
+
+
+def scrambled_sql(rules: str, count: str, bits: int, points: int = 200) -> dict[str, str]:
+    """CTE drawn(rule_id, number): the first numbers of each rule's keyed permutation of 0 .. count - 1."""
+    # one column a round, so that its value is not written out twice within the next
+    inner = f"SELECT rule_id, i, turn, x, p0, p1, p2, p3 FROM walks WHERE NOT (turn > 0 AND x < {count})"
+    for k, factor in enumerate(SCRAMBLE):
+        inner = f"SELECT rule_id, i, turn, xor(y, y >> {(bits + 1) // 2}) AS x, p0, p1, p2, p3 FROM (SELECT *, (x * {factor} + p{k}) % {1 << bits} AS y FROM ({inner}))"
+    drawn = ", ".join(f"{draw('42', 'rule_id', str(k))} AS p{k}" for k in range(len(SCRAMBLE)))
+    return {
+        "walks": f"""SELECT rule_id, i, 0 AS turn, i AS x, {drawn} FROM {rules}, range(0, {points}) t(i)
+            UNION ALL SELECT rule_id, i, turn + 1, x, p0, p1, p2, p3 FROM ({inner})""",
+        "drawn": f"SELECT rule_id, x AS number FROM walks WHERE turn > 0 AND x < {count}",
+    }
