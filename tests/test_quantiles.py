@@ -26,6 +26,20 @@ def test_exact_on_hot_and_tied_keys(spark, split, grid):
             assert got[k][name] == pytest.approx(np.percentile(vs, p * 100), rel=1e-12), (k, name)
 
 
+@pytest.mark.parametrize("grid,target", [(4, 3), (4, 40), (200, 25)])
+def test_no_task_orders_more_than_the_target(spark, grid, target):
+    rng = random.Random(6)
+    rows = [("hot", rng.gauss(0, 1)) for _ in range(2500)] + [("tied", float(i % 2)) for i in range(900)]
+    rows += [("skewed", 10 ** rng.uniform(0, 9)) for _ in range(600)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    cells = quantiles.wanted_buckets(df.withColumnRenamed("v", "__v"), ["k"], PROBS, grid, target)
+    sizes = cells.groupBy("k", "__path").count().collect()
+    assert max(r["count"] for r in sizes) <= target and len({r["__path"] for r in sizes}) > 1
+    by_cutting = quantiles.exact_percentiles(df, ["k"], "v", PROBS, grid, 1, target=target)
+    built_in = quantiles.exact_percentiles(df, ["k"], "v", PROBS)
+    assert sorted(map(tuple, by_cutting.collect())) == sorted(map(tuple, built_in.collect()))  # bit for bit
+
+
 def test_needs_a_key(spark):
     with pytest.raises(ValueError):
         quantiles.exact_percentiles(spark.range(3), [], "id", PROBS)
