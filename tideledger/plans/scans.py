@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideledger.functions import scalars as S
 from tideledger.operators import daily, exposure, features as feat, report, rules
@@ -60,17 +61,35 @@ def _(r: Roles):
     return scan.scan_wages(r.spark, path)
 
 
-@query("scan_latest_artifact", "run family stamp source_file", "daily_a",
-       """SELECT port_name AS run, 'aep_summary_' || year(date) AS family,
-            strftime(max(date), '%Y%m%d') || '_120000' AS stamp,
-            'run=' || port_name || '/aep_summary_' || year(date) || '_'
-            || strftime(max(date), '%Y%m%d') || '_120000.csv' AS source_file
-          FROM daily_a GROUP BY port_name, year(date)""")
+def _artifacts(r: Roles) -> str:
+    """Day tables of each port by year, an artefact a month; odd months have fewer columns, even ones another order."""
+    path = scratch(r.spark, "artifacts")
+    days = r.daily_a.select(
+        F.col("port_name").alias("run"), "date", "swh_max", "n_obs", F.month("date").alias("month"), F.concat(
+            F.lit("daily_"), F.year("date"), F.lit("_"), F.date_format("date", "yyyyMM"), F.lit("01_120000")).alias("artifact"))
+    for odd, columns in ((1, ["date", "swh_max"]), (0, ["n_obs", "date", "swh_max"])):
+        (days.where(F.col("month") % 2 == odd).select("run", "artifact", *columns).repartition("run", "artifact")
+         .write.mode("append").partitionBy("run", "artifact").option("header", True).csv(path))
+    return path
+
+
+_ARTIFACT = T.StructType([T.StructField("date", T.DateType()), T.StructField("n_obs", T.LongType()),
+                          T.StructField("swh_max", T.DoubleType())])
+_ARTIFACT_SQL = """SELECT port_name AS run, 'daily_' || year(date) AS family, strftime(date, '%Y%m') || '01_120000' AS stamp,
+    date, CASE WHEN month(date) % 2 = 0 THEN n_obs END AS n_obs, swh_max FROM daily_a"""
+
+
+@query("scan_latest_artifact", "run family stamp date:d n_obs:i swh_max:6", "daily_a",
+       f"""SELECT * FROM ({_ARTIFACT_SQL}) QUALIFY stamp = max(stamp) OVER (PARTITION BY run, family)""")
+def _(r: Roles):
+    return scan.scan_latest(r.spark, _artifacts(r), _ARTIFACT)
+
+
+@query("concat_artifact_files", "run family stamp date:d n_obs:i swh_max:6", "daily_a", _ARTIFACT_SQL)
 def _(r: Roles):
-    listing = r.daily_a.select(F.concat(
-        F.lit("run="), "port_name", F.lit("/aep_summary_"), F.year("date"), F.lit("_"),
-        F.date_format("date", "yyyyMMdd"), F.lit("_120000.csv")).alias("source_file"))
-    return scan.latest_artifacts(scan.with_stamp(listing))
+    listing = scan.artifact_listing(r.spark, _artifacts(r))
+    rows = scan.read_artifacts(r.spark, listing)  # names as found, all text
+    return scan.with_stamp(rows)
 
 
 @query("concat_artifacts", "run port_name date:d swh_max:6 net_mean:6", "daily_a daily_b",

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tideledger.functions.scalars import contains_to, nan_to_null
+from tideledger.session import durable
 
 # Header aliases of the hourly series.
 SERIES_ALIASES = {"fecha": "date", "time": "date", "sea_wave_height": "swh"}
@@ -102,8 +103,11 @@ def scan_wages(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_stamp(files: DataFrame, path: str = "source_file") -> DataFrame:
-    """run, family and stamp out of '.../run=<run>/<family>_<yyyymmdd>_<hhmmss>.ext'."""
-    name = F.regexp_extract(path, r"([^/]+)$", 1)
+    """run, family and stamp out of '.../run=<run>/<family>_<yyyymmdd>_<hhmmss>.ext'.
+
+    An artefact may be such a file or a folder of that name (or `artifact=<name>`) with part files.
+    """
+    name = F.regexp_extract(path, r"(?:^|/)(?:artifact=)?([^/=]*_\d{8}_\d{6}[^/]*)(?:/[^/]*)?$", 1)
     return files.withColumns({
         "run": F.regexp_extract(path, r"run=([^/]+)/", 1),
         "family": F.regexp_extract(name, r"^(.*?)_\d{8}_\d{6}", 1),
@@ -111,22 +115,70 @@ def with_stamp(files: DataFrame, path: str = "source_file") -> DataFrame:
 
 
 def latest_artifacts(listing: DataFrame) -> DataFrame:
-    """Newest file per (run, family) by its parsed stamp; families never mix."""
-    w = Window.partitionBy("run", "family").orderBy(F.desc("stamp"), F.desc("source_file"))
-    return listing.withColumn("__r", F.row_number().over(w)).where(F.col("__r") == 1).drop("__r")
+    """Files of the newest artefact per (run, family) by its parsed stamp; families never mix.
+
+    Part files of one artefact share its stamp; of artefacts of one stamp the last name counts.
+    """
+    name = F.regexp_replace("source_file", r"/[^/]*(part-[^/]*)$", "")
+    newest = F.max(F.struct("stamp", name.alias("name"))).over(Window.partitionBy("run", "family"))
+    return (listing.withColumn("__newest", newest)
+            .where((F.col("stamp") == F.col("__newest.stamp")) & (name == F.col("__newest.name"))).drop("__newest"))
+
+
+def artifact_listing(spark: SparkSession, root: str) -> DataFrame:
+    """run, family, stamp and source_file of every artefact file under root; no file is opened."""
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+             .select(F.col("path").alias("source_file")))
+    return with_stamp(files).where("stamp != ''")
+
+
+def read_artifacts(spark: SparkSession, files: DataFrame, schema: T.StructType | None = None) -> DataFrame:
+    """Rows of the CSV files named in `source_file`, in one scan, each by its own header, with `source_file`.
+
+    Columns are those of the schema, by name and cast, null where a file has none or a value does not
+    parse; without a schema all names found, as text. Only the names of the files to read go through the
+    driver, as for any scan. A quoted value may not hold a line end.
+    """
+    paths = [r.source_file for r in files.select("source_file").distinct().collect()]
+    wanted = schema
+    if not paths:
+        if wanted is None:
+            raise ValueError("no artefact to take the columns from")
+        return spark.createDataFrame([], wanted).withColumn("source_file", F.lit(None).cast("string"))
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(paths).select("value", path.alias("source_file"), F.struct(
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")).alias("__at"))
+    # a file's first line; one row per file
+    heads = durable(lines.groupBy("source_file").agg(F.min_by("value", "__at").alias("__head")))
+    width = heads.agg(F.max(F.size(F.split("__head", ",")))).first()[0]
+    cells = ", ".join(f"c{i} string" for i in range(width))
+
+    def split(line: str) -> Column:
+        row = F.from_csv(line, cells)
+        return F.array(*[row[f"c{i}"] for i in range(width)])
+
+    named = durable(heads.select("source_file", "__head", split("__head").alias("__names")))
+    if wanted is None:
+        found = named.select(F.explode("__names").alias("n")).where("n is not null").distinct().orderBy("n").collect()
+        wanted = T.StructType([T.StructField(r.n, T.StringType()) for r in found])
+    rows = (lines.join(named, "source_file").where((F.col("value") != F.col("__head")) & (F.trim("value") != ""))
+            .select("source_file", "__names", split("value").alias("__values")))
+
+    def cell(f: T.StructField) -> Column:
+        place = F.array_position("__names", f.name).cast("int")
+        value = F.when(place > 0, F.get("__values", place - 1))
+        return value.try_cast(f.dataType).alias(f.name)
+
+    return rows.select(*[cell(f) for f in wanted], "source_file")
 
 
 def scan_latest(spark: SparkSession, root: str, schema: T.StructType,
                 family: str | None = None) -> DataFrame:
-    """Rows of the newest artefact of each run under root/run=*/."""
-    rows = (spark.read.schema(schema).option("header", True)
-                 .option("recursiveFileLookup", True).csv(root)
-                 .withColumn("source_file", F.col("_metadata.file_path")))
-    rows = with_stamp(rows)
+    """Rows of the newest artefact of each run and family under root/run=*/; older files are not opened."""
+    listing = artifact_listing(spark, root)
     if family is not None:
-        rows = rows.where(F.col("family") == family)
-    files = rows.select("run", "family", "stamp", "source_file").distinct()
-    return rows.join(latest_artifacts(files).select("source_file"), "source_file", "left_semi")
+        listing = listing.where(F.col("family") == family)
+    return with_stamp(read_artifacts(spark, latest_artifacts(listing), schema))
 
 
 def concat_artifacts(parts: Mapping[str, DataFrame]) -> DataFrame:
