@@ -134,21 +134,6 @@ def fire_rules(slots: DataFrame, thresholds: DataFrame, rows: DataFrame,
         combine_slots(F.col("rule_type"), fired, F.col("logic")).cast("int").alias("pred"))
 
 
-def rule_fold_metrics(rules: DataFrame, thresholds: DataFrame, long: DataFrame,
-                      keys: Sequence[str], smooth_days: int = 2) -> DataFrame:
-    """Confusion counts and metrics per (keys, rule_id, fold) on the test folds."""
-    from tideledger.operators.runs import keep_long_runs
-    rows = (long.where(F.col("test_fold") >= 0)
-                .select(*keys, "feature", F.col("test_fold").alias("fold"), "date", "value", "y"))
-    flags = fire_rules(rule_slots(rules, keys), thresholds, rows, keys)
-    if smooth_days > 1:
-        flags = keep_long_runs(flags, [*keys, "rule_id", "fold"], "date", "pred", smooth_days,
-                               "pred")
-    counts = flags.groupBy(*keys, "rule_id", "rule_type", "fold").agg(
-        *confusion_aggs(F.col("pred"), F.col("y")))
-    return with_metrics(counts)
-
-
 def cv_summary(fold_metrics: DataFrame, by: Sequence[str]) -> DataFrame:
     """Means and totals over folds."""
     return fold_metrics.groupBy(*by).agg(
@@ -165,6 +150,7 @@ def rule_cv(rules: DataFrame, long: DataFrame, keys: Sequence[str], k: int,
     """Thresholds, fold metrics and their summary; rules with too few folds are left out."""
     if thresholds is None:
         thresholds = fold_threshold_search(long, keys, k, **search)
+    from tideledger.operators.bitmaps import rule_fold_metrics
     folds = rule_fold_metrics(rules, thresholds, long, keys, smooth_days)
     return cv_summary(folds, [*keys, "rule_id", "rule_type"]).where(F.col("n_folds") >= min_folds)
 

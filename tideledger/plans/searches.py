@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideledger.functions.scalars import with_metrics
-from tideledger.operators import rules, search, selection
+from tideledger.operators import bitmaps, rules, search, selection
 from tideledger.plans.registry import query
 from tideledger.plans.roles import FEATURES, N_FOLDS, PORT, Roles
+from tideledger.session import durable
 
 # ---- predicates ----------------------------------------------------------------------------
 # Three conditions per day: mean of source A above its p75, yesterday's maximum of source B
@@ -171,7 +172,7 @@ _METRICS = """coalesce(tp / nullif(CAST(tp + fp AS DOUBLE), 0), 0) AS precision,
     coalesce((tp + tn) / nullif(CAST(tp + fp + tn + fn AS DOUBLE), 0), 0) AS accuracy,
     coalesce(2.0 * tp / nullif(CAST(2 * tp + fp + fn AS DOUBLE), 0), 0) AS f1"""
 _CV = {
-    "wrules": _wide_sql(60),
+    "wrules": _wide_sql(500),
     "flags": """SELECT r.port_name, r.rule_id, r.rule_type, t1.fold, l1.date, l1.y, CASE WHEN
           CASE rule_type WHEN 'single' THEN coalesce(l1.value > t1.threshold, false)
             WHEN 'and_2' THEN coalesce(l1.value > t1.threshold, false) AND coalesce(l2.value > t2.threshold, false)
@@ -208,7 +209,7 @@ _CV = {
        "recall_mean:6 accuracy_mean:6 tp_total:i fp_total:i tn_total:i fn_total:i",
        "best_t long_folded ranked", "SELECT * FROM cv", extra=_CV)
 def _(r: Roles):
-    return search.rule_cv(rules.wide_rules(r.ranked, PORT, 60), r.long_folded, PORT, N_FOLDS,
+    return search.rule_cv(rules.wide_rules(r.ranked, PORT, 500), r.long_folded, PORT, N_FOLDS,
                           r.best_thresholds)
 
 
@@ -234,63 +235,94 @@ def _(r: Roles):
     return search.stable_rules(_single_cv(r), PORT, 0.25, 0.06, 4, 3)
 
 
+_FIRED = """CASE WHEN CASE r.rule_type WHEN 'single' THEN coalesce(l1.value > t1.threshold, false)
+      WHEN 'and_2' THEN coalesce(l1.value > t1.threshold, false) AND coalesce(l2.value > t2.threshold, false)
+      WHEN 'or_2' THEN coalesce(l1.value > t1.threshold, false) OR coalesce(l2.value > t2.threshold, false)
+      WHEN 'majority_3' THEN CAST(coalesce(l1.value > t1.threshold, false) AS INT)
+        + CAST(coalesce(l2.value > t2.threshold, false) AS INT) + CAST(coalesce(l3.value > t3.threshold, false) AS INT) >= 2
+      ELSE CASE WHEN coalesce(l2.value > t2.threshold, false) THEN coalesce(l1.value > t1.threshold, false)
+        ELSE coalesce(l3.value > t3.threshold, false) END END THEN 1 ELSE 0 END"""
+#: The reference's defaults: rules that enter pruning, rules kept, greatest correlation.
+ENTERING, KEPT, MOST_CORR = 30, 15, 0.95
 _PRUNE = {
-    "scv": _SINGLE_CV,
-    "entering": """SELECT *, row_number() OVER (PARTITION BY port_name ORDER BY f1_mean DESC, rule_id)
-        AS rank FROM (SELECT *, max(ok) OVER (PARTITION BY port_name) AS any_ok FROM (SELECT *,
-          CASE WHEN f1_std <= 0.18 AND n_folds >= 4 THEN 1 ELSE 0 END AS ok FROM scv))
-        WHERE any_ok = 0 OR ok = 1 QUALIFY rank <= 30""",
-    "first_t": """SELECT port_name, feature, arg_min(threshold, fold) AS threshold FROM best_t
-        GROUP BY port_name, feature""",
-    "full_flags": """SELECT l.port_name, c.rank, c.rule_id, l.date, CASE WHEN value > threshold THEN 1 ELSE 0 END
-        AS pred FROM entering c JOIN first_t t ON t.port_name = c.port_name AND t.feature = c.feature
-        JOIN long l ON l.port_name = c.port_name AND l.feature = c.feature""",
-    "clashes": """SELECT port_name, b AS rank, list(a) AS clash FROM (
+    **_CV,
+    "entering": f"""SELECT *, row_number() OVER (PARTITION BY port_name ORDER BY f1_mean DESC, rule_id)
+        AS rank FROM (SELECT *, max(ok) OVER (PARTITION BY port_name) AS any_ok FROM (SELECT port_name, rule_id, rule_type,
+          round(f1_mean, 9) AS f1_mean, CASE WHEN round(f1_std, 9) <= 0.18 AND n_folds >= 4 THEN 1 ELSE 0 END AS ok FROM cv))
+        WHERE any_ok = 0 OR ok = 1 QUALIFY rank <= {ENTERING}""",
+    "armed": """SELECT r.port_name, r.rule_id, min(t1.fold) AS fold FROM wrules r
+        JOIN best_t t1 ON t1.port_name = r.port_name AND t1.feature = r.f1
+        LEFT JOIN best_t t2 ON t2.port_name = r.port_name AND t2.feature = r.f2 AND t2.fold = t1.fold
+        LEFT JOIN best_t t3 ON t3.port_name = r.port_name AND t3.feature = r.f3 AND t3.fold = t1.fold
+        WHERE (r.f2 IS NULL OR t2.threshold IS NOT NULL) AND (r.f3 IS NULL OR t3.threshold IS NOT NULL) GROUP BY ALL""",
+    "full_flags": f"""SELECT r.port_name, c.rank, r.rule_id, l1.date, {_FIRED} AS pred
+        FROM entering c JOIN wrules r ON r.port_name = c.port_name AND r.rule_id = c.rule_id
+        JOIN armed a ON a.port_name = r.port_name AND a.rule_id = r.rule_id
+        JOIN best_t t1 ON t1.port_name = r.port_name AND t1.feature = r.f1 AND t1.fold = a.fold
+        LEFT JOIN best_t t2 ON t2.port_name = r.port_name AND t2.feature = r.f2 AND t2.fold = a.fold
+        LEFT JOIN best_t t3 ON t3.port_name = r.port_name AND t3.feature = r.f3 AND t3.fold = a.fold
+        JOIN long l1 ON l1.port_name = r.port_name AND l1.feature = r.f1
+        LEFT JOIN long l2 ON l2.port_name = r.port_name AND l2.feature = r.f2 AND l2.date = l1.date
+        LEFT JOIN long l3 ON l3.port_name = r.port_name AND l3.feature = r.f3 AND l3.date = l1.date""",
+    "clashes": f"""SELECT port_name, b AS rank, list(a) AS clash FROM (
         SELECT x.port_name, x.rank AS a, y.rank AS b, coalesce(corr(x.pred, y.pred), 0) AS corr
         FROM full_flags x JOIN full_flags y ON x.port_name = y.port_name AND x.date = y.date
-        AND x.rank < y.rank GROUP BY ALL) WHERE corr > 0.5 GROUP BY port_name, b""",
-    "walk": """SELECT DISTINCT port_name, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept
+        AND x.rank < y.rank GROUP BY ALL) WHERE corr > {MOST_CORR} GROUP BY port_name, b""",
+    "walk": f"""SELECT DISTINCT port_name, CAST(0 AS BIGINT) AS rank, CAST([] AS BIGINT[]) AS kept
         FROM entering UNION ALL
-        SELECT w.port_name, w.rank + 1, CASE WHEN len(kept) < 4 AND NOT list_has_any(kept,
+        SELECT w.port_name, w.rank + 1, CASE WHEN len(kept) < {KEPT} AND NOT list_has_any(kept,
           coalesce(k.clash, CAST([] AS BIGINT[]))) THEN list_append(kept, w.rank + 1) ELSE kept END
         FROM walk w JOIN entering e ON e.port_name = w.port_name AND e.rank = w.rank + 1
         LEFT JOIN clashes k ON k.port_name = w.port_name AND k.rank = w.rank + 1""",
-    "kept_rules": """SELECT port_name, unnest(kept) AS rank FROM (SELECT port_name,
-        arg_max(kept, rank) AS kept FROM walk GROUP BY port_name)"""}
+    "kept_rules": """SELECT port_name, rank, row_number() OVER (PARTITION BY port_name ORDER BY rank) AS place
+        FROM (SELECT port_name, unnest(kept) AS rank FROM (SELECT port_name,
+        arg_max(kept, rank) AS kept FROM walk GROUP BY port_name))"""}
 
 
 def _pruned(r: Roles):
-    entering = search.prune_candidates(_single_cv(r), PORT)
-    singles = rules.single_rules(r.ranked, PORT)
-    flags = (search.first_fold_flags(singles, r.best_thresholds, r.long, PORT)
-             .join(entering.select("port_name", "rule_id", "rank"), ["port_name", "rule_id"]))
-    kept = search.greedy_prune(entering, search.rule_pair_corr(flags, PORT), PORT, 0.5, 4)
-    return kept, flags
-
-
-@query("rule_redundancy_prune", "port_name rank:i rule_id f1_mean:9", "best_t long",
+    """Kept rules with their sets of days, and the days."""
+    wide = rules.wide_rules(r.ranked, PORT, 500)
+    cv = durable(search.rule_cv(wide, r.long_folded, PORT, N_FOLDS, r.best_thresholds))
+    cv = cv.withColumns({c: F.round(c, 9) for c in ("f1_mean", "f1_std")})
+    entering = search.prune_candidates(cv, PORT, top=ENTERING)
+    sets, days, whole = bitmaps.first_fold_sets(wide, r.best_thresholds, r.long, PORT)
+    ranked = durable(entering.select("port_name", "rule_id", "rank", "f1_mean").join(
+        sets.select("port_name", "rule_id", "days"), ["port_name", "rule_id"]))
+    corr = bitmaps.pair_correlation(ranked, whole, PORT)
+    kept = search.greedy_prune(ranked, corr, PORT, MOST_CORR, KEPT)
+    names = wide.select("port_name", "rule_id", "rule_name")
+    return kept.join(names, ["port_name", "rule_id"]), days
+
+
+@query("rule_redundancy_prune", "port_name rank:i rule_id f1_mean:9", "best_t long_folded long ranked",
        "SELECT port_name, rank, rule_id, f1_mean FROM kept_rules JOIN entering USING (port_name, rank)",
        extra=_PRUNE)
 def _(r: Roles):
     return _pruned(r)[0]
 
 
-@query("ensemble_vote", "port_name date:d votes:i ensemble_pred:i", "best_t long",
+@query("ensemble_vote", "port_name date:d votes:i ensemble_pred:i", "best_t long_folded long ranked",
        """SELECT port_name, date, sum(pred) AS votes, CASE WHEN sum(pred) >= 3 THEN 1 ELSE 0 END
           AS ensemble_pred FROM full_flags JOIN kept_rules USING (port_name, rank)
           GROUP BY port_name, date""", extra=_PRUNE)
 def _(r: Roles):
-    kept, flags = _pruned(r)
-    return search.ensemble_vote(flags.join(kept.select("port_name", "rank"), ["port_name", "rank"]),
-                                PORT)
+    return bitmaps.ensemble_table(*_pruned(r), PORT, KEPT)
 
 
-@query("ensemble_wide", "port_name date:d rule_1_pred:i rule_2_pred:i", "best_t long",
-       """SELECT port_name, date, max(CASE WHEN rank = 1 THEN pred END) AS rule_1_pred,
-          max(CASE WHEN rank = 2 THEN pred END) AS rule_2_pred FROM full_flags GROUP BY port_name, date""",
-       extra=_PRUNE)
+_RULE_COLUMNS = ", ".join(f"""max(CASE WHEN place = {i} THEN pred END) AS rule_{i}_pred,
+    max(CASE WHEN place = {i} THEN rule_name END) AS rule_{i}_name,
+    max(CASE WHEN place = {i} THEN f1_mean END) AS rule_{i}_f1""" for i in range(1, KEPT + 1))
+
+
+@query("ensemble_wide", "port_name date:d ensemble_pred:i " + " ".join(
+           f"rule_{i}_pred:i rule_{i}_name rule_{i}_f1:9" for i in range(1, KEPT + 1)), "best_t long_folded long ranked",
+       f"""SELECT port_name, date, CASE WHEN sum(pred) >= 3 THEN 1 ELSE 0 END AS ensemble_pred, {_RULE_COLUMNS}
+           FROM full_flags JOIN kept_rules USING (port_name, rank)
+           JOIN (SELECT port_name, rule_id, f1_mean FROM entering) USING (port_name, rule_id)
+           JOIN (SELECT port_name, rule_id, rule_name FROM wrules) USING (port_name, rule_id)
+           GROUP BY port_name, date""", extra=_PRUNE)
 def _(r: Roles):
-    return search.ensemble_wide(_pruned(r)[1], PORT, [1, 2])
+    return bitmaps.ensemble_table(*_pruned(r), PORT, KEPT)
 
 
 _GRID = {
