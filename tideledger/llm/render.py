@@ -41,6 +41,9 @@ IN_HEAD = frozenset("base link meta script style template title noscript noframe
 #: An end tag reaches no further out than these.
 SCOPE = frozenset("table td th caption html template".split())
 TOKEN = re.compile(r"""<!--(?:.*?-->|.*\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|[^<]++|<""", re.S)
+#: A tag up to a quote that is never closed, and tags before such a quote, where quotes are letters like others.
+UNFINISHED = re.compile(r"""</?[A-Za-z][^\s/>]*+(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
+UNQUOTED = re.compile(r"<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>")
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 BLANK = re.compile(r"[ \t\n\r\f]+")
 UNSEEN = re.compile(r"(?i)display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)")
@@ -66,25 +69,38 @@ def _attributes(text: str) -> dict[str, str]:
 
 
 def build(page: str) -> Node:
-    """Tree of a page; text is a str child, entities decoded."""
+    """Tree of a page; text is a str child, entities decoded.
+
+    A quote that is never closed ends no tag: tags before it end at their next `>`. A tag without one
+    is text, with all that follows. Each is found once, so the work grows with the page only.
+    """
     root = Node("#root", {})
     stack = [root]
-    at, n = 0, len(page)
+    at, n, quote = 0, len(page), 0
+    opened = {"tbody", "tr"}  # tags seen so far, and those that are implied
     while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m.group(2)
+        m = at < quote and UNQUOTED.match(page, at) or TOKEN.match(page, at)
+        start, at = at, m.end()
+        tag = m.group(2) if m.re.groups else None
         if tag is None:
             word = m.group()
-            if word[0] != "<" or word == "<":
+            if word == "<" and (open_tag := UNFINISHED.match(page, start)):
+                if page.find(">", start) < 0:
+                    word, at = page[start:], n
+                elif start >= quote:
+                    at, quote = start, open_tag.end() + 1
+                    continue
+            if word[0] != "<" or word[1:2] not in ("!", "?"):
                 if stack[-1].tag == "head" and BLANK.sub("", word):
                     stack.pop()
                 stack[-1].children.append(html.unescape(word) if "&" in word else word)
             continue
         tag = tag.lower()
         if m.group(1):
-            _close(stack, tag)
+            if tag in opened:
+                _close(stack, tag)
             continue
+        opened.add(tag)
         if stack[-1].tag == "head" and tag not in IN_HEAD:
             if tag == "head":
                 continue
