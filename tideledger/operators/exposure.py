@@ -113,6 +113,15 @@ def economic_yearly(daily: DataFrame, keys: Sequence[str] = ("port_name",)) -> D
                  .withColumn("yearly_loss", F.col("event_days") * F.col("daily_loss")))
 
 
+def economic_total(daily: DataFrame, keys: Sequence[str] = ("port_name",)) -> DataFrame:
+    """Over all days: days, event days and their rate, exposure, and the whole loss = event days x daily loss."""
+    return (daily.groupBy(*keys)
+                 .agg(F.count(F.lit(1)).alias("n_days"), F.sum("event_dummy_1").alias("event_days"),
+                      F.avg("event_dummy_1").alias("event_rate"), F.max("n_workers").alias("n_workers"),
+                      F.max("daily_wage").alias("daily_wage"), F.max("daily_loss").alias("daily_loss"))
+                 .withColumn("total_loss", F.col("event_days") * F.col("daily_loss")))
+
+
 def yearly_observed_loss(labelled: DataFrame, keys: Sequence[str], exposure: DataFrame,
                          flag: str = "event_dummy_1", min_days: int = 1) -> DataFrame:
     """Loss of the observed runs of at least `min_days`, cut at year ends; 0 in quiet years."""

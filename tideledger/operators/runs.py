@@ -148,3 +148,19 @@ def duration_ladder(df: DataFrame, keys: Sequence[str], order: str, flag: str, y
                   .agg(F.count_if(on).alias("days_closed"),
                        F.count_if(on & (before < k)).alias("num_events"),
                        F.sum(F.when(on, F.col("__loss")).otherwise(0.0)).alias("total_loss")))
+
+
+def ladder_stats(ladder: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key and k over the years of a duration ladder: totals, means a year and years with a loss."""
+    return ladder.groupBy(*keys, "min_days").agg(
+        F.sum("total_loss").alias("total_loss"), F.avg("total_loss").alias("avg_loss_per_year"),
+        F.sum("num_events").alias("total_events"), F.sum("days_closed").alias("total_days_closed"),
+        F.count_if(F.col("total_loss") > 0).alias("years_with_events"),
+        F.avg("num_events").alias("avg_events_per_year"), F.avg("days_closed").alias("avg_days_closed_per_year"))
+
+
+def ladder_wide(ladder: DataFrame, keys: Sequence[str], year: str = "year", steps: int = 7) -> DataFrame:
+    """One row per key and year with `<k>day_total_loss`, `<k>day_num_events` and `<k>day_days_closed` for each k."""
+    at = lambda k, c: F.max(F.when(F.col("min_days") == k, F.col(c))).alias(f"{k}day_{c}")
+    return ladder.groupBy(*keys, year).agg(*[at(k, c) for k in range(1, steps + 1)
+                                             for c in ("total_loss", "num_events", "days_closed")])

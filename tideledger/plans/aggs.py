@@ -183,6 +183,17 @@ def _economics(r: Roles):
     return known, exposure.wage_medians(known)
 
 
+@query("economic_total", "port_name n_days:i event_days:i event_rate:6 daily_loss:6 total_loss:6", "labelled exposure",
+       """SELECT port_name, n_days, days AS event_days, rate AS event_rate, loss AS daily_loss, days * loss AS total_loss
+          FROM (SELECT port_name, count(*) AS n_days, sum(y) AS days, avg(y) AS rate FROM labelled GROUP BY ALL) JOIN (
+            SELECT p.port_name, coalesce(e.n_workers * e.daily_wage, m.x) AS loss FROM
+            (SELECT DISTINCT port_name FROM labelled) p LEFT JOIN known e USING (port_name)
+            CROSS JOIN (SELECT median(n_workers * daily_wage) AS x FROM known) m) USING (port_name)""",
+       extra={"known": "SELECT * FROM exposure WHERE port_name <> '5-LOW'"})
+def _(r: Roles):
+    return exposure.economic_total(exposure.economic_daily(r.labelled, *_economics(r), flag="y"))
+
+
 @query("economic_yearly", "port_name year:i event_days:i event_rate:6 daily_loss:6 yearly_loss:6",
        "labelled exposure",
        """SELECT port_name, year, days AS event_days, rate AS event_rate, loss AS daily_loss,
@@ -285,9 +296,7 @@ def _(r: Roles):
     return exposure.loss_stats(r.sim_losses.where(F.col("loss") >= 0), PORT, "loss")
 
 
-@query("duration_ladder", "port_name year:i min_days:i days_closed:i num_events:i total_loss:6",
-       "labelled exposure",
-       """SELECT d.port_name, year, k AS min_days, count(*) FILTER (WHERE len >= k) AS days_closed,
+_LADDER = """SELECT d.port_name, year, k AS min_days, count(*) FILTER (WHERE len >= k) AS days_closed,
             count(*) FILTER (WHERE len >= k AND (CASE WHEN k = 1 THEN prev_y ELSE prev END) < k)
               AS num_events,
             sum(CASE WHEN len >= k THEN n_workers * daily_wage ELSE 0 END) AS total_loss
@@ -300,13 +309,41 @@ def _(r: Roles):
                             - row_number() OVER (PARTITION BY port_name, y ORDER BY date) AS g
                             FROM labelled))) d
           JOIN exposure e ON e.port_name = d.port_name CROSS JOIN range(1, 8) t(k)
-          GROUP BY d.port_name, year, k""")
+          GROUP BY d.port_name, year, k"""
+
+
+@query("duration_ladder", "port_name year:i min_days:i days_closed:i num_events:i total_loss:6",
+       "labelled exposure", _LADDER)
 def _(r: Roles):
+    return _ladder(r)
+
+
+def _ladder(r: Roles):
     days = r.labelled.withColumn("year", F.year("date")).join(r.exposure, "port_name")
     return runs.duration_ladder(days, PORT, "date", "y", "year",
                                 F.col("n_workers") * F.col("daily_wage"))
 
 
+@query("duration_ladder_stats", "port_name min_days:i total_loss:4 avg_loss_per_year:4 total_events:i total_days_closed:i "
+       "years_with_events:i avg_events_per_year:6 avg_days_closed_per_year:6", "labelled exposure",
+       f"""SELECT port_name, min_days, sum(total_loss) AS total_loss, avg(total_loss) AS avg_loss_per_year,
+            sum(num_events) AS total_events, sum(days_closed) AS total_days_closed,
+            count(*) FILTER (WHERE total_loss > 0) AS years_with_events, avg(num_events) AS avg_events_per_year,
+            avg(days_closed) AS avg_days_closed_per_year FROM ({_LADDER}) GROUP BY port_name, min_days""")
+def _(r: Roles):
+    return runs.ladder_stats(_ladder(r), PORT)
+
+
+_WIDE = [(k, c, kind) for k in range(1, 8) for c, kind in (("total_loss", "6"), ("num_events", "i"), ("days_closed", "i"))]
+
+
+@query("duration_ladder_wide", "port_name year:i " + " ".join(f"{k}day_{c}:{kind}" for k, c, kind in _WIDE), "labelled exposure",
+       "SELECT port_name, year, " + ", ".join(f'max(CASE WHEN min_days = {k} THEN {c} END) AS "{k}day_{c}"' for k, c, _ in _WIDE)
+       + f" FROM ({_LADDER}) GROUP BY port_name, year")
+def _(r: Roles):
+    return runs.ladder_wide(_ladder(r), PORT)
+
+
 @query("yearly_observed_loss", "port_name year:i loss_days:i observed_loss:6", "obs_yearly",
        "SELECT * FROM obs_yearly")
 def _(r: Roles):
