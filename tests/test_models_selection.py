@@ -190,6 +190,7 @@ def test_forests_find_the_signal_and_are_the_same_again(spark):
     extra = {r.feature: r.importance_mean for r in selection.select_extra_trees(
         df, ["run"], ["a", "b"], "y", ["run", "date"], cuts).collect()}
     assert extra["a"] > extra["b"]
+    assert models.tree_probabilities(df.limit(0), ["run"], ["a", "b"], ["run", "date"], ensembles=cuts).count() == 0
     boosted = models.tree_probabilities(df, ["run"], ["a", "b"], ["run", "date"],
                                         ensembles=[forests.Ensemble("boosted", 5, 2, boosted=True)])
     means = {r.y: r.p for r in boosted.groupBy("y").agg(F.avg("probability").alias("p")).collect()}

@@ -329,8 +329,8 @@ def grow(blocks: DataFrame, keys: Sequence[str], n_features: int, ensembles: Seq
             step, f"{key_types}, ensemble int, chunk int, tree binary, open boolean"))
         done.append(grown.where("not open"))
         state = grown.where("open")
-    out = done[0]
-    for d in done[1:]:
+    out = state  # empty here
+    for d in done:
         out = out.union(d)
     return out.drop("open")
 

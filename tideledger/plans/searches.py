@@ -434,12 +434,28 @@ def _(r: Roles):
     return selection.f_scores(r.long, PORT)
 
 
-@query("select_f_test", "port_name feature f_score:6 p_value:9 score:6")
+# Tail of F(1, v) by the finite sums of Student's distribution: v is the days of a port less two.
+_TAIL = {
+    "tests": f"SELECT *, CAST(n - classes AS BIGINT) AS v, f_score / (f_score + n - classes) AS s2 FROM ({_F})",
+    "series": """SELECT odd, k, product(CASE WHEN k = 0 THEN 1e0 WHEN odd = 1 THEN 2e0 * k / (2 * k + 1) ELSE (2e0 * k - 1) / (2 * k) END)
+          OVER (PARTITION BY odd ORDER BY k) AS c
+        FROM (SELECT unnest(range(0, (SELECT CAST(max(v) // 2 + 1 AS BIGINT) FROM tests))) AS k), (VALUES (0), (1)) o(odd)""",
+    "tails": """SELECT port_name, feature, f_score, greatest(1 - CASE WHEN v % 2 = 0 THEN sqrt(s2) * total
+            ELSE 2 / pi() * (asin(sqrt(s2)) + sqrt(s2 * (1 - s2)) * total) END, 0) AS p_value
+        FROM (SELECT port_name, feature, any_value(f_score) AS f_score, any_value(v) AS v, any_value(s2) AS s2,
+                fsum(c * power(1 - s2, k)) AS total
+              FROM tests JOIN series ON odd = v % 2 AND k < v // 2 GROUP BY port_name, feature)""",
+}
+
+
+@query("select_f_test", "port_name feature f_score:6 p_value:9 score:6", "long",
+       """SELECT *, 0.7 * f_score / (max(f_score) OVER w + 1e-6) + 0.3 * lp / (max(lp) OVER w + 1e-6) AS score
+          FROM (SELECT *, -ln(p_value + 1e-10) AS lp FROM tails) WINDOW w AS (PARTITION BY port_name)""", _TAIL)
 def _(r: Roles):
     return selection.select_f_test(r.long, PORT)
 
 
-@query("p_value_udf", "port_name feature p_value:12")
+@query("p_value_udf", "port_name feature p_value:9", "long", "SELECT port_name, feature, p_value FROM tails", _TAIL)
 def _(r: Roles):
     return selection.select_f_test(r.long, PORT)
 
