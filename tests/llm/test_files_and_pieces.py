@@ -134,6 +134,26 @@ def test_id_files_equal_the_tokenizer(spark):
         place += r.n_tokens
 
 
+def test_words_in_other_case_or_before_signs_are_encoded_once():
+    from tokenizers import Tokenizer
+    file = tokenizer_file("word_bpe_49k.json")
+    t, words = Tokenizer.from_file(file), idfiles.WordIds(file)
+    words.encode(["Word, word. WORD word"])
+    assert len(words.known) == 4  # with the empty one
+    latin = [chr(i) for i in range(256)]
+    rng = random.Random(6)
+    bits = [*latin, "'s", "'LL", "<|endoftext|>", "<|ENDOFTEXT|>", "İ", "Σ", "e\u0301", "日", "क\u093c", "\u0958", "x.", "..."]
+    texts = [f"a{c}{d}b" for c in latin for d in (" ", "'", "é", "")] + ["".join(rng.choices(bits, k=9)) for _ in range(5000)]
+    for room in (idfiles.KEPT_WORDS, 0):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(idfiles, "KEPT_WORDS", room)
+            ids, sizes = words.encode(texts)
+        ends = np.cumsum(sizes)
+        for x, a, b in zip(texts, (ends - sizes).tolist(), ends.tolist()):
+            assert ids[a:b].tolist() == t.encode(x, add_special_tokens=False).ids + [2], x
+        words.clear()
+
+
 def test_no_documents(spark):
     path = shared_folder(spark, "ids")
     idfiles.write_ids(spark.createDataFrame([], "doc_id long, text string"), path, tokenizer_file("word_bpe_49k.json"))

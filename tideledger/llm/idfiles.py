@@ -12,6 +12,7 @@ from __future__ import annotations
 import itertools
 import json
 import math
+import os
 import re
 import struct
 import zlib
@@ -34,7 +35,7 @@ BLOCK_IDS = 1 << 17
 BLOCKS_PER_FILE = 64
 #: Most distinct ids of a vocabulary: bounds what the driver holds to build the code.
 MAX_VOCABULARY = 1 << 20
-#: Words that a Python worker keeps with their ids; others are encoded for each batch of texts.
+#: Words or units that a Python worker keeps with their ids; others are encoded for each batch of texts.
 KEPT_WORDS = 500_000
 DOCS_AT_ONCE = 1024
 
@@ -172,14 +173,30 @@ def read_blocks(data: bytes, table: tuple) -> Iterator[tuple[list, np.ndarray, n
 # -- tokens ------------------------------------------------------------------------------------
 
 
+class _Codes(dict):
+    """word: number; a word that is not there gets the next number and is put into `new`."""
+
+    new: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = len(self)
+        self.new.append(word)
+        return code
+
+
 class WordIds:
-    """Ids of whole texts, each distinct word encoded once.
+    """Ids of whole texts, each distinct word or unit encoded once.
 
-    The tokenizer cuts at white space before anything else, so a text's ids are those of its words. Words
-    that are letters and a final stop or comma are encoded as lower-case letters, many at once.
+    The tokenizer cuts at white space before anything else, so a text's ids are those of its words. Where it
+    puts letters to lower case and cuts by CUTS, texts of Latin-1 characters fall into its units (runs of letters,
+    digits, runs of signs) instead, of which there are fewer. Words that are letters and a final stop or comma
+    are encoded as lower-case letters, many at once.
     """
 
     PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-įĴ-ňŊ-ž]+)([.,]?)")
+    CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    #: The same in lower-case Latin-1, with what is white space, a letter and a number there.
+    UNIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\t-\r\x20\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
 
     def __init__(self, file: str) -> None:
         from tokenizers import Tokenizer
@@ -187,16 +204,32 @@ class WordIds:
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size < 1 << 16 else np.dtype("<u4")
         self.closes = {i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        steps = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (steps["normalizer"] or {}).get("normalizers", [])]
+        cuts = [c.get("pattern", {}).get("Regex") for c in (steps["pre_tokenizer"] or {}).get("pretokenizers", [])]
+        self.by_units = normal == ["NFC", "Replace", "Lowercase"] and cuts[:1] == [self.CUTS]
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {"": 0}
+        self.known = _Codes({"": 0})
         self.marks = {m: self._encode([m])[0] for m in (".", ",")} | {"": []}
         self.pool = np.empty(0, np.uint32)
         self.starts, self.sizes = np.zeros(1, np.int64), np.zeros(1, np.int64)
 
+    def parts(self, text: str | None) -> list[str]:
+        """Units of a Latin-1 text without added tokens, words of others; each part's ids stand by themselves."""
+        if text and self.by_units and not any(a in text for a in self.added):
+            low = text.lower()
+            try:
+                low.encode("latin-1")
+                return self.UNIT.findall(low)
+            except UnicodeEncodeError:
+                pass
+        return _words(text)
+
     def _encode(self, words: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _stems(self, stems: list[str]) -> dict[str, list[int]]:
         """Ids of words of lower-case letters, many words in one call, cut where a word's last token says so."""
@@ -216,32 +249,33 @@ class WordIds:
 
     def ids_of(self, words: list[str]) -> list[list[int]]:
         match = self.PLAIN.fullmatch
-        plain = {w: (m[1].lower(), m[2]) for w in words if (m := match(w))}
+        found = self._stems([w for w in words if w.isalpha() and w.islower()])
+        words_left = [w for w in words if w not in found]
+        plain = {w: (m[1].lower(), m[2]) for w in words_left if (m := match(w))}
         stems = self._stems(sorted({s for s, _ in plain.values()}))
-        others = [w for w in words if w not in plain]
-        found = dict(zip(others, self._encode(others)))
+        others = [w for w in words_left if w not in plain]
+        found.update(zip(others, self._encode(others)))
         found.update((w, stems[s] + self.marks[p]) for w, (s, p) in plain.items())
         return [found[w] for w in words]
 
     def encode(self, texts: list[str | None], end: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by `end`, and their counts; null is empty."""
-        split = [_words(x) for x in texts]
+        split = [self.parts(x) for x in texts]
+        per_doc = np.array([len(s) for s in split], dtype=np.int64)
         known, pool, starts, sizes = self.known, self.pool, self.starts, self.sizes
-        new = sorted(set().union(*split).difference(known))
+        room = len(known) < KEPT_WORDS
+        new = known.new = []
+        code = np.fromiter(map(known.__getitem__, itertools.chain.from_iterable(split)), dtype=np.int64, count=int(per_doc.sum()))
         if new:
             ids = self.ids_of(new)
             n = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-            more = dict(zip(new, range(len(starts), len(starts) + len(new))))
             starts, sizes = np.append(starts, len(pool) + np.cumsum(n) - n), np.append(sizes, n)
             pool = np.append(pool, np.fromiter(itertools.chain.from_iterable(ids), dtype=np.uint32, count=int(n.sum())))
-            if len(known) < KEPT_WORDS:
-                known.update(more)
+            if room:
                 self.pool, self.starts, self.sizes = pool, starts, sizes
-            else:  # no more room: for this call only
-                known = more
-        per_doc = np.array([len(s) for s in split], dtype=np.int64)
-        get = known.__getitem__ if known is self.known else lambda w: more[w] if w in more else self.known[w]
-        code = np.fromiter((c for words in split for c in map(get, words)), dtype=np.int64, count=int(per_doc.sum()))
+            else:  # for this call only
+                for word in new:
+                    del known[word]
         n = sizes[code]
         edges = np.concatenate([[0], np.cumsum(n)])
         bounds = np.concatenate([[0], np.cumsum(per_doc)])
@@ -275,6 +309,7 @@ def tokenized(docs: DataFrame, file: str, text: str = "text", end: int = END_ID)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task on every core already
         words = encoder(file)
         for batch in batches:
             for at in range(0, batch.num_rows, DOCS_AT_ONCE):
