@@ -221,6 +221,21 @@ def test_units_and_room_do_not_change_samples(lattice, monkeypatch):
     assert [r[0].tolist() for r in before[0]] == [r[0].tolist() for r in after[0]]
 
 
+def test_tables_do_not_depend_on_the_units_beside(lattice):
+    many = [" " + "".join(random.Random(i).choices("aeinrst", k=9)) for i in range(3000)]
+    alone, beside = lattice.make([" restaurants"], 0), lattice.make([*many, " restaurants"], 0)
+    for name in ("cum", "p", "logp", "piece"):
+        assert alone[name].tolist() == beside[name][-len(alone[name]):].tolist(), name
+
+
+def test_units_of_latin_texts_are_those_of_all_texts():
+    rng = random.Random(8)
+    chars = [*map(chr, range(256)), *" \n" * 30, *"abcdé_,.1²" * 10]
+    for _ in range(20_000):
+        text = " " + "".join(rng.choices(chars, k=12))
+        assert pieces.UNIT_OF_LATIN.findall(text) == pieces.UNIT_BY_LETTERS.findall(text)
+
+
 def test_encode_on_tables(spark):
     rows = [(1, "Hello, world"), (1, "Hello, world"), (2, None), (3, ""), (None, "x" * 20000), (5, "▁")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("samples", F.lit("clash")).withColumn("sample", F.lit(1))

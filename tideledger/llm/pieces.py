@@ -20,6 +20,7 @@ greatest perturbed value left (minus infinity, so a score of 0, if nothing is le
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -32,22 +33,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-UNIT = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+#: Units of a text with blanks for SPACE; the third does for Latin-1 texts what the second does for all.
+UNIT = re.compile("\n|\x20+[^\x20\n]*|[^\x20\n]+")
 _LETTER = r"[^\W\d_]"
-_OTHER = rf"(?:[\W\d_](?<![{SPACE}\n]))"
-UNIT_BY_LETTERS = re.compile(rf"\n|{SPACE}+{_OTHER}*{_LETTER}*|{_OTHER}+{_LETTER}*|{_LETTER}+")
+_OTHER = r"(?:[\W\d_](?<![\x20\n]))"
+UNIT_BY_LETTERS = re.compile(rf"\n|\x20+{_OTHER}*{_LETTER}*|{_OTHER}+{_LETTER}*|{_LETTER}+")
+_LATIN = "".join(c for c in map(chr, range(256)) if re.match(_LETTER, c))
+UNIT_OF_LATIN = re.compile(f"\x20[{_LATIN}]+|\x20+[^\x20\n{_LATIN}]*[{_LATIN}]*|\n|[^\x20\n{_LATIN}]+[{_LATIN}]*|[{_LATIN}]+")
 K = 3
 THETA = 1.0
 SEED = 42
 RANK_SHIFT = 2.7
 #: Nodes (some 90 bytes each) kept by a Python worker.
 KEPT_NODES = 800_000
-#: Choices made with one random number, choices split at once, and the greatest noise that `uniform` can give.
+#: Choices made with one random number, choices of a path and paths split at once, and the greatest noise that
+#: `uniform` can give.
 FRESH_STEPS = 4
-SPLIT_AT_ONCE = 640
+SPLIT_AT_ONCE = 512
+PATHS_AT_ONCE = 256
 MAX_NOISE = 37.0
 #: Units walked and characters read at once.
-CHUNK_UNITS = 1 << 15
+CHUNK_UNITS = 1 << 16
 CHARS_AT_ONCE = 1 << 18
 
 _HASH_STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -67,6 +73,17 @@ def row_key(seed: int, key) -> int:
     return xxhash.xxh64_intdigest(f"{seed}:{key}".encode("utf-8", "surrogatepass"))
 
 
+class _Numbers(dict):
+    """unit: number; a unit that is not there gets the next number and is put into `new`."""
+
+    new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
+
+
 class Lattice:
     """Choice tables of units, made for many units at once.
 
@@ -88,7 +105,9 @@ class Lattice:
             elif not (self.model.is_control(i) or self.model.is_unknown(i) or self.model.is_unused(i)):
                 self.ids[piece] = i
         # a byte below 128 is a character by itself wherever it stands
-        self.pieces = {self.bytes_at[b]: chr(b) for b in range(128) if self.bytes_at[b]} | {i: w for w, i in self.ids.items()}
+        self.pieces = np.full(n, None, dtype=object)
+        for i, w in [(self.bytes_at[b], chr(b)) for b in range(128) if self.bytes_at[b]] + [(i, w) for w, i in self.ids.items()]:
+            self.pieces[i] = w.replace(SPACE, " ")
         order = sorted(self.ids.values(), key=lambda i: (-self.model.get_score(i), i))
         self.weight = {i: -theta * math.log(r + RANK_SHIFT) for r, i in enumerate(order)}
         self.byte_weight = -theta * math.log(len(order) + RANK_SHIFT)
@@ -108,7 +127,8 @@ class Lattice:
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}
+        self.units = _Numbers()
+        self.starts = np.empty(0, np.int64)
         self.nodes = self.edges = 0
         self.rows = {"first": np.zeros(1 << 16, np.int64), "cum": np.empty(1 << 18), "p": np.empty(1 << 18),
                      "logp": np.empty(1 << 18), "target": np.empty(1 << 18, np.int32), "piece": np.empty(1 << 18, np.int32)}
@@ -124,7 +144,7 @@ class Lattice:
             self.rows[name][at:at + len(values)] = values
 
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(place, characters, id) of every piece that fits, and of the bytes of characters that are no piece."""
+        """Edges by place: how many each has, their characters and ids; pieces that fit and bytes of what is no piece."""
         found = []
         live, hashes = np.arange(len(points)), np.zeros(len(points), dtype=np.uint64)
         for size, (known, ids, heads) in enumerate(self.heads, 1):
@@ -144,46 +164,71 @@ class Lattice:
             live, hashes, at = live[true], hashes[true], at[true]
             piece = ids[at]
             whole = piece >= 0
-            found.append((live[whole], np.full(int(whole.sum()), size), piece[whole]))
-        place, size, piece = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 3
-        single = np.zeros(len(points), dtype=bool)
-        single[place[size == 1]] = True
-        bare = np.flatnonzero(~single)
-        return (np.concatenate([place, bare]), np.concatenate([size, np.ones(len(bare), np.int64)]),
-                np.concatenate([piece, -1 - points[bare].astype(np.int64)]))
+            found.append((live[whole], size, piece[whole]))
+        bare = np.ones(len(points), dtype=bool)
+        if found:
+            bare[found[0][0]] = False
+        bare = np.flatnonzero(bare)
+        found.append((bare, 1, -1 - points[bare].astype(np.int64)))
+        counts = np.zeros(len(points), dtype=np.int64)
+        for place, _, _ in found:
+            counts[place] += 1
+        free = np.cumsum(counts) - counts
+        sizes, pieces = np.empty(int(counts.sum()), np.int64), np.empty(int(counts.sum()), np.int64)
+        for place, size, piece in found:
+            at = free[place]
+            sizes[at], pieces[at] = size, piece
+            free[place] = at + 1
+        return counts, sizes, pieces
 
     def make(self, units: list[str], first_node: int) -> dict:
         """Table of the units, nodes counted from `first_node`."""
-        points = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+        points = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
         sizes = np.array([len(u) for u in units], dtype=np.int64)
         ends = np.repeat(np.cumsum(sizes), sizes)
-        place, size, piece = self._edges(points, ends)
-        bytes_of = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
-        weight = np.where(piece >= 0, self.log_weight[np.maximum(piece, 0)], self.byte_weight * bytes_of[place])
+        widths, size, piece = self._edges(points, ends)
+        n, first = len(points), np.concatenate([[0], np.cumsum(widths)])
+        place = np.repeat(np.arange(n), widths)
+        weight = self.log_weight[np.maximum(piece, 0)]
+        raw = np.flatnonzero(piece < 0)
+        own = points[place[raw]]
+        weight[raw] = self.byte_weight * np.where(own < 0x80, 1, np.where(own < 0x800, 2, np.where(own < 0x10000, 3, 4)))
+        after = place + size
+        stop = ends[place] == after
         # backward sums, all places of one distance to the end of their unit together
-        left = ends[place] - place
-        order = np.lexsort((place, left))
-        place, size, piece, weight, left = place[order], size[order], piece[order], weight[order], left[order]
-        sums = np.zeros(len(points) + 1)
+        left = ends - np.arange(n)
+        by = np.argsort(left.astype(np.uint16) if n and left.max() < 1 << 16 else left, kind="stable")
+        wide = widths[by]
+        begin = np.concatenate([[0], np.cumsum(wide)])
+        order = np.repeat(first[by] - begin[:-1], wide) + np.arange(len(place))
+        follow, weight = np.where(stop, n, after)[order], weight[order]
+        sums = np.zeros(n + 1)
         mass = np.empty(len(place))
-        steps = np.flatnonzero(np.diff(left, prepend=0, append=-1))
-        stop = ends[place] == place + size
-        for a, b in zip(steps, steps[1:]):
-            own = place[a:b]
-            m = weight[a:b] + np.where(stop[a:b], 0.0, sums[own + size[a:b]])
-            at = np.flatnonzero(np.diff(own, prepend=-1))
+        steps = np.flatnonzero(np.diff(left[by], prepend=0, append=-1)).tolist()
+        for x, y in zip(steps, steps[1:]):
+            a, b = int(begin[x]), int(begin[y])
+            at, w = begin[x:y] - a, wide[x:y]
+            m = weight[a:b] + sums[follow[a:b]]
             top = np.maximum.reduceat(m, at)
-            widths = np.diff(np.append(at, b - a))
-            total = top + np.log(np.add.reduceat(np.exp(m - np.repeat(top, widths)), at))
-            sums[own[at]] = total
-            mass[a:b] = m - np.repeat(total, widths)
-        order = np.lexsort((-mass, place))
-        place, size, piece, stop, p = place[order], size[order], piece[order], stop[order], np.exp(mass[order])
-        first = np.searchsorted(place, np.arange(len(points) + 1))
-        run = np.cumsum(p)
-        cum = run - np.repeat((run - p)[first[:-1]], np.diff(first))
+            total = top + np.log(np.add.reduceat(np.exp(m - np.repeat(top, w)), at))
+            sums[by[x:y]] = total
+            mass[order[a:b]] = m - np.repeat(total, w)
+        # likeliest first, nodes of one width together
+        order = np.arange(len(place))
+        for w in range(2, int(widths.max(initial=0)) + 1):
+            rows = first[np.flatnonzero(widths == w)][:, None] + np.arange(w)
+            order[rows] = np.take_along_axis(rows, np.argsort(-mass[rows], axis=1, kind="stable"), axis=1)
+        after, piece, stop, p = after[order], piece[order], stop[order], np.exp(mass[order])
+        # each node's sums by themselves, so that they do not depend on the units made together
+        cum, k = p.copy(), 1
+        at = np.flatnonzero(widths > 1)
+        while len(at):
+            edge = first[at] + k
+            cum[edge] += cum[edge - 1]
+            k += 1
+            at = at[widths[at] > k]
         cum[first[1:] - 1] = 2.0
-        target = np.where(stop, -1, place + size + first_node)
+        target = np.where(stop, -1, after + first_node)
         return {"first": first, "cum": cum, "p": p, "logp": np.log(p), "target": target.astype(np.int32), "piece": piece.astype(np.int32)}
 
     def tables(self, units: list[str]) -> tuple[dict, np.ndarray]:
@@ -191,21 +236,23 @@ class Lattice:
 
         New units are kept for later texts while there is room; beyond that they serve this call only.
         """
-        new = sorted(set(units).difference(self.units))
-        known = self.units
+        room, new = self.nodes < KEPT_NODES, []
+        self.units.new = new
+        code = np.fromiter(map(self.units.__getitem__, units), dtype=np.int64, count=len(units))
+        starts = self.starts
         if new:
             own = self.make(new, self.nodes)
             own["first"] = own["first"] + self.edges
-            starts = self.nodes + np.cumsum([0, *map(len, new)])[:-1]
+            starts = np.append(starts, self.nodes + np.cumsum([0, *map(len, new)])[:-1])
             self._put(own)
-            more = dict(zip(new, starts.tolist()))
-            if self.nodes < KEPT_NODES:
-                known.update(more)
+            if room:
+                self.starts = starts
                 self.nodes += len(own["first"]) - 1
                 self.edges += len(own["cum"])
             else:
-                known = {u: known[u] if u in known else more[u] for u in set(units)}
-        return self.rows, np.fromiter(map(known.__getitem__, units), dtype=np.int64, count=len(units))
+                for unit in new:
+                    del self.units[unit]
+        return self.rows, starts[code]
 
     def ids_of(self, pieces: np.ndarray) -> np.ndarray:
         """Pieces with characters below zero put out as bytes."""
@@ -221,14 +268,21 @@ class Lattice:
                          [i for r in raw for i in r]).astype(np.int32)
 
     def units_of(self, text: str) -> list[str]:
-        """Units of the text as the model reads it: a blank in front, blanks as SPACE.
+        """Units of the text as the model reads it: a blank in front, SPACE as blanks.
 
         No piece crosses the borders: a blank or line starts a unit, and so does what follows a
         letter without being one, if the model has no piece that joins the two.
         """
         if not text:
             return []
-        return (UNIT_BY_LETTERS if self.letters_end_units else UNIT).findall(SPACE + text.replace(" ", SPACE))
+        text = " " + text.replace(SPACE, " ")
+        if not self.letters_end_units:
+            return UNIT.findall(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return UNIT_BY_LETTERS.findall(text)
+        return UNIT_OF_LATIN.findall(text)
 
 
 def _window_hash(points: np.ndarray) -> np.ndarray:
@@ -275,7 +329,7 @@ def walk(t: dict, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     return owner, out
 
 
-def _gumbels(u: np.ndarray, place: np.ndarray, bound: float) -> np.ndarray:
+def _gumbels(u: np.ndarray, place: np.ndarray, bound: np.ndarray) -> np.ndarray:
     """Greatest perturbed value of sets of log mass `place`, given that none exceeds `bound`."""
     return -np.logaddexp(-bound, -(place - np.log(-np.log(u))))
 
@@ -287,40 +341,73 @@ class _Search:
         self.key, self.k, self.heap, self.found = key, k, [], []
 
     def keys(self, sample: int, places: np.ndarray, salt: int) -> np.ndarray:
-        base = self.key ^ ((sample * 4 + salt + 1) * int(_MIX2) & (1 << 64) - 1)
-        return places.astype(np.uint64) * _GOLDEN + np.uint64(base)
+        return places.astype(np.uint64) * _GOLDEN + np.uint64(self.base(sample, salt))
+
+    def base(self, sample: int, salt: int) -> int:
+        return self.key ^ ((sample * 4 + salt + 1) * int(_MIX2) & (1 << 64) - 1)
+
+    def wait(self, values: np.ndarray, depths: np.ndarray, sample: int, edges: np.ndarray, start: int, barred: tuple) -> None:
+        """Puts the k + 1 best of these sets into wait; more of them cannot count."""
+        for value, depth in zip(values.tolist(), depths.tolist()):
+            self.heap.append((-value, sample, depth, (int(edges[depth]),) + (barred if depth == start else ())))
+        self.heap = heapq.nsmallest(self.k + 1, self.heap)
+
+
+def _add_paths(t: dict, paths: list[tuple[_Search, np.ndarray, np.ndarray, float, int, tuple]]) -> None:
+    """Takes a sampled path (units, edges, value) of each search and splits the rest of its set, from choice `start` on.
 
-    def add_path(self, t: dict, units: np.ndarray, edges: np.ndarray, value: float, start: int, barred: tuple) -> None:
-        """Takes a sampled path and splits the rest of its set, from choice `start` on."""
-        sample = len(self.found)
+    Each path is a row by itself, so what lies beside it does not change its numbers.
+    """
+    todo = []
+    for s, units, edges, value, start, barred in paths:
         logp = t["logp"][edges]
-        self.found.append((units, edges, float(logp.sum()), value))
-        done, before, least = start, float(logp[:start].sum()), -math.inf
+        s.found.append((units, edges, float(logp.sum()), value))
+        todo.append((s, edges, value, start, barred, start, float(logp[:start].sum())))
+    while todo:
+        following = []
+        for at in range(0, len(todo), PATHS_AT_ONCE):
+            following += _split(t, todo[at:at + PATHS_AT_ONCE])
+        todo = following
+
+
+def _split(t: dict, todo: list[tuple]) -> list[tuple]:
+    """Splits the next choices of each path; returns the paths that go on."""
+    sizes = np.array([min(SPLIT_AT_ONCE, len(edges) - done) for _, edges, *_, done, _ in todo])
+    width = int(sizes.max())
+    if not width:
+        return []
+    inside = np.arange(width) < sizes[:, None]
+    own_edges = np.concatenate([edges[done:done + SPLIT_AT_ONCE] for _, edges, *_, done, _ in todo])
+    part, left = np.zeros(inside.shape), np.zeros(inside.shape)
+    part[inside] = t["logp"][own_edges]
+    left[inside] = 1.0 - t["p"][own_edges]
+    for n, (_, _, _, start, barred, done, _) in enumerate(todo):
+        if done == start and barred:
+            left[n, 0] -= sum(float(t["p"][e]) for e in barred)
+    before = np.array([x[-1] for x in todo])
+    # a node with one choice has nothing left; what rounding leaves is less than this
+    row, column = np.nonzero(left > 1e-12)
+    place = (before[:, None] + np.cumsum(part, axis=1) - part)[row, column] + np.log(left[row, column])
+    bases = np.array([s.base(len(s.found) - 1, 1) for s, *_ in todo], dtype=np.uint64)
+    done = np.array([x[-2] for x in todo])
+    keys = (column + done[row]).astype(np.uint64) * _GOLDEN + bases[row]
+    values = np.full(inside.shape, -np.inf)
+    values[row, column] = _gumbels(uniform(keys), place, np.array([x[2] for x in todo])[row])
+    k = todo[0][0].k
+    best = np.argpartition(-values, k, axis=1)[:, :k + 1] if width > k + 1 else np.broadcast_to(np.arange(width), inside.shape)
+    following = []
+    sums = part.sum(axis=1).tolist()
+    for n, (s, edges, value, start, barred, done, before) in enumerate(todo):
+        at = best[n][values[n, best[n]] > -np.inf]
+        if len(at):
+            s.wait(values[n, at], at + done, len(s.found) - 1, edges, start, barred)
+        least = -s.heap[-1][0] if len(s.heap) > s.k else -math.inf
+        before, done = before + sums[n], done + int(sizes[n])
         # Noise is at most MAX_NOISE, and a set's mass is at most that of the choices before it: once
         # that is too low to pass the worst set in wait, no later set can.
-        while done < len(edges) and before + MAX_NOISE > least:
-            part = logp[done:done + SPLIT_AT_ONCE]
-            own = t["p"][edges[done:done + SPLIT_AT_ONCE]]
-            if done == start and barred:
-                own = own.copy()
-                own[0] += sum(float(t["p"][e]) for e in barred)
-            left = np.maximum(1.0 - own, 0.0)
-            # a node with one choice has nothing left; what rounding leaves is less than this
-            open_ = np.flatnonzero(left > 1e-12)
-            if len(open_):
-                place = (before + np.cumsum(part) - part)[open_] + np.log(left[open_])
-                values = _gumbels(uniform(self.keys(sample, open_ + done, 1)), place, value)
-                keep = range(len(open_)) if len(open_) <= self.k else np.argpartition(-values, self.k)[:self.k + 1].tolist()
-                for c in keep:
-                    depth = int(open_[c]) + done
-                    bars = (int(edges[depth]),) + (barred if depth == start else ())
-                    self.heap.append((-float(values[c]), sample, depth, bars))
-                # of the sets in wait, no more than the k best and the one after them can count
-                self.heap = heapq.nsmallest(self.k + 1, self.heap)
-                if len(self.heap) > self.k:
-                    least = -self.heap[-1][0]
-            before += float(part.sum())
-            done += len(part)
+        if done < len(edges) and before + MAX_NOISE > least:
+            following.append((s, edges, value, start, barred, done, before))
+    return following
 
 
 def _other_edge(t: dict, node: int, barred: tuple, u: float) -> int:
@@ -355,7 +442,7 @@ def sample(lattice: Lattice, texts: list[str | None], keys: list, k: int = K, se
 
 
 def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int, seed: int) -> list[list[tuple]]:
-    t, nodes = lattice.tables([u for p in parts for u in p])
+    t, nodes = lattice.tables(list(itertools.chain.from_iterable(parts)))
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
     starts = np.cumsum(sizes) - sizes
     searches = [_Search(row_key(seed, key), k) for key in keys]
@@ -393,13 +480,16 @@ def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int,
         owner, edge = walk(t, np.concatenate(walks_nodes), np.concatenate(walks_keys))
         borders = np.concatenate([[0], np.cumsum(spans)])
         cuts = np.searchsorted(owner, borders)
-        following = []
+        following, paths = [], []
         for n, (i, value, parent, depth, barred) in enumerate(todo):
             s = searches[i]
             shift = sizes[i] - spans[n]
             units = np.concatenate([heads[n][0], owner[cuts[n]:cuts[n + 1]] - borders[n] + shift])
             edges = np.concatenate([heads[n][1], edge[cuts[n]:cuts[n + 1]]])
-            s.add_path(t, units, edges, value, depth, barred)
+            paths.append((s, units, edges, value, depth, barred))
+        _add_paths(t, paths)
+        for i, *_ in todo:
+            s = searches[i]
             if len(s.found) < k and s.heap:
                 top, sample_no, at, bars = heapq.heappop(s.heap)
                 following.append((i, -top, sample_no, at, bars))
@@ -417,12 +507,12 @@ def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int,
     return results
 
 
-def decode(lattice: Lattice, ids: list[int]) -> str:
-    """The text of a list of ids; runs of bytes are read as UTF-8 by the model."""
+def decode(lattice: Lattice, ids: np.ndarray) -> str:
+    """The text of an array of ids; runs of bytes are read as UTF-8 by the model."""
     try:
-        return "".join(map(lattice.pieces.__getitem__, ids)).replace(SPACE, " ")[1:]
-    except KeyError:
-        return lattice.model.decode(ids)
+        return "".join(lattice.pieces[ids].tolist())[1:]
+    except TypeError:  # no character by itself
+        return lattice.model.decode(ids.tolist())
 
 
 _LATTICES: dict[tuple, Lattice] = {}
@@ -479,7 +569,7 @@ def _samples(lattice: Lattice, texts: list, found: list[list[tuple]]) -> pa.Arra
     lists = pa.ListArray.from_arrays(
         pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()),
         pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-    back = [x == decode(lattice, s[0].tolist()) for x, s in rows]
+    back = [x == decode(lattice, s[0]) for x, s in rows]
     structs = pa.StructArray.from_arrays(
         [lists, *[pa.array([s[c] for _, s in rows], pa.float64()) for c in (1, 2, 3)], pa.array(back, pa.bool_())],
         ["ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
