@@ -236,6 +236,40 @@ def test_units_of_latin_texts_are_those_of_all_texts():
         assert pieces.UNIT_OF_LATIN.findall(text) == pieces.UNIT_BY_LETTERS.findall(text)
 
 
+@pytest.mark.parametrize("pattern, by_letters", [(pieces.UNIT, False), (pieces.UNIT_BY_LETTERS, True)])
+def test_texts_are_cut_into_the_units_of_the_patterns(lattice, monkeypatch, pattern, by_letters):
+    monkeypatch.setattr(lattice, "letters_end_units", by_letters)
+    rng = random.Random(9)
+    chars = [*map(chr, range(256)), *" \n" * 30, *"abcdé_,.1²" * 10, *"日本▁😀\u0301ⅷ٣Ω"]
+    texts = [None, "", " ", "\n", "a", "", *["".join(rng.choices(chars, k=rng.randrange(30))) for _ in range(5000)], ""]
+    units, places, sizes = lattice.cut(texts)
+    assert len(set(units)) == len(units)
+    ends = np.cumsum(sizes)
+    for text, size, end in zip(texts, sizes, ends):
+        found = [units[p].decode("utf-32-le").replace(pieces.SPACE, " ") for p in places[end - size:end]]
+        assert found == (pattern.findall(" " + text.replace(pieces.SPACE, " ")) if text else [])
+    assert [len(x) for x in lattice.cut([None, ""])] == [0, 0, 2] and [len(x) for x in lattice.cut([])] == [0, 0, 0]
+
+
+def test_samples_do_not_depend_on_the_texts_beside(lattice):
+    rng = random.Random(10)
+    words = ["restaurants", "the", "(odd)", "日é.", "\n", "12ab"]
+    texts = [" ".join(rng.choices(words, k=rng.choice([0, 1, 5, 300, 1500]))) for _ in range(40)]
+    beside = pieces.sample(lattice, texts, list(range(40)))
+    for key in range(40):
+        [alone] = pieces.sample(lattice, [texts[key]], [key])
+        assert [(r[0].tolist(), *r[1:]) for r in alone] == [(r[0].tolist(), *r[1:]) for r in beside[key]]
+
+
+def test_random_numbers_are_drawn_for_all_texts_at_once_and_values_for_near_sets_only(lattice, monkeypatch):
+    draw, values, calls, made = pieces.uniform, pieces._gumbels, [], []
+    monkeypatch.setattr(pieces, "uniform", lambda keys: calls.append(1) or draw(keys))
+    monkeypatch.setattr(pieces, "_gumbels", lambda u, *rest: made.append(len(u)) or values(u, *rest))
+    texts = ["some restaurants and their reservations overlooking another " * 20] * 200
+    pieces.sample(lattice, texts, list(range(200)))
+    assert len(calls) < 100 and sum(made) < 600 * 32
+
+
 def test_encode_on_tables(spark):
     rows = [(1, "Hello, world"), (1, "Hello, world"), (2, None), (3, ""), (None, "x" * 20000), (5, "▁")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("samples", F.lit("clash")).withColumn("sample", F.lit(1))

@@ -19,8 +19,8 @@ greatest perturbed value left (minus infinity, so a score of 0, if nothing is le
 
 from __future__ import annotations
 
+import functools
 import heapq
-import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SPACE = "▁"
-#: Units of a text with blanks for SPACE; the third does for Latin-1 texts what the second does for all.
+#: What the units of a text with blanks for SPACE are, by patterns; the third does for Latin-1 texts what the second does
+#: for all. `Lattice.cut` finds the same units by kinds of characters.
 UNIT = re.compile("\n|\x20+[^\x20\n]*|[^\x20\n]+")
 _LETTER = r"[^\W\d_]"
 _OTHER = r"(?:[\W\d_](?<![\x20\n]))"
@@ -45,18 +46,19 @@ THETA = 1.0
 SEED = 42
 RANK_SHIFT = 2.7
 #: Nodes (some 90 bytes each) kept by a Python worker.
-KEPT_NODES = 800_000
-#: Choices made with one random number, choices of a path and paths split at once, and the greatest noise that
-#: `uniform` can give.
+KEPT_NODES = 1_600_000
+#: Choices made with one random number, choices of a path (first and later) and paths split at once, and the greatest
+#: noise that `uniform` can give.
 FRESH_STEPS = 4
+SPLIT_AT_FIRST = 16
 SPLIT_AT_ONCE = 512
 PATHS_AT_ONCE = 256
 MAX_NOISE = 37.0
-#: Units walked and characters read at once.
-CHUNK_UNITS = 1 << 16
+#: Characters read and walked at once.
 CHARS_AT_ONCE = 1 << 18
 
-_HASH_STEP = np.uint64(0xD6E8FEB86659FD93)
+#: Bits of a code point.
+_POINT_BITS = 21
 _GOLDEN, _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -73,12 +75,26 @@ def row_key(seed: int, key) -> int:
     return xxhash.xxh64_intdigest(f"{seed}:{key}".encode("utf-8", "surrogatepass"))
 
 
+_OTHER_KIND, _LETTER_KIND, _BLANK_KIND, _LINE_KIND = range(4)
+
+
+@functools.cache
+def _kinds() -> np.ndarray:
+    """The kind of every code point."""
+    kinds = np.full(0x110000, _OTHER_KIND, dtype=np.uint8)
+    for run in re.finditer(f"{_LETTER}+", np.arange(0x110000, dtype=np.uint32).tobytes().decode("utf-32-le", "surrogatepass")):
+        kinds[run.start():run.end()] = _LETTER_KIND
+    kinds[[0x20, ord(SPACE)]] = _BLANK_KIND
+    kinds[0x0A] = _LINE_KIND
+    return kinds
+
+
 class _Numbers(dict):
     """unit: number; a unit that is not there gets the next number and is put into `new`."""
 
-    new: list[str] = []
+    new: list[bytes] = []
 
-    def __missing__(self, unit: str) -> int:
+    def __missing__(self, unit: bytes) -> int:
         number = self[unit] = len(self)
         self.new.append(unit)
         return number
@@ -108,20 +124,20 @@ class Lattice:
         self.pieces = np.full(n, None, dtype=object)
         for i, w in [(self.bytes_at[b], chr(b)) for b in range(128) if self.bytes_at[b]] + [(i, w) for w, i in self.ids.items()]:
             self.pieces[i] = w.replace(SPACE, " ")
+        self.words = pa.array(self.pieces.tolist(), pa.large_string())
         order = sorted(self.ids.values(), key=lambda i: (-self.model.get_score(i), i))
         self.weight = {i: -theta * math.log(r + RANK_SHIFT) for r, i in enumerate(order)}
         self.byte_weight = -theta * math.log(len(order) + RANK_SHIFT)
         self.letters_end_units = all(not (a.isalpha() and not b.isalpha()) for w in self.ids for a, b in zip(w, w[1:]))
-        # by length: hashes of all heads of pieces, with the id of those that are a piece (else -1)
-        self.heads: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        # by length: all heads of pieces as (place of the head without its last character, that character), with the id
+        # of those that are a piece (else -1)
+        self.heads: list[tuple[np.ndarray, np.ndarray]] = []
+        shorter = {"": 0}
         for size in range(1, max(map(len, self.ids), default=0) + 1):
-            words = sorted({w[:size] for w in self.ids if len(w) >= size})
-            points = np.array([[ord(c) for c in w] for w in words], dtype=np.uint64)
-            hashes = _window_hash(points)
-            at = np.argsort(hashes)
-            if (np.diff(hashes[at]) == 0).any():
-                raise ValueError("two heads of pieces share a hash")
-            self.heads.append((hashes[at], np.array([self.ids.get(w, -1) for w in words], dtype=np.int64)[at], points[at]))
+            heads = sorted((shorter[w[:-1]] << _POINT_BITS | ord(w[-1]), w) for w in {w[:size] for w in self.ids if len(w) >= size})
+            self.heads.append((np.array([x for x, _ in heads], dtype=np.int64),
+                               np.array([self.ids.get(w, -1) for _, w in heads], dtype=np.int64)))
+            shorter = {w: n for n, (_, w) in enumerate(heads)}
         self.ascii_ids = np.array(self.bytes_at[:128], dtype=np.int32)
         self.log_weight = np.array([self.weight.get(i, 0.0) for i in range(n)])
         self.clear()
@@ -146,30 +162,25 @@ class Lattice:
     def _edges(self, points: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Edges by place: how many each has, their characters and ids; pieces that fit and bytes of what is no piece."""
         found = []
-        live, hashes = np.arange(len(points)), np.zeros(len(points), dtype=np.uint64)
-        for size, (known, ids, heads) in enumerate(self.heads, 1):
-            inside = live + size <= ends[live]
-            live, hashes = live[inside], hashes[inside]
+        live, head = np.arange(len(points)), np.zeros(len(points), dtype=np.int64)
+        for size, (known, ids) in enumerate(self.heads, 1):
+            if size > 1:
+                inside = np.flatnonzero(live + size <= ends.take(live))
+                live, head = live.take(inside), head.take(inside)
             if not len(live):
                 break
-            with np.errstate(over="ignore"):
-                hashes = hashes * _HASH_STEP + points[live + size - 1] + np.uint64(1)
-            at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-            hit = known[at] == hashes
-            live, hashes, at = live[hit], hashes[hit], at[hit]
-            # equal hashes are proposals only
-            true = np.ones(len(live), dtype=bool)
-            for k in range(size):
-                true &= points[live + k] == heads[at, k]
-            live, hashes, at = live[true], hashes[true], at[true]
-            piece = ids[at]
-            whole = piece >= 0
-            found.append((live[whole], size, piece[whole]))
+            key = head << _POINT_BITS | points.take(live + (size - 1))
+            head = np.minimum(np.searchsorted(known, key), len(known) - 1)
+            hit = np.flatnonzero(known.take(head) == key)
+            live, head = live.take(hit), head.take(hit)
+            piece = ids.take(head)
+            whole = np.flatnonzero(piece >= 0)
+            found.append((live.take(whole), size, piece.take(whole)))
         bare = np.ones(len(points), dtype=bool)
         if found:
             bare[found[0][0]] = False
         bare = np.flatnonzero(bare)
-        found.append((bare, 1, -1 - points[bare].astype(np.int64)))
+        found.append((bare, 1, -1 - points[bare]))
         counts = np.zeros(len(points), dtype=np.int64)
         for place, _, _ in found:
             counts[place] += 1
@@ -183,8 +194,11 @@ class Lattice:
 
     def make(self, units: list[str], first_node: int) -> dict:
         """Table of the units, nodes counted from `first_node`."""
-        points = np.frombuffer("".join(units).replace(" ", SPACE).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-        sizes = np.array([len(u) for u in units], dtype=np.int64)
+        return self._make([u.replace(" ", SPACE).encode("utf-32-le", "surrogatepass") for u in units], first_node)
+
+    def _make(self, units: list[bytes], first_node: int) -> dict:
+        points = np.frombuffer(b"".join(units), dtype=np.uint32).astype(np.int64)
+        sizes = np.array([len(u) for u in units], dtype=np.int64) // 4
         ends = np.repeat(np.cumsum(sizes), sizes)
         widths, size, piece = self._edges(points, ends)
         n, first = len(points), np.concatenate([[0], np.cumsum(widths)])
@@ -229,10 +243,41 @@ class Lattice:
             at = at[widths[at] > k]
         cum[first[1:] - 1] = 2.0
         target = np.where(stop, -1, after + first_node)
-        return {"first": first, "cum": cum, "p": p, "logp": np.log(p), "target": target.astype(np.int32), "piece": piece.astype(np.int32)}
+        # a byte that is a character by itself is put out as it stands
+        single = np.flatnonzero((piece < 0) & (piece >= -128))
+        piece[single] = self.ascii_ids[-1 - piece[single]]
+        return {"first": first, "cum": cum, "p": p, "logp": np.log(p), "target": target.astype(np.int32),
+                "piece": piece.astype(np.int32)}
 
-    def tables(self, units: list[str]) -> tuple[dict, np.ndarray]:
-        """A table that holds all these units, and each one's first node.
+    def cut(self, texts: list[str | None]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct units (UTF-32) of the texts as the model reads them (a blank in front, blanks as SPACE), the places
+        of all units among these, and how many each text has.
+
+        No piece crosses the borders: a blank or line starts a unit, and so does what follows a
+        letter without being one, if the model has no piece that joins the two.
+        """
+        read = [" " + x if x else "" for x in texts]
+        points = np.frombuffer("".join(read).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        kinds = _kinds().take(points)
+        line, blank = kinds == _LINE_KIND, kinds == _BLANK_KIND
+        begins = line.copy()
+        begins[1:] |= line[:-1] | (blank[1:] & ~blank[:-1])
+        if self.letters_end_units:
+            begins[1:] |= (kinds[1:] == _OTHER_KIND) & (kinds[:-1] == _LETTER_KIND)
+        borders = np.cumsum([0, *map(len, read)])
+        begins[borders[:-1][np.diff(borders) > 0]] = True
+        begins = np.flatnonzero(begins)
+        units = pa.Array.from_buffers(pa.large_binary(), len(begins), [
+            None, pa.py_buffer(np.append(begins, len(points)) * 4), pa.py_buffer(np.where(blank, np.uint32(ord(SPACE)), points))])
+        coded = units.dictionary_encode()
+        _, ends, data = coded.dictionary.buffers()
+        ends = np.frombuffer(ends, dtype=np.int64)[:len(coded.dictionary) + 1].tolist() if len(begins) else []
+        data = data.to_pybytes() if data else b""
+        return ([data[a:b] for a, b in zip(ends, ends[1:])], coded.indices.to_numpy().astype(np.int64),
+                np.diff(np.searchsorted(begins, borders)))
+
+    def tables(self, units: list[bytes]) -> tuple[dict, np.ndarray]:
+        """A table that holds all these units (UTF-32), and each one's first node.
 
         New units are kept for later texts while there is room; beyond that they serve this call only.
         """
@@ -241,9 +286,9 @@ class Lattice:
         code = np.fromiter(map(self.units.__getitem__, units), dtype=np.int64, count=len(units))
         starts = self.starts
         if new:
-            own = self.make(new, self.nodes)
+            own = self._make(new, self.nodes)
             own["first"] = own["first"] + self.edges
-            starts = np.append(starts, self.nodes + np.cumsum([0, *map(len, new)])[:-1])
+            starts = np.append(starts, self.nodes + np.cumsum([0, *map(len, new)])[:-1] // 4)
             self._put(own)
             if room:
                 self.starts = starts
@@ -256,10 +301,6 @@ class Lattice:
 
     def ids_of(self, pieces: np.ndarray) -> np.ndarray:
         """Pieces with characters below zero put out as bytes."""
-        ascii_ = np.flatnonzero((pieces < 0) & (pieces >= -128))
-        if len(ascii_):
-            pieces = pieces.copy()
-            pieces[ascii_] = self.ascii_ids[-1 - pieces[ascii_]]
         at = np.flatnonzero(pieces < 0)
         if not len(at):
             return pieces
@@ -267,35 +308,9 @@ class Lattice:
         return np.insert(np.delete(pieces, at), np.repeat(at - np.arange(len(at)), [len(r) for r in raw]),
                          [i for r in raw for i in r]).astype(np.int32)
 
-    def units_of(self, text: str) -> list[str]:
-        """Units of the text as the model reads it: a blank in front, SPACE as blanks.
-
-        No piece crosses the borders: a blank or line starts a unit, and so does what follows a
-        letter without being one, if the model has no piece that joins the two.
-        """
-        if not text:
-            return []
-        text = " " + text.replace(SPACE, " ")
-        if not self.letters_end_units:
-            return UNIT.findall(text)
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            return UNIT_BY_LETTERS.findall(text)
-        return UNIT_OF_LATIN.findall(text)
-
-
-def _window_hash(points: np.ndarray) -> np.ndarray:
-    """Rolling hash of each row of code points."""
-    out = np.zeros(len(points), dtype=np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(points.shape[1]):
-            out = out * _HASH_STEP + points[:, k] + np.uint64(1)
-    return out
-
 
 def walk(t: dict, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sampled edges from each start node to the end of its unit: (place in `nodes`, edge), in order.
+    """Sampled edges from each start node to the end of its unit: how many each has, and all in order.
 
     One number serves several choices: what is left of it inside the chosen edge's share is uniform again.
     """
@@ -305,28 +320,32 @@ def walk(t: dict, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.n
     while len(at):
         if step % FRESH_STEPS == 0:
             u = uniform(keys[at] + np.uint64(step * int(_MIX1) & (1 << 64) - 1))
-        edge = t["first"][node]
-        rest = np.flatnonzero(t["cum"][edge] <= u)
+        edge = t["first"].take(node)
+        rest = np.flatnonzero(t["cum"].take(edge) <= u)
         while len(rest):
-            edge[rest] += 1
-            rest = rest[t["cum"][edge[rest]] <= u[rest]]
+            further = edge[rest] + 1
+            edge[rest] = further
+            rest = rest[t["cum"].take(further) <= u[rest]]
         owners.append(at)
         edges.append(edge)
-        counts[at] += 1
-        node = t["target"][edge]
+        node = t["target"].take(edge)
         on = np.flatnonzero(node >= 0)
+        step += 1
+        counts[at] = step
         if not len(on):
             break
-        at, node, chosen, u, step = at[on], node[on].astype(np.int64), edge[on], u[on], step + 1
-        # the share of an edge ends at cum, but the last one's is put to 2 and ends at 1
-        p = t["p"][chosen]
-        below = np.minimum(t["cum"][chosen], 1.0) - p
-        u = np.clip((u - below) / p, 2.0 ** -53, 1 - 2.0 ** -53)
+        at, node = at[on], node[on].astype(np.int64)
+        if step % FRESH_STEPS:
+            chosen, u = edge[on], u[on]
+            # the share of an edge ends at cum, but the last one's is put to 2 and ends at 1
+            p = t["p"].take(chosen)
+            below = np.minimum(t["cum"].take(chosen), 1.0) - p
+            u = np.clip((u - below) / p, 2.0 ** -53, 1 - 2.0 ** -53)
     begin = np.cumsum(counts) - counts
-    owner, out = np.repeat(np.arange(len(nodes)), counts), np.empty(int(counts.sum()), dtype=np.int64)
+    out = np.empty(int(counts.sum()), dtype=np.int64)
     for step, (at, edge) in enumerate(zip(owners, edges)):
         out[begin[at] + step] = edge
-    return owner, out
+    return counts, out
 
 
 def _gumbels(u: np.ndarray, place: np.ndarray, bound: np.ndarray) -> np.ndarray:
@@ -340,74 +359,78 @@ class _Search:
     def __init__(self, key: int, k: int) -> None:
         self.key, self.k, self.heap, self.found = key, k, [], []
 
-    def keys(self, sample: int, places: np.ndarray, salt: int) -> np.ndarray:
-        return places.astype(np.uint64) * _GOLDEN + np.uint64(self.base(sample, salt))
-
-    def base(self, sample: int, salt: int) -> int:
-        return self.key ^ ((sample * 4 + salt + 1) * int(_MIX2) & (1 << 64) - 1)
+    def least(self) -> float:
+        """The worst value that counts; what is below cannot come out."""
+        return -self.heap[-1][0] if len(self.heap) > self.k else -math.inf
 
     def wait(self, values: np.ndarray, depths: np.ndarray, sample: int, edges: np.ndarray, start: int, barred: tuple) -> None:
         """Puts the k + 1 best of these sets into wait; more of them cannot count."""
+        if len(values) > self.k + 1:
+            best = np.argpartition(-values, self.k)[:self.k + 1]
+            values, depths = values[best], depths[best]
         for value, depth in zip(values.tolist(), depths.tolist()):
             self.heap.append((-value, sample, depth, (int(edges[depth]),) + (barred if depth == start else ())))
-        self.heap = heapq.nsmallest(self.k + 1, self.heap)
+        self.heap.sort()
+        del self.heap[self.k + 1:]
+
+
+def _bases(keys: np.ndarray, sample: int, salt: int) -> np.ndarray:
+    """What the keys of a sample's random numbers begin with, by search; the places are added to it."""
+    return keys ^ np.uint64((sample * 4 + salt + 1) * int(_MIX2) & (1 << 64) - 1)
 
 
 def _add_paths(t: dict, paths: list[tuple[_Search, np.ndarray, np.ndarray, float, int, tuple]]) -> None:
-    """Takes a sampled path (units, edges, value) of each search and splits the rest of its set, from choice `start` on.
+    """Takes a sampled path (edges, their log p, value) of each search and splits the rest of its set, from choice `start` on.
 
     Each path is a row by itself, so what lies beside it does not change its numbers.
     """
     todo = []
-    for s, units, edges, value, start, barred in paths:
-        logp = t["logp"][edges]
-        s.found.append((units, edges, float(logp.sum()), value))
-        todo.append((s, edges, value, start, barred, start, float(logp[:start].sum())))
+    for s, edges, logp, value, start, barred in paths:
+        s.found.append((edges, float(logp.sum()), value))
+        todo.append((s, edges, logp, value, start, barred, start, float(logp[:start].sum())))
+    width = SPLIT_AT_FIRST
     while todo:
         following = []
         for at in range(0, len(todo), PATHS_AT_ONCE):
-            following += _split(t, todo[at:at + PATHS_AT_ONCE])
-        todo = following
+            following += _split(t, todo[at:at + PATHS_AT_ONCE], width)
+        todo, width = following, SPLIT_AT_ONCE
 
 
-def _split(t: dict, todo: list[tuple]) -> list[tuple]:
-    """Splits the next choices of each path; returns the paths that go on."""
-    sizes = np.array([min(SPLIT_AT_ONCE, len(edges) - done) for _, edges, *_, done, _ in todo])
+def _split(t: dict, todo: list[tuple], most: int) -> list[tuple]:
+    """Splits the next choices (at most `most`) of each path; returns the paths that go on."""
+    done = np.array([x[-2] for x in todo])
+    sizes = np.minimum(np.array([len(x[1]) for x in todo]) - done, most)
     width = int(sizes.max())
     if not width:
         return []
-    inside = np.arange(width) < sizes[:, None]
-    own_edges = np.concatenate([edges[done:done + SPLIT_AT_ONCE] for _, edges, *_, done, _ in todo])
-    part, left = np.zeros(inside.shape), np.zeros(inside.shape)
-    part[inside] = t["logp"][own_edges]
-    left[inside] = 1.0 - t["p"][own_edges]
-    for n, (_, _, _, start, barred, done, _) in enumerate(todo):
-        if done == start and barred:
+    part = np.zeros((len(todo), width))
+    part[np.arange(width) < sizes[:, None]] = np.concatenate([x[2][x[-2]:x[-2] + most] for x in todo])
+    left = -np.expm1(part)
+    for n, (_, _, _, _, start, barred, at, _) in enumerate(todo):
+        if at == start and barred:
             left[n, 0] -= sum(float(t["p"][e]) for e in barred)
     before = np.array([x[-1] for x in todo])
+    upto = np.cumsum(part, axis=1)
     # a node with one choice has nothing left; what rounding leaves is less than this
     row, column = np.nonzero(left > 1e-12)
-    place = (before[:, None] + np.cumsum(part, axis=1) - part)[row, column] + np.log(left[row, column])
-    bases = np.array([s.base(len(s.found) - 1, 1) for s, *_ in todo], dtype=np.uint64)
-    done = np.array([x[-2] for x in todo])
-    keys = (column + done[row]).astype(np.uint64) * _GOLDEN + bases[row]
-    values = np.full(inside.shape, -np.inf)
-    values[row, column] = _gumbels(uniform(keys), place, np.array([x[2] for x in todo])[row])
-    k = todo[0][0].k
-    best = np.argpartition(-values, k, axis=1)[:, :k + 1] if width > k + 1 else np.broadcast_to(np.arange(width), inside.shape)
-    following = []
-    sums = part.sum(axis=1).tolist()
-    for n, (s, edges, value, start, barred, done, before) in enumerate(todo):
-        at = best[n][values[n, best[n]] > -np.inf]
-        if len(at):
-            s.wait(values[n, at], at + done, len(s.found) - 1, edges, start, barred)
-        least = -s.heap[-1][0] if len(s.heap) > s.k else -math.inf
-        before, done = before + sums[n], done + int(sizes[n])
-        # Noise is at most MAX_NOISE, and a set's mass is at most that of the choices before it: once
-        # that is too low to pass the worst set in wait, no later set can.
-        if done < len(edges) and before + MAX_NOISE > least:
-            following.append((s, edges, value, start, barred, done, before))
-    return following
+    place = (before[:, None] + upto - part)[row, column] + np.log(left[row, column])
+    depth = column + done[row]
+    bases = _bases(np.array([x[0].key for x in todo], dtype=np.uint64), len(todo[0][0].found) - 1, 1)
+    u = uniform(depth.astype(np.uint64) * _GOLDEN + bases[row])
+    # a value is at most place - log(-log u), which is below place - log(1 - u): most cannot pass the worst set in wait
+    least = np.array([x[0].least() for x in todo])
+    near = np.flatnonzero(np.log1p(-u) < place - least[row] + 1e-6)
+    row, depth = row[near], depth[near]
+    values = _gumbels(u[near], place[near], np.array([x[3] for x in todo])[row])
+    borders = np.searchsorted(row, np.arange(len(todo) + 1)).tolist()
+    for (s, edges, _, _, start, barred, _, _), a, b in zip(todo, borders, borders[1:]):
+        if b > a:
+            s.wait(values[a:b], depth[a:b], len(s.found) - 1, edges, start, barred)
+    # Noise is at most MAX_NOISE, and a set's mass is at most that of the choices before it: once
+    # that is too low to pass the worst set in wait, no later set can.
+    before = before + upto[np.arange(len(todo)), sizes - 1]
+    on = np.flatnonzero(before + MAX_NOISE > np.array([x[0].least() for x in todo]))
+    return [(*todo[n][:-2], int(done[n] + sizes[n]), float(before[n])) for n in on.tolist() if done[n] + sizes[n] < len(todo[n][1])]
 
 
 def _other_edge(t: dict, node: int, barred: tuple, u: float) -> int:
@@ -426,71 +449,53 @@ def _other_edge(t: dict, node: int, barred: tuple, u: float) -> int:
 def sample(lattice: Lattice, texts: list[str | None], keys: list, k: int = K, seed: int = SEED) -> list[list[tuple]]:
     """Per text up to k distinct segmentations as (ids, log p, perturbed value, log inclusion), best first.
 
-    A text with fewer segmentations gives all of them; an empty or null one its only, empty one.
+    A text with fewer segmentations gives all of them; an empty or null one its only, empty one. All texts
+    are held and walked together: `encode` hands over CHARS_AT_ONCE characters, or one longer text, at a time.
     """
-    out: list[list[tuple]] = []
-    parts = [lattice.units_of(x or "") for x in texts]
-    begin = 0
-    while begin < len(texts):
-        end, total = begin, 0
-        while end < len(texts) and (end == begin or total + len(parts[end]) <= CHUNK_UNITS):
-            total += len(parts[end])
-            end += 1
-        out += _sample_chunk(lattice, parts[begin:end], keys[begin:end], k, seed)
-        begin = end
-    return out
-
-
-def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int, seed: int) -> list[list[tuple]]:
-    t, nodes = lattice.tables(list(itertools.chain.from_iterable(parts)))
-    sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    starts = np.cumsum(sizes) - sizes
+    units, places, sizes = lattice.cut(texts)
+    t, first = lattice.tables(units)
+    nodes, starts = first[places], np.cumsum(sizes) - sizes
     searches = [_Search(row_key(seed, key), k) for key in keys]
-    todo = []  # (text, value, parent sample, depth, barred edges); depth -1: from the start
-    for i, s in enumerate(searches):
-        u = float(uniform(s.keys(0, np.array([0]), 2))[0])
-        todo.append((i, -math.log(-math.log(u)), -1, 0, ()))
+    row_keys = np.array([s.key for s in searches], dtype=np.uint64)
+    # (text, value, parent sample, depth, barred edges); all of a round have as many samples
+    todo = [(i, -math.log(-math.log(u)), -1, 0, ()) for i, u in enumerate(uniform(_bases(row_keys, 0, 2)).tolist())]
+    number = 0
     while todo:
-        spans, walks_nodes, walks_keys, heads = [], [], [], []
-        for i, value, parent, depth, barred in todo:
-            s = searches[i]
-            number = len(s.found)
-            own = nodes[starts[i]:starts[i] + sizes[i]]
-            if parent < 0:
-                head_units, head_edges, unit, node = np.empty(0, np.int64), np.empty(0, np.int64), 0, None
-            else:
-                units, edges, _, _ = s.found[parent]
-                unit = int(units[depth])
+        who = np.array([i for i, *_ in todo], dtype=np.int64)
+        own_keys = row_keys[who]
+        heads, inner, begin = [np.empty(0, np.int64)] * len(todo), np.full(len(todo), -1), np.zeros(len(todo), np.int64)
+        if number:
+            depths = np.array([depth for *_, depth, _ in todo], dtype=np.uint64)
+            numbers = uniform(depths * _GOLDEN + _bases(own_keys, number, 3)).tolist()
+            for n, (i, _, parent, depth, barred) in enumerate(todo):
+                edges = searches[i].found[parent][0]
+                after = t["target"][edges[:depth]]
+                unit = int(np.count_nonzero(after < 0))
                 # the node that the barred edges leave from
-                at = depth
-                node = int(own[unit]) if depth == 0 or units[depth - 1] != unit else int(t["target"][edges[depth - 1]])
-                u = float(uniform(s.keys(number, np.array([depth]), 3))[0])
-                edge = _other_edge(t, node, barred, u)
-                head_units, head_edges = np.append(units[:at], unit), np.append(edges[:at], edge)
-                node = int(t["target"][edge])
-                unit += 1
-            first = own[unit:]
-            places = np.arange(unit, len(own))
-            if node is not None and node >= 0:
-                first, places = np.concatenate([[node], first]), np.concatenate([[unit - 1], places])
-            heads.append((head_units, head_edges))
-            spans.append(len(first))
-            walks_nodes.append(first)
-            walks_keys.append(s.keys(number, places, 0))
-        owner, edge = walk(t, np.concatenate(walks_nodes), np.concatenate(walks_keys))
+                node = int(nodes[starts[i] + unit]) if not depth or after[-1] < 0 else int(after[-1])
+                edge = _other_edge(t, node, barred, numbers[n])
+                heads[n] = np.append(edges[:depth], edge)
+                inner[n] = t["target"][edge]
+                begin[n] = unit + (inner[n] < 0)
+        # the units left of each text, the first one from its inner node
+        spans = sizes[who] - begin
         borders = np.concatenate([[0], np.cumsum(spans)])
-        cuts = np.searchsorted(owner, borders)
-        following, paths = [], []
-        for n, (i, value, parent, depth, barred) in enumerate(todo):
-            s = searches[i]
-            shift = sizes[i] - spans[n]
-            units = np.concatenate([heads[n][0], owner[cuts[n]:cuts[n + 1]] - borders[n] + shift])
-            edges = np.concatenate([heads[n][1], edge[cuts[n]:cuts[n + 1]]])
-            paths.append((s, units, edges, value, depth, barred))
-        _add_paths(t, paths)
+        place = np.arange(borders[-1]) + np.repeat(begin - borders[:-1], spans)
+        own = nodes[place + np.repeat(starts[who], spans)]
+        own[borders[:-1][inner >= 0]] = inner[inner >= 0]
+        counts, edge = walk(t, own, place.astype(np.uint64) * _GOLDEN + np.repeat(_bases(own_keys, number, 0), spans))
+        cuts = np.concatenate([[0], np.cumsum(counts)])[borders].tolist()
+        if number:
+            tails = [edge[a:b] for a, b in zip(cuts, cuts[1:])]
+            edge = np.concatenate([x for pair in zip(heads, tails) for x in pair])
+            cuts = np.cumsum([0, *[len(h) + len(x) for h, x in zip(heads, tails)]]).tolist()
+        logp = t["logp"].take(edge)
+        _add_paths(t, [(searches[i], edge[a:b], logp[a:b], value, depth, barred)
+                       for (i, value, _, depth, barred), a, b in zip(todo, cuts, cuts[1:])])
+        following, number = [], number + 1
         for i, *_ in todo:
             s = searches[i]
-            if len(s.found) < k and s.heap:
+            if number < k and s.heap:
                 top, sample_no, at, bars = heapq.heappop(s.heap)
                 following.append((i, -top, sample_no, at, bars))
         todo = following
@@ -498,8 +503,8 @@ def _sample_chunk(lattice: Lattice, parts: list[list[str]], keys: list, k: int,
     for s in searches:
         kappa = -s.heap[0][0] if s.heap else -math.inf
         rows = []
-        for _, edges, logp, value in s.found:
-            ids = lattice.ids_of(t["piece"][edges])
+        for edges, logp, value in s.found:
+            ids = lattice.ids_of(t["piece"].take(edges))
             x = logp - kappa
             score = 0.0 if x > 40 else math.log(-math.expm1(-math.exp(x))) if x > -30 else x
             rows.append((ids, logp, value, score))
@@ -563,15 +568,28 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", key: str = "doc
     return docs.mapInArrow(run, fields)
 
 
+def _same(lattice: Lattice, texts: list, found: list[list[tuple]], lists: pa.ListArray) -> list[bool]:
+    """Whether each sample decodes to its text."""
+    words = lattice.words.take(lists.values)
+    if words.null_count:  # bytes that are no character by themselves
+        return [(x or "") == decode(lattice, s[0]) for x, own in zip(texts, found) for s in own]
+    # the words stand one behind the other
+    _, offsets, data = words.buffers()
+    data = data.to_pybytes() if data else b""
+    cuts = np.frombuffer(offsets, dtype=np.int64)[lists.offsets.to_numpy()].tolist() if len(words) else [0] * (len(lists) + 1)
+    raw = [x for x, own in zip([(x or "").encode("utf-8", "surrogatepass") for x in texts], found) for _ in own]
+    return [x == data[a + 1:b] for x, a, b in zip(raw, cuts, cuts[1:])]
+
+
 def _samples(lattice: Lattice, texts: list, found: list[list[tuple]]) -> pa.Array:
-    rows = [(x or "", s) for x, own in zip(texts, found) for s in own]
-    ids = [s[0] for _, s in rows]
+    rows = [s for own in found for s in own]
+    ids = [s[0] for s in rows]
     lists = pa.ListArray.from_arrays(
         pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()),
         pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32), pa.int32()))
-    back = [x == decode(lattice, s[0]) for x, s in rows]
+    back = _same(lattice, texts, found, lists)
     structs = pa.StructArray.from_arrays(
-        [lists, *[pa.array([s[c] for _, s in rows], pa.float64()) for c in (1, 2, 3)], pa.array(back, pa.bool_())],
+        [lists, *[pa.array([s[c] for s in rows], pa.float64()) for c in (1, 2, 3)], pa.array(back, pa.bool_())],
         ["ids", "log_prob", "perturbed", "log_inclusion", "round_trip"])
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), structs)
 
